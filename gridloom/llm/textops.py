@@ -22,6 +22,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: A-Z lower-cased and every other ASCII character that is no letter or digit made a space.
+PLAIN = LOWER.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+
+def plain(part: np.ndarray) -> np.ndarray:
+    """``PLAIN``, and the Latin-1 capitals of two-byte UTF-8 lower-cased too."""
+    out = PLAIN[part]
+    after = np.flatnonzero(part[:-1] == 0xC3) + 1
+    after = after[(out[after] >= 0x80) & (out[after] <= 0x9E) & (out[after] != 0x97)]
+    out[after] += 32
+    return out
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,13 +94,12 @@ class Words:
     raw: np.ndarray
 
 
-def words(column: pa.Array, lower: bool = True) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, A-Z lower-cased if asked."""
+def words(column: pa.Array, marks: bool = True) -> Iterator[Words]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every row, A-Z lower-cased; without ``marks``, runs of letters and digits."""
     raw, offsets = utf8(column)
     for lo, hi in slices(offsets):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        if lower:
-            part = LOWER[part]
+        part = LOWER[part] if marks else plain(part)
         solid = ~SPACE[part]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
