@@ -2,9 +2,11 @@
 
 Documents with equal shingle sets are one class.  Band keys of the classes'
 signatures bring candidates together; in each bucket the classes are first
-compared with one hub only (the class that meets most others over all bands),
-and further hubs follow for as long as a bucket holds classes of different
-components.  A pair's signatures are compared in batches; it is dropped as soon
+compared with one hub only (the class that meets most others over all bands), then, where
+a bucket still holds classes of different components, with further hubs, and at
+last those of different components with each other.  Shingles that only one
+candidate has bound the similarity of its pairs; pairs that cannot reach the
+threshold are never made.  A pair's signatures are compared in batches; it is dropped as soon
 as the posterior chance of a similarity of at least the threshold falls below
 the chosen miss probability.  Survivors are verified on their full sets.
 
@@ -125,9 +127,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
     Texts are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``n``-word shingles.
-    ``component_id`` is the smallest ``doc_id`` reachable.  ``hubs``: how many hubs a bucket takes in its
-    second round; each later round takes four times as many, so every pair of different components of a
-    bucket is compared in the end.
+    ``component_id`` is the smallest ``doc_id`` reachable.  ``hubs``: how many hubs a bucket has had
+    after its second round; the third compares all pairs of different components that are left.
     """
     texts = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, one long, two long, bands array<long>"
@@ -139,33 +140,33 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     rows = known.join(first, "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bucket = cut(rows.join(shared, "key").distinct())
-    weight = bucket.groupBy("id").agg(F.sum("size").alias("weight"))
-    bucket = cut(bucket.join(weight, "id"))
 
-    inside = bucket.select("id").distinct()
+    inside = bucket.groupBy("id").agg(F.sum("size").alias("weight"))
     full = cut(texts.join(inside, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(n), "id long, sig binary, shingles array<long>"))
+    # shingles that no other candidate has can be in no intersection
+    alone = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    inside = inside.join(alone.groupBy("id").agg(F.count("*").alias("alone")), "id", "left")
+    bucket = bucket.join(inside, "id").select("key", "id", "size", "weight", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("most"))
+    bucket = cut(bucket.where(F.col("most") * 100 >= F.col("n_shingles") * percent))
     least = least_matches(percent / 100, miss)
-    links = None
-    labels = None
-    taken, most = 0, 1
-    while True:
-        if labels is None:
-            open_rows = bucket.withColumn("component", F.col("id"))
-        else:
-            open_rows = bucket.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = open_rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("size").alias("s"))
-        mixed = cut(mixed.where(f"a <> b and s > {taken + 1 if taken else 1}").select("key"))
+    links, labels = None, None
+    for after, upto in ((0, 1), (1, hubs), (hubs, None)):
+        rows = bucket if labels is None else bucket.join(labels, "id", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"))
+        mixed = cut(mixed.where(f"a <> b and c > {after}").select("key"))
         if not mixed.limit(1).count():
             break
-        open_rows = open_rows.join(mixed, "key", "left_semi")
-        # the hubs of a round follow those of the rounds before, by falling weight
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id"))
-        top = open_rows.withColumn("rank", rank).where(f"rank <= {taken + most}").where(f"rank > {taken}")
-        top = top.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("n_shingles").alias("hub_n"))
+        rows = rows.join(mixed, "key", "left_semi")
+        # the hubs of a round follow those of the round before, by falling weight
+        top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
+        top = (top.where(f"rank <= {upto}") if upto else top).where(f"rank > {after}")
+        top = top.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("n_shingles").alias("hub_n"), F.col("most").alias("hub_most"))
+        common = F.least("most", "hub_most")
         pairs = (
-            open_rows.join(top, "key")
+            rows.join(top, "key")
             .where("id <> hub and component <> hub_component")
-            .where(F.least("n_shingles", "hub_n") * 100 >= F.greatest("n_shingles", "hub_n") * percent)
+            .where(common * 100 >= (F.col("n_shingles") + F.col("hub_n") - common) * percent)
             .select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
             .distinct()
         )
@@ -183,7 +184,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
         if new.limit(1).count():
             links = new if links is None else links.unionAll(new)
             labels = connected_components(links, "u", "v")
-        taken, most = (1, hubs) if most == 1 else (taken + most, most * 4)
     if labels is None:
         joined = member.withColumn("component", F.lit(None).cast("long"))
     else:
