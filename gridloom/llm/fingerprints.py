@@ -6,7 +6,7 @@ differs from its left neighbour, and that bit) shortens the symbols' labels to a
 handful of values; blocks begin at the labels' local maxima, and a block's name,
 a hash of its symbols, is a symbol of the next level.  A block depends on a few
 neighbours only, so equal substrings have the same names inside, at any offset.
-The fingerprint is the smallest hashes of the names from the third level on (of
+The fingerprint is the smallest hashes of the names from the second level on (of
 all levels for texts with few distinct ones there), in hexadecimal; likeness is the share of common
 hashes among the smallest of both.
 
@@ -32,7 +32,7 @@ from gridloom.llm.textops import mix, powers, slices, utf8
 
 KEPT = 48
 LEVELS = 7
-FULL_LEVEL = 3
+FULL_LEVEL = 2
 SHORT = 32
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
