@@ -41,6 +41,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.warc import new_folder, read_warc, write_warc
+
+    write_warc(table(spark, sf_dir, "pages"), folder := new_folder(spark))
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.urlfilter import filter_urls
 
@@ -53,7 +60,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op7_minhash": op7_minhash,
     "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        h as (select payload_digest, payload_bytes, max(page_id) as holder from p where payload_bytes >= 1000 group by all)
+        select p.page_id, p.payload_bytes, p.payload_digest,
+               case when h.holder <> p.page_id then 'revisit' else 'response' end as record_type,
+               case when h.holder <> p.page_id then h.holder end as refers_to
+        from p left join h using (payload_digest, payload_bytes)""",
+}
