@@ -35,6 +35,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.wrappers import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.minhash import near_duplicates
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op5_pii": op5_pii,
+    "op6_html_extraction": op6_html_extraction,
     "op7_minhash": op7_minhash,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
