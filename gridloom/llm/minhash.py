@@ -5,8 +5,8 @@ signatures bring candidates together; in each bucket the classes are first
 compared with one hub only (the class that meets most others over all bands), then, where
 a bucket still holds classes of different components, with further hubs, and at
 last those of different components with each other.  Shingles that only one
-candidate has bound the similarity of its pairs; pairs that cannot reach the
-threshold are never made.  A pair's signatures are compared in batches; it is dropped as soon
+candidate has, and those shared with the first hub, bound the similarity of its
+pairs; pairs that cannot reach the threshold are never made.  A pair's signatures are compared in batches; it is dropped as soon
 as the posterior chance of a similarity of at least the threshold falls below
 the chosen miss probability.  Survivors are verified on their full sets.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.textops import mix, shingle_sets, words
 from gridloom.operators.components import connected_components
-from gridloom.session import cut
+from gridloom.session import cut, without_ids
 
 ROWS = 5
 BANDS = 24
@@ -149,34 +149,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     bucket = bucket.join(inside, "id").select("key", "id", "size", "weight", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("most"))
     bucket = cut(bucket.where(F.col("most") * 100 >= F.col("n_shingles") * percent))
     least = least_matches(percent / 100, miss)
+    one = full.select(F.col("id").alias("u"), F.col("sig").alias("x"), F.col("shingles").alias("a"))
+    two = full.select(F.col("id").alias("v"), F.col("sig").alias("y"), F.col("shingles").alias("b"))
+    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
     links, labels = None, None
     for after, upto in ((0, 1), (1, hubs), (hubs, None)):
         rows = bucket if labels is None else bucket.join(labels, "id", "left")
         rows = rows.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("c"))
-        mixed = cut(mixed.where(f"a <> b and c > {after}").select("key"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
+        mixed = cut(mixed.where(f"low <> high and c > {after}").select("key"))
         if not mixed.limit(1).count():
             break
         rows = rows.join(mixed, "key", "left_semi")
+        if after == 1:  # from here on, what each class shares with its bucket's first hub bounds its pairs further
+            center = rows.withColumn("rank", F.row_number().over(by_weight)).where("rank = 1").select("key", F.col("id").alias("center"))
+            rows = rows.join(center, "key")
+            shared = rows.select(F.col("id").alias("u"), F.col("center").alias("v")).distinct().join(one, "u").join(two, "v")
+            shared = shared.select(F.col("u").alias("id"), F.col("v").alias("center"), F.size(F.array_intersect("a", "b")).alias("inner"))
+            bands = known.select(F.col("doc_id").alias("id"), "bands").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+            rows = rows.join(shared, ["id", "center"]).drop("center").join(bands, "id")
+            rows = cut(rows.withColumn("outer", F.col("most") - F.col("inner")))
+            bucket = rows.drop("component")
         # the hubs of a round follow those of the round before, by falling weight
-        top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "id")))
-        top = (top.where(f"rank <= {upto}") if upto else top).where(f"rank > {after}")
-        top = top.select("key", F.col("id").alias("hub"), F.col("component").alias("hub_component"), F.col("n_shingles").alias("hub_n"), F.col("most").alias("hub_most"))
+        top = rows.withColumn("rank", F.row_number().over(by_weight))
+        top = (top.where(f"rank <= {upto}") if upto else top).where(f"rank > {after}").drop("rank", "size", "weight")
+        top = top.select("key", *(F.col(c).alias(f"hub_{c}") for c in top.columns if c != "key"))
         common = F.least("most", "hub_most")
-        pairs = (
-            rows.join(top, "key")
-            .where("id <> hub and component <> hub_component")
-            .where(common * 100 >= (F.col("n_shingles") + F.col("hub_n") - common) * percent)
-            .select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v"))
-            .distinct()
-        )
-        one = full.select(F.col("id").alias("u"), F.col("sig").alias("a"))
-        two = full.select(F.col("id").alias("v"), F.col("sig").alias("b"))
-        likely = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(_survivors(least), "u long, v long")
-        one = full.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-        two = full.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+        if after:
+            common = F.least("inner", "hub_inner") + F.least("outer", "hub_outer")
+        pairs = rows.join(top, "key").where("id <> hub_id and component <> hub_component")
+        pairs = pairs.where(common * 100 >= (F.col("n_shingles") + F.col("hub_n_shingles") - common) * percent)
+        if after:  # each pair in its first common bucket only
+            pairs = pairs.where(F.get(F.array_intersect("bands", "hub_bands"), F.lit(0)) == F.col("key"))
+        pairs = pairs.select(F.least("id", "hub_id").alias("u"), F.greatest("id", "hub_id").alias("v")).distinct()
+        likely = pairs.join(one.drop("a"), "u").join(two.drop("b"), "v").select("u", "v", "x", "y").mapInArrow(_survivors(least), "u long, v long")
         new = cut(
-            likely.join(one, "u").join(two, "v")
+            likely.join(one.drop("x"), "u").join(two.drop("y"), "v")
             .withColumn("both", F.size(F.array_intersect("a", "b")))
             .where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
             .select("u", "v")
@@ -191,3 +199,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     out = joined.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     lost = found.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionAll(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; repeated rows once."""
+    groups = near_duplicates(docs, percent, **options).where("doc_id is not null")
+    ids = cut(groups.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    rest = without_ids(docs, ids.select("doc_id"))
+    again = ids.where("kept").select("doc_id")  # rows repeat under these ids
+    if not again.limit(1).count():
+        return rest
+    return rest.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
