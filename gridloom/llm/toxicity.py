@@ -7,8 +7,8 @@ by its ratio, the vector by its length, and a logistic regression is fitted by
 rounds of stochastic descent on each shard of the sample and averaging of the
 shards' weights.  Scores need one pass over the texts and no shuffle.
 
-The sample is bounded: at most ``max_labelled`` labelled rows, those whose ids
-have the smallest hashes.  Labels with a null id or value count for nothing; of
+The sample is bounded: at most ``max_each`` labelled rows of each class, those
+whose ids have the smallest hashes; the bias is set right for their shares.  Labels with a null id or value count for nothing; of
 several labels of an id the largest counts.  Without labels of both classes
 every score is the smoothed share of toxic labels.  Null text counts as empty;
 an empty text is scored by the fitted bias alone.
@@ -75,40 +75,47 @@ def _dense(rows: list) -> np.ndarray:
     return sum(np.frombuffer(r[0], np.float64) for r in rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = 8000, rounds: int = 4, epochs: int = 3, rate: float = 8.0, decay: float = 1e-5) -> Model:
-    """Learn from the labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 4000, rounds: int = 4, epochs: int = 3, rate: float = 8.0, decay: float = 1e-5, clear: float = 3.0) -> Model:
+    """Learn from the labelled documents that are not held out.
+
+    Ratios of less than ``clear`` standard errors count as 0, so that rare n-grams add no noise.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = known.groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    order = (F.xxhash64("doc_id"), "doc_id")
+    known = known.where("y = 1").orderBy(*order).limit(max_each).unionAll(known.where("y = 0").orderBy(*order).limit(max_each))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = pa.array([f.tobytes() for f in feature_rows(b.column(2))], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
-
-    rows = sample.select("doc_id", "y", "text").mapInArrow(featured, "doc_id long, y int, x binary")
-    rows = cut(rows.repartition(SHARDS, "doc_id").sortWithinPartitions("doc_id"))
+    rows = cut(sample.select("doc_id", "y", "text").repartition(SHARDS, "doc_id").sortWithinPartitions("doc_id", "text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * (1 << BITS) + 2)
         for b in batches:
-            for y, x in zip(b.column(1).to_pylist(), b.column(2)):
-                total[(int(y > 0) << BITS) + np.frombuffer(x.as_buffer(), np.int32)] += 1
+            for y, x in zip(b.column(1).to_pylist(), feature_rows(b.column(2))):
+                total[(int(y > 0) << BITS) + x] += 1
                 total[-1 - int(y > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
     total = _dense(rows.mapInArrow(counts, "total binary").collect())  # a vector of fixed size from each shard
     none, some = total[-1], total[-2]
     size = 1 << BITS
-    share = (some + 1) / (none + some + 2)
-    prior = float(np.log(share / (1 - share)))
+    odds = lambda a, b: float(np.log((a + 1) / (b + 1)))
     if not none or not some:
-        return Model(np.zeros(size), np.zeros(size), prior)
+        return Model(np.zeros(size), np.zeros(size), odds(shares.get(1, 0), shares.get(0, 0)))
+    prior, shift = odds(some, none), odds(shares.get(1, 0), shares.get(0, 0)) - odds(some, none)
     p, q = total[size : 2 * size] + 1, total[:size] + 1
     ratio = np.log((p / (some + 2)) / (q / (none + 2)))
-    ratio[(p == 1) & (q == 1)] = 0
+    ratio[np.abs(ratio) < clear * np.sqrt(1 / p + 1 / q)] = 0
     weight, bias = np.zeros(size), prior
 
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pa.array([f[ratio[f] != 0].tobytes() for f in feature_rows(b.column(2))], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
+
+    rows = cut(rows.mapInArrow(featured, "doc_id long, y int, x binary"))
+
     for turn in range(rounds):
         step, start, offset = rate / (1 + turn), weight, bias
 
@@ -132,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
         mixed = _dense(rows.mapInArrow(descend, "w binary").collect())
         mixed = mixed / mixed[-1]
         weight, bias = mixed[:size], float(mixed[size])
-    return Model(weight * ratio, ratio, bias)
+    return Model(weight * ratio, ratio, bias + shift)  # the sample holds other shares of the classes than the labels do
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -150,3 +157,16 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
     scored = score(docs, fit(docs, labels, **options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below 1/2, all columns as they are; null texts stay."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(place)
+            clean = [model.margin(x) < 0 for x in feature_rows(texts)]
+            yield b.filter(pa.array([c or not v for c, v in zip(clean, texts.is_valid().to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
