@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textops import grams, words
+from gridloom.session import without_ids
 
 MATCH, MISS, GAP = 2, -1, -1
 FOUND = "doc_id long, item_id long, score double, n_seeds int, word_start int, word_end int"
@@ -195,5 +196,4 @@ def _in_block(texts: DataFrame, block: Block, threshold: float, rare_share: floa
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; documents with null id stay."""
-    bad = contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without_ids(docs, contamination(docs, benchmark, **options).select("doc_id"))
