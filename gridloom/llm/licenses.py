@@ -9,8 +9,8 @@ words.  Coverage is the share of the template's words that are matched.
 
 One pass over all texts, no shuffle; templates are a small fixed table in the
 code or a parameter.  Null and empty texts hold no license; a template found at
-several places of a text gives a row for each; repeated rows give repeated
-results.
+several places of a text gives a row for each, of overlapping places the one with
+most matched words, then the best covered; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -67,8 +67,9 @@ TEMPLATES = {
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "CC-BY-4.0": ("This work is licensed under the Creative Commons Attribution 4.0 International License.",),
-    "CC-BY-SA-4.0": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC-BY-4.0": ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."),
+    "CC-BY-SA-4.0": ("This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."),
+    "CC-BY-NC-4.0": ("This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."),
 }
 FOUND = "doc_id long, license string, template int, coverage double, matched int, word_start int, word_end int"
 
@@ -143,6 +144,7 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, threshold: float
                 order = np.lexsort((shift, item, row))
                 row, item, shift = row[order], item[order], shift[order]
                 sizes = np.array([len(x) for x in block.words])
+                taken: dict[int, list] = {}
                 far = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) > np.maximum(4, sizes[item[1:]] // 4))
                 for group in np.split(np.arange(len(row)), np.flatnonzero(far) + 1):
                     r, i = int(row[group[0]]), int(item[group[0]])
@@ -151,7 +153,13 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, threshold: float
                     lo, hi = max(0, int(shift[group[0]]) - slack), min(len(doc), int(shift[group[-1]]) + size + slack)
                     pairs = patience(block.words[i].tolist(), doc[lo:hi].tolist())
                     if len(pairs) >= threshold * size:
-                        found.append((ids[w.lo + r], *names[i], len(pairs) / size, len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
+                        taken.setdefault(r, []).append((-len(pairs), -len(pairs) / size, i, lo + pairs[0][1], lo + pairs[-1][1] + 1))
+                for r, places in sorted(taken.items()):
+                    kept: list[tuple] = []
+                    for matched, coverage, i, a, z in sorted(places):  # of overlapping places the one with most words
+                        if all(z <= c or d <= a for c, d in kept):
+                            kept.append((a, z))
+                            found.append((ids[w.lo + r], *names[i], -coverage, -matched, a, z))
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             columns = zip(*found) if found else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [x.split()[0] for x in FOUND.split(", ")])
