@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.ranges import LEAST, range_bounds, range_shard
-from gridloom.llm.textops import mix, powers, slices, utf8
+from gridloom.llm.textops import distinct, mix, powers, slices, utf8
 
 KEPT = 48
 LEVELS = 7
@@ -94,10 +94,10 @@ def sketches(column: pa.Array) -> Iterator[np.ndarray]:
         for level, (x, row) in enumerate(phrase_names(raw[offsets[lo] : offsets[hi]], at), 1):
             h = (row.astype(np.uint64) << np.uint64(32)) | (mix(x + np.uint64(level)) >> np.uint64(32))
             (low if level < FULL_LEVEL else high).append(h)
-        keys = np.unique(np.concatenate(high))
+        keys = distinct(np.concatenate(high))
         short = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=hi - lo) < SHORT
         low = [h[short[(h >> np.uint64(32)).astype(np.int64)]] for h in low]
-        keys = np.unique(np.concatenate([keys, *low]))
+        keys = distinct(np.concatenate([keys, *low]))
         cuts = np.searchsorted(keys, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(32))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield keys[a : min(b, a + KEPT)].astype(np.uint32)
@@ -107,8 +107,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of common phrases, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    least = np.union1d(a, b)[:KEPT]
-    return float(np.isin(least, np.intersect1d(a, b, True), True).mean())
+    both = np.sort(np.concatenate([a, b]))
+    new = np.append(True, both[1:] != both[:-1])
+    common = np.append(~new[1:], False)[new]  # a value that comes twice is in both
+    return float(common[:KEPT].mean())
 
 
 def text_of(fingerprint: np.ndarray) -> str:
