@@ -4,12 +4,375 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gridloom.operators import connectivity as C
+from gridloom.operators import facets, geometry, graph, partition, reduce, regrid, select, vector
+from gridloom.operators.mesh import Mesh, edges, face_nodes, structured
+from gridloom.plans import fixtures as X
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def on_mesh(name: str, result: str, *more: str) -> Callable[[Callable[[Mesh], DataFrame]], None]:
+    """Register a query on the mixed mesh alone."""
+
+    def add(build: Callable[[Mesh], DataFrame]) -> None:
+        register(name, X.sql(X.MESH, *more, select=result))(lambda spark, sf_dir: build(X.mixed_mesh(spark)))
+
+    return add
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
     return QUERIES["regrid_mean"](spark, sf_dir)
+
+
+# geometry
+on_mesh("face_geometry", "select face_id, round(area, 6) as area, round(perimeter, 6) as perimeter, round(cx, 6) as cx, round(cy, 6) as cy from geo")(
+    lambda m: geometry.with_geometry(m).select("face_id", *r6("area", "perimeter", "cx", "cy"))
+)
+on_mesh("face_bounds", "select face_id, xmin, ymin, xmax, ymax from geo")(lambda m: geometry.with_geometry(m).select("face_id", "xmin", "ymin", "xmax", "ymax"))
+on_mesh("mesh_bounds", "select min(x) as xmin, min(y) as ymin, max(x) as xmax, max(y) as ymax from node")(lambda m: geometry.bounds(m.nodes))
+on_mesh("edge_geometry", "select edge_id, e.a, e.b, (p.x + q.x) / 2 as x, (p.y + q.y) / 2 as y, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) as length from edge e join node p on p.node_id = e.a join node q on q.node_id = e.b")(
+    lambda m: geometry.mesh_edge_geometry(m).select("edge_id", "a", "b", "x", "y", *r6("length"))
+)
+on_mesh("nodes_per_face", "select len(nodes) as n_nodes, count(*) as n_faces from face group by 1")(lambda m: m.faces.groupBy(F.size("nodes").alias("n_nodes")).agg(F.count("*").alias("n_faces")))
+on_mesh("triangulate", "select face_id, cast(k - 1 as integer) as part, nodes[1] as n0, nodes[k + 1] as n1, nodes[k + 2] as n2 from (select face_id, nodes, unnest(range(1, len(nodes) - 1)) as k from face)")(geometry.triangles)
+
+# connectivity
+on_mesh("edge_node", "select edge_id, a, b from edge")(edges)
+on_mesh("face_node", "select face_id, cast(pos as integer) as pos, node_id from corner")(face_nodes)
+on_mesh("face_edge", "select face_id, cast(pos as integer) as pos, edge_id from side join edge using (a, b)")(C.face_edges)
+on_mesh("edge_face", "select edge_id, a, b, f1, f2 from ef")(C.edge_faces)
+on_mesh("face_face", "select src, dst, via from ff")(C.face_faces)
+on_mesh("node_face", "select node_id, count(*) as n, sum(face_id) as total, min(face_id) as low from corner group by 1")(
+    lambda m: C.node_faces(m).select("node_id", F.size("faces").cast("long").alias("n"), F.aggregate("faces", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.get("faces", F.lit(0)).alias("low"))
+)
+on_mesh("node_edge", "select node_id, count(*) as n, min(edge_id) as low, max(edge_id) as high from (select edge_id, a as node_id from edge union all select edge_id, b from edge) group by 1")(
+    lambda m: C.node_edges(edges(m)).select("node_id", F.size("edges").cast("long").alias("n"), F.array_min("edges").alias("low"), F.array_max("edges").alias("high"))
+)
+on_mesh("node_node", "select a as src, b as dst, edge_id as via from edge union all select b, a, edge_id from edge")(lambda m: C.node_nodes(edges(m)))
+ENDS = "ends as (select edge_id, a as node_id from edge union all select edge_id, b from edge)"
+on_mesh("edge_edge", "select x.edge_id as src, y.edge_id as dst, node_id as via from ends x join ends y using (node_id) where x.edge_id <> y.edge_id", ENDS)(lambda m: C.edge_edges(edges(m)))
+on_mesh("directed_edge_edge", "select x.edge_id as src, y.edge_id as dst, x.b as via from edge x join ends y on y.node_id = x.b where x.edge_id <> y.edge_id", ENDS)(lambda m: C.directed_edge_edges(edges(m)))
+on_mesh("boundary_edges", "select edge_id, a, b, f1 as face_id from ef where f2 is null")(C.boundary_edges)
+on_mesh("exterior_faces", "select distinct f1 as face_id from ef where f2 is null")(C.exterior_faces)
+on_mesh(
+    "adjacency_weights",
+    "select src, dst, via, round((select avg(d) from d) / d, 6) as weight from d",
+    "d as (select src, dst, via, sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2) as d from ff join geo p on p.face_id = src join geo q on q.face_id = dst)",
+)(lambda m: C.adjacency_weights(C.face_faces(m), geometry.with_geometry(m).select(F.col("face_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))).select("src", "dst", "via", *r6("weight")))
+on_mesh(
+    "faces_subset",
+    "select row_number() over (order by k.face_id) - 1 as face_id, len(nodes) as n, list_sum(list_transform(nodes, lambda v: m[v])) as total from k join face using (face_id), (select map(list(node_id), list(new)) as m from ids)",
+    "k as (select face_id from face where face_id % 3 = 0)",
+    "ids as (select node_id, row_number() over (order by node_id) - 1 as new from (select distinct node_id from corner join k using (face_id)))",
+)(lambda m: C.faces_subset(m, m.faces.where("face_id % 3 = 0").select("face_id")).faces.select("face_id", F.size("nodes").cast("long").alias("n"), F.aggregate("nodes", F.lit(0).cast("long"), lambda a, v: a + v).alias("total")))
+
+# selection
+on_mesh("sel_box", "select face_id from geo where cx >= 10.2 and cx < 30.7 and cy >= 0 and cy < 5.5")(lambda m: select.sel_box(m, (10.2, 30.7), (None, 5.5)))
+
+
+@register("locate_points", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select point_id, face_id from located"))
+def locate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.locate_points(X.mixed_mesh(spark), X.order_points(spark, sf_dir))
+
+
+@register("sel_points", X.sql(X.CELLS, X.MESH, X.DATA, X.POINTS, X.LOCATED, select="select point_id, round(case when face_id is null then -1.0 else value end, 6) as value from located left join data using (face_id)"))
+def sel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.sel_points(X.mixed_mesh(spark), X.order_points(spark, sf_dir), X.face_data(spark, sf_dir), -1.0).select("point_id", *r6("value"))
+
+
+@register("points_per_face", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select face_id, count(*) as n from located where face_id is not null group by 1"))
+def points_per_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate_points(spark, sf_dir).where("face_id is not null").groupBy("face_id").agg(F.count("*").alias("n"))
+
+
+@register("nearest_node", X.sql(X.MESH, X.POINTS, select="select point_id, round(min(sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2)), 6) as distance from pt p join node n on n.x between p.x - 3 and p.x + 3 and n.y between p.y - 3 and p.y + 3 group by 1"))
+def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = X.mixed_mesh(spark).nodes.select(F.col("node_id").alias("id"), "x", "y")
+    return select.nearest(X.order_points(spark, sf_dir), nodes).select("point_id", *r6("distance"))
+
+
+@register("nearest_face", X.sql(X.MESH, X.POINTS, select="select point_id, round(min(sqrt((p.x - n.cx) ** 2 + (p.y - n.cy) ** 2)), 6) as distance from pt p join geo n on n.cx between p.x - 4 and p.x + 4 and n.cy between p.y - 4 and p.y + 4 group by 1"))
+def nearest_face(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers = geometry.with_geometry(X.mixed_mesh(spark)).select(F.col("face_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    return select.nearest(X.order_points(spark, sf_dir), centers).select("point_id", *r6("distance"))
+
+
+RASTER = X.MESH, "pt as (select r * 63 + c as point_id, r, c, (c + 0.5e0) * 0.8e0 as x, (14 - r - 0.5e0) * 0.8e0 as y from range(63) a(c), range(14) b(r))", X.LOCATED
+
+
+@register("rasterize", X.sql(*RASTER, select='select r as "row", c as col, round(x, 6) as x, round(y, 6) as y, face_id from pt join located using (point_id)'))
+def rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.rasterize(X.mixed_mesh(spark), 0.8).select("row", "col", *r6("x", "y"), "face_id")
+
+
+CUTS = """cuts as (select face_id, max(case when slope > 0 then -start / slope else 0 end) as t0, min(case when slope < 0 then -start / slope else 1 end) as t1,
+  bool_or(slope = 0 and start < 0) as out from (select face_id, (qx - px) * (0.3 - py) - (qy - py) * (0.7 - px) as start, (qx - px) * 10.1 - (qy - py) * 47.9 as slope from seg) group by 1)"""
+
+
+@register("intersect_line", X.sql(X.MESH, CUTS, select="select face_id, round(47.9 * (t0 + t1) / 2 + 0.7, 6) as x, round(sqrt(47.9 ** 2 + 10.1 ** 2) * (greatest(t0, 0) + least(t1, 1)) / 2, 6) as s from cuts where not out and least(t1, 1) > greatest(t0, 0)"))
+def intersect_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = spark.createDataFrame([(0, 0, 0.7, 0.3, 48.6, 10.4)], "line_id long, pos int, x0 double, y0 double, x1 double, y1 double")
+    return select.intersect_linestring(X.mixed_mesh(spark), line).select("face_id", *r6("x", "s"))
+
+
+# regridding
+def _weights(spark: SparkSession, relative: bool = False) -> DataFrame:
+    a = lambda n, d: regrid.axis(spark, [k * d for k in range(n + 1)])
+    x = regrid.axis_overlap(a(X.NX, 1.0), a(X.TX, X.TDX), relative)
+    y = regrid.axis_overlap(a(X.NY, 1.0), a(X.TY, X.TDY), relative)
+    return regrid.outer(x, y, X.NX, X.TX)
+
+
+def _regrid(method: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = X.price_cells(spark, sf_dir).select(F.col("cell").alias("source_id"), "value")
+        targets = spark.range(X.TX * X.TY).select(F.col("id").alias("target_id"))
+        return reduce.reduce_weights(_weights(spark, method in ("conservative", "conductance")), data, targets, method).select("target_id", *r6("value"))
+
+    return query
+
+
+_SQL = {
+    "mean": "sum(weight * value) / nullif(sum(weight), 0)",
+    "harmonic_mean": "sum(case when value <> 0 then weight end) / sum(case when value <> 0 then weight / value end)",
+    "geometric_mean": "exp(sum(case when value > 0 then weight * ln(value) end) / sum(case when value > 0 then weight end))",
+    "sum": "sum(value)",
+    "minimum": "min(value)",
+    "maximum": "max(value)",
+    "median": "quantile_cont(value, 0.5)",
+    **{f"p{p}": f"quantile_cont(value, {p / 100})" for p in (5, 10, 25, 50, 75, 90, 95)},
+    "conservative": "sum(weight * value)",  # source cells have unit area
+    "max_overlap": "arg_max(value, struct_pack(w := weight, v := value))",
+}
+for _name, _expression in _SQL.items():
+    _text = X.sql(X.CELLS, X.WEIGHTS, select=f"select target_id, round(v, 6) as value from target left join (select target_id, {_expression} as v from w group by 1) using (target_id)")
+    register(f"regrid_{_name}", _text)(_regrid(_name))
+register("regrid_mode", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, round(v, 6) as value from target left join (select target_id, arg_max(value, struct_pack(w := w, v := value)) as v from (select target_id, value, sum(weight) as w from w group by 1, 2) group by 1) using (target_id)"))(_regrid("mode"))
+
+
+@register("overlap_weights", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, source_id, round(weight, 6) as weight from (select target_id, ix + iy * 50 as source_id, (least(x1, ix + 1) - greatest(x0, ix)) * (least(y1, iy + 1) - greatest(y0, iy)) as weight from target, range(50) a(ix), range(11) b(iy) where ix < x1 and ix + 1 > x0 and iy < y1 and iy + 1 > y0)"))
+def overlap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(spark).select("target_id", "source_id", *r6("weight"))
+
+
+@register("overlap_general", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, source_id, round(weight, 6) as weight from (select target_id, ix + iy * 50 as source_id, (least(x1, ix + 1) - greatest(x0, ix)) * (least(y1, iy + 1) - greatest(y0, iy)) as weight from target, range(50) a(ix), range(11) b(iy) where ix < x1 and ix + 1 > x0 and iy < y1 and iy + 1 > y0)"))
+def overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = regrid.overlap_weights(structured(spark, X.NX, X.NY), structured(spark, X.TX, X.TY, X.TDX, X.TDY))
+    return w.select("target_id", "source_id", *r6("weight"))
+
+
+@register("overlap_triangles", X.sql(X.MESH, select="select face_id // 2 as target_id, sum(round(area, 6)) as area from geo group by 1"))
+def overlap_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = regrid.overlap_weights(X.mixed_mesh(spark), structured(spark, X.NX, X.NY))
+    return w.groupBy("target_id").agg(F.round(F.sum("weight"), 6).alias("area"))
+
+
+@register("regrid_centroid", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, round(value, 6) as value from target left join cells on floor((x0 + x1) / 2) = ix and floor((y0 + y1) / 2) = iy and (x0 + x1) / 2 < 50 and (y0 + y1) / 2 < 11"))
+def regrid_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = lambda n, d: regrid.axis(spark, [k * d for k in range(n + 1)])
+    w = regrid.outer(regrid.axis_centroids(a(X.NX, 1.0), a(X.TX, X.TDX)), regrid.axis_centroids(a(X.NY, 1.0), a(X.TY, X.TDY)), X.NX, X.TX)
+    targets = spark.range(X.TX * X.TY).select(F.col("id").alias("target_id"))
+    return reduce.reduce_weights(w, X.price_cells(spark, sf_dir).select(F.col("cell").alias("source_id"), "value"), targets).select("target_id", *r6("value"))
+
+
+LINEAR = """lin as (select target_id, ix, iy, value, greatest(0, 1 - abs(ix - gx)) * greatest(0, 1 - abs(iy - gy)) as weight from (
+  select target_id, least(greatest((x0 + x1) / 2 - 0.5, 0), 49) as gx, least(greatest((y0 + y1) / 2 - 0.5, 0), 10) as gy from target where (x0 + x1) / 2 <= 50 and (y0 + y1) / 2 <= 11) join cells on abs(ix - gx) < 1 and abs(iy - gy) < 1)"""
+
+
+@register("regrid_bilinear", X.sql(X.CELLS, X.WEIGHTS, LINEAR, select="select target_id, round(v, 6) as value from target left join (select target_id, sum(weight * value) / sum(weight) as v from lin group by 1) using (target_id)"))
+def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = lambda n, d: regrid.axis(spark, [k * d for k in range(n + 1)])
+    w = regrid.outer(regrid.axis_linear(a(X.NX, 1.0), a(X.TX, X.TDX)), regrid.axis_linear(a(X.NY, 1.0), a(X.TY, X.TDY)), X.NX, X.TX)
+    targets = spark.range(X.TX * X.TY).select(F.col("id").alias("target_id"))
+    return reduce.reduce_weights(w, X.price_cells(spark, sf_dir).select(F.col("cell").alias("source_id"), "value"), targets).select("target_id", *r6("value"))
+
+
+# facets
+@register("to_node_mean", X.sql(X.CELLS, X.MESH, X.DATA, select="select node_id as target_id, round(avg(value), 6) as value from corner left join data using (face_id) group by 1"))
+def to_node_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.mean_on(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "node").select("target_id", *r6("value"))
+
+
+@register("to_edge_mean", X.sql(X.CELLS, X.MESH, X.DATA, select="select edge_id as target_id, round(avg(value), 6) as value from side join edge using (a, b) left join data using (face_id) group by 1"))
+def to_edge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.mean_on(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "edge").select("target_id", *r6("value"))
+
+
+@register("edge_contrast", X.sql(X.CELLS, X.MESH, X.DATA, select="select edge_id, round(q.value - p.value, 6) as value from ef join data p on p.face_id = f1 join data q on q.face_id = f2"))
+def edge_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.edge_contrast(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id")).select("edge_id", *r6("value"))
+
+
+# graph
+HIGH = "high as (select face_id as id, value > (select quantile_cont(value, 0.9) from data) as value from data)"
+
+
+def _high(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.face_data(spark, sf_dir)
+    top = d.agg(F.percentile("value", 0.9).alias("top"))
+    return d.crossJoin(F.broadcast(top)).select(F.col("face_id").alias("id"), (F.col("value") > F.col("top")).alias("value"))  # joined with one row
+
+
+def _steps(value: bool, n: int) -> list[str]:
+    word = str(value).lower()
+    return [f"s{k} as (select id, case when exists (select 1 from ff join s{k - 1} t on t.id = ff.src where ff.dst = s.id and t.value = {word}) then {word} else s.value end as value from s{k - 1} s)" for k in range(1, n + 1)]
+
+
+@register("binary_dilation", X.sql(X.CELLS, X.MESH, X.DATA, HIGH, "s0 as (select * from high)", *_steps(True, 2), select="select id, value from s2"))
+def binary_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.binary_dilation(C.face_faces(X.mixed_mesh(spark)), _high(spark, sf_dir), iterations=2)
+
+
+@register("binary_erosion", X.sql(X.CELLS, X.MESH, X.DATA, HIGH, "s0 as (select id, not value as value from high)", *_steps(False, 2), select="select id, value from s2"))
+def binary_erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.binary_erosion(C.face_faces(X.mixed_mesh(spark)), _high(spark, sf_dir).select("id", (~F.col("value")).alias("value")), iterations=2, border_value=True)
+
+
+SAME = """kind as (select face_id, floor(value / 4000) as k from data),
+same as (select src, dst from ff join kind p on p.face_id = src join kind q on q.face_id = dst where p.k = q.k),
+reach as (select face_id as id, face_id as other from kind union select r.id, s.dst from reach r join same s on s.src = r.other),
+low as (select id, min(other) as low from reach group by 1)"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("with ", "with recursive ", 1)
+
+
+@register("equal_regions", _recursive(X.sql(X.CELLS, X.MESH, X.DATA, SAME, select="select id as face_id, dense_rank() over (order by low) - 1 as label from low")))
+def equal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.face_data(spark, sf_dir).select("face_id", F.floor(F.col("value") / 4000).cast("double").alias("value"))
+    return vector.equal_regions(X.mixed_mesh(spark), d).select("face_id", "label")
+
+
+@register("polygonize", _recursive(X.sql(X.CELLS, X.MESH, X.DATA, SAME, "lab as (select id as face_id, dense_rank() over (order by low) - 1 as label from low)", "outline as (select label, edge_id from side join edge using (a, b) join lab using (face_id) group by 1, 2 having count(*) = 1)", select="select label, count(*) as n_sides from outline group by 1")))
+def polygonize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.face_data(spark, sf_dir).select("face_id", F.floor(F.col("value") / 4000).cast("double").alias("value"))
+    p = vector.polygonize(X.mixed_mesh(spark), d)
+    return p.select("label", F.aggregate(F.transform("rings", lambda r: F.size(r) - 1), F.lit(0).cast("long"), lambda a, v: a + v).alias("n_sides"))
+
+
+@register("laplace_fill")
+def laplace_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = X.face_data(spark, sf_dir).select(F.col("face_id").alias("id"), F.when(F.col("face_id") % 5 != 0, F.col("value")).alias("value"))
+    return graph.laplace_fill(C.face_faces(X.mixed_mesh(spark)), d).select("id", F.round("value", 3).alias("value"))
+
+
+SHIFTED = "shifted as (select face_id, value, cx + face_id * 7919 % 1000 / 1e5 as x, cy + face_id * 104729 % 1000 / 1e5 as y from data join geo using (face_id))"
+
+
+@register("interpolate_na", X.sql(X.CELLS, X.MESH, X.DATA, SHIFTED, select="select face_id as id, round(value, 6) as value from data where face_id % 5 <> 0 union all select p.face_id, round(arg_min(q.value, (p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) from shifted p join shifted q on q.x between p.x - 4 and p.x + 4 and q.y between p.y - 4 and p.y + 4 where p.face_id % 5 = 0 and q.face_id % 5 <> 0 group by 1"))
+def interpolate_na(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shift = lambda c, k: (F.col(c) + F.col("face_id") * k % 1000 / 1e5).alias(c[1])  # noqa: E731  no two faces at one distance
+    d = X.face_data(spark, sf_dir).join(geometry.with_geometry(X.mixed_mesh(spark)).select("face_id", shift("cx", 7919), shift("cy", 104729)), "face_id")
+    holes, known = d.where("face_id % 5 = 0").select(F.col("face_id").alias("point_id"), "x", "y"), d.where("face_id % 5 <> 0")
+    near = select.nearest(holes, known.select(F.col("face_id").alias("id"), "x", "y"))
+    filled = near.join(known.select(F.col("face_id").alias("id"), "value"), "id").select(F.col("point_id").alias("id"), "value")
+    return known.select(F.col("face_id").alias("id"), "value").unionByName(filled).select("id", *r6("value"))
+
+
+@register("remove_self_loops", X.sql(X.USERS, select="select row_number() over (order by edge_id) - 1 as edge_id, dense_rank() over (order by edge_id) - 1 as rank from uedge where a <> b"))
+def remove_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.remove_self_loops(X.user_network(spark, sf_dir)).edges.select("edge_id", F.col("edge_id").alias("rank"))
+
+
+@register("topological_levels", """with recursive d as (select distinct cast(p_partkey as bigint) as a, cast(p_partkey * 2 + 1 as bigint) as b from part),
+    l as (select a as id, 0 as level from d where a not in (select b from d) union all select d.b, l.level + 1 from l join d on d.a = l.id)
+    select id, max(level) as level from l group by 1""")
+def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("a"), (F.col("p_partkey") * 2 + 1).cast("long").alias("b"))
+    return graph.topological_levels(p)
+
+
+@register("user_components", """select min(u) over () as component, u as id from (select distinct cast(user_id as bigint) as u from events)""")
+def user_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = X.user_network(spark, sf_dir)
+    return graph.connected_components(n.edges, "a", "b").select("component", "id")
+
+
+# vector geometry
+@register("burn_points", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select face_id, cast(max(point_id) as double) as value from located where face_id is not null group by 1"))
+def burn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = X.order_points(spark, sf_dir).select(F.col("point_id").alias("row"), "x", "y", F.col("point_id").cast("double").alias("value"))
+    return vector.burn_points(X.mixed_mesh(spark), p)
+
+
+@register("burn_polygons", X.sql(X.MESH, select="select face_id, case when cx between 20 and 40 and cy between 4 and 9 and not (cx between 25 and 30 and cy between 5 and 7) then 2.0 else 1.0 end as value from geo where cx between 2 and 35 and cy between 1 and 6 or cx between 20 and 40 and cy between 4 and 9 and not (cx between 25 and 30 and cy between 5 and 7)"))
+def burn_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = lambda a, b, c, d: [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d))]
+    ring = "array<struct<x:double,y:double>>"
+    polygons = spark.createDataFrame([(0, box(2, 1, 35, 6), [], 1.0), (1, box(20, 4, 40, 9), [box(25, 5, 30, 7)], 2.0)], f"row long, ring {ring}, holes array<{ring}>, value double")
+    return vector.burn_polygons(X.mixed_mesh(spark), polygons)
+
+
+@register("snap_to_nodes", X.sql(X.MESH, X.POINTS, select="select point_id, count(n.node_id) > 0 as snapped from pt p left join node n on (p.x - n.x) ** 2 + (p.y - n.y) ** 2 <= 0.2 ** 2 group by 1"))
+def snap_to_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = X.mixed_mesh(spark).nodes.select(F.col("node_id").alias("id"), "x", "y")
+    return vector.snap_to_nodes(X.order_points(spark, sf_dir), nodes, 0.2).select("point_id", F.col("id").isNotNull().alias("snapped"))
+
+
+# partitions
+PARTS = "part3 as (select face_id, face_id % 3 as label from face)"
+
+
+@register("partition_by_label", X.sql(X.MESH, PARTS, select="select label, face_id, row_number() over (partition by label order by face_id) - 1 as local_face from part3"))
+def partition_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = X.mixed_mesh(spark)
+    return partition.partition_by_label(m, m.faces.select("face_id", (F.col("face_id") % 3).alias("label"))).select("label", "face_id", "local_face")
+
+
+@register("merge_partitions", X.sql(X.MESH, select="select (select count(*) from node) as n_node, (select count(*) from face) as n_face, (select sum(area) from geo) as area"))
+def merge_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = X.mixed_mesh(spark)
+    parts = [(m.nodes, m.faces.where(f"face_id % 3 = {k}")) for k in range(3)] + [(m.nodes, m.faces.where("face_id < 100"))]
+    merged = partition.merge_partitions(parts)
+    used = geometry.with_geometry(merged)
+    return used.agg(F.count("*").alias("n_face"), F.round(F.sum("area"), 6).alias("area")).crossJoin(merged.nodes.agg(F.count("*").alias("n_node")))  # one row each
+
+
+@register("label_partitions", X.sql(X.MESH, select="select cast(floor(r * 8 / n) as bigint) as label, count(*) as n from (select row_number() over (order by face_id) - 1 as r, count(*) over () as n from face) group by 1"))
+def label_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.label_partitions(X.mixed_mesh(spark), 8).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# the forwarded array surface, on values by face or by day
+@register("rolling_mean", "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 3 preceding and current row), 6) as value from events")
+def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
+    return X.read_table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("value"))
+
+
+@register("resample_day", "select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n, round(sum(round(value * 10000)) / 10000, 2) as value from events group by 1, 2")
+def resample_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.read_table(spark, sf_dir, "events")
+    return e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("value") * 10000)) / 10000, 2).alias("value"))
+
+
+@register("groupby_mean", "select event_type, round(avg(round(value, 4)), 4) as value from events group by 1")
+def groupby_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.round("value", 4)), 4).alias("value"))
+
+
+@register("where_fill", X.sql(X.CELLS, X.MESH, X.DATA, select="select face_id, round(case when value > 30000 then value else 0 end, 6) as value from data"))
+def where_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.face_data(spark, sf_dir).select("face_id", F.round(F.when(F.col("value") > 30000, F.col("value")).otherwise(0.0), 6).alias("value"))
