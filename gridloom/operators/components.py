@@ -11,29 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import cut
+from gridloom.session import compact
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int = 200_000) -> DataFrame:
     """Return ``(id, component)`` for every id that occurs in ``edges``.
 
     Self loops keep their id; repeated and reversed edges change nothing; rows
-    with a null end are ignored; an empty table gives an empty result.
+    with a null end are ignored; an empty table gives an empty result.  With at most ``few`` edges the
+    labels are broadcast; with more, joins are shuffled.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = cut(pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("w")).select("id", F.least("id", "w").alias("component")))
+    both, n = compact(pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    side = F.broadcast if n <= few else lambda df: df  # the labels are no more than the edges
+    labels, _ = compact(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("w")).select("id", F.least("id", "w").alias("component")))
     while True:
-        near = (
-            both.join(labels, both.v == labels.id)
-            .groupBy("u")
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, labels.id == near.u, "left").select(
-            "id", F.col("component").alias("old"), F.least("component", "near").alias("mid")
-        )
+        near = both.join(side(labels), both.v == labels.id).groupBy("u").agg(F.min("component").alias("near"))
+        lower = labels.join(side(near), labels.id == near.u, "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        step = cut(lower.join(jump, "mid", "left").select("id", "old", F.least("mid", "far").alias("component")))
+        step, _ = compact(lower.join(side(jump), "mid", "left").select("id", "old", F.least("mid", "far").alias("component")))
         changed = step.where("old <> component").limit(1).count()
         labels = step.select("id", "component")
         if not changed:

@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows_per_task: int = 200_000) -> tuple[DataFrame, int]:
+    """``cut``, with no more partitions than the rows need; and the number of rows."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(n // rows_per_task + 1), n
+
+
 BROADCAST_IDS = 200_000
 
 
