@@ -2,13 +2,13 @@
 
 Documents with equal shingle sets are one class.  Band keys of the classes'
 signatures bring candidates together; in each bucket the classes are first
-compared with one hub only (the class that meets most others over all bands), then, where
-a bucket still holds classes of different components, with further hubs, and at
-last those of different components with each other.  Shingles that only one
-candidate has, and those shared with the first hub, bound the similarity of its
-pairs; pairs that cannot reach the threshold are never made.  A pair's signatures are compared in batches; it is dropped as soon
-as the posterior chance of a similarity of at least the threshold falls below
-the chosen miss probability.  Survivors are verified on their full sets.
+compared with one hub only (the class that meets most others over all bands),
+then, where a bucket still holds classes of different components, those with
+each other.  Shingles that only one candidate has, and those shared with the
+first hub, bound the similarity of a pair; pairs that cannot reach the threshold
+are never made.  A pair's signatures are compared in batches; it is dropped as
+soon as the posterior chance of a similarity of at least the threshold falls
+below the chosen miss probability.  Survivors are verified on their full sets.
 
 Null text and text without words give an empty set, which is linked with
 nothing.  Rows with equal ``doc_id`` are one node.  Rows with null ``doc_id``
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.textops import mix, shingle_sets, words
 from gridloom.operators.components import connected_components
-from gridloom.session import cut, without_ids
+from gridloom.session import compact, cut, without_ids
 
 ROWS = 5
 BANDS = 24
@@ -123,12 +123,12 @@ def _survivors(least: list[int]):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float = 1e-9, hubs: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float = 1e-9) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
     Texts are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of ``n``-word shingles.
-    ``component_id`` is the smallest ``doc_id`` reachable.  ``hubs``: how many hubs a bucket has had
-    after its second round; the third compares all pairs of different components that are left.
+    ``component_id`` is the smallest ``doc_id`` reachable.  ``miss``: the chance at which a pair's
+    signatures may rule it out.
     """
     texts = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, one long, two long, bands array<long>"
@@ -153,15 +153,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     two = full.select(F.col("id").alias("v"), F.col("sig").alias("y"), F.col("shingles").alias("b"))
     by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
     links, labels = None, None
-    for after, upto in ((0, 1), (1, hubs), (hubs, None)):
+    for after, upto in ((0, 1), (1, None)):
         rows = bucket if labels is None else bucket.join(labels, "id", "left")
         rows = rows.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
         mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
-        mixed = cut(mixed.where(f"low <> high and c > {after}").select("key"))
-        if not mixed.limit(1).count():
+        mixed, n_mixed = compact(mixed.where(f"low <> high and c > {after}").select("key"))
+        if not n_mixed:
             break
         rows = rows.join(mixed, "key", "left_semi")
-        if after == 1:  # from here on, what each class shares with its bucket's first hub bounds its pairs further
+        if after:  # from here on, what each class shares with its bucket's first hub bounds its pairs further
             center = rows.withColumn("rank", F.row_number().over(by_weight)).where("rank = 1").select("key", F.col("id").alias("center"))
             rows = rows.join(center, "key")
             shared = rows.select(F.col("id").alias("u"), F.col("center").alias("v")).distinct().join(one, "u").join(two, "v")
@@ -169,10 +169,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
             bands = known.select(F.col("doc_id").alias("id"), "bands").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
             rows = rows.join(shared, ["id", "center"]).drop("center").join(bands, "id")
             rows = cut(rows.withColumn("outer", F.col("most") - F.col("inner")))
-            bucket = rows.drop("component")
-        # the hubs of a round follow those of the round before, by falling weight
+        # the first hub, by falling weight; in the second round all other classes
         top = rows.withColumn("rank", F.row_number().over(by_weight))
-        top = (top.where(f"rank <= {upto}") if upto else top).where(f"rank > {after}").drop("rank", "size", "weight")
+        top = (top.where(f"rank <= {upto}") if upto else top.where(f"rank > {after}")).drop("rank", "size", "weight")
         top = top.select("key", *(F.col(c).alias(f"hub_{c}") for c in top.columns if c != "key"))
         common = F.least("most", "hub_most")
         if after:
@@ -181,15 +180,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
         pairs = pairs.where(common * 100 >= (F.col("n_shingles") + F.col("hub_n_shingles") - common) * percent)
         if after:  # each pair in its first common bucket only
             pairs = pairs.where(F.get(F.array_intersect("bands", "hub_bands"), F.lit(0)) == F.col("key"))
-        pairs = pairs.select(F.least("id", "hub_id").alias("u"), F.greatest("id", "hub_id").alias("v")).distinct()
+        pairs, _ = compact(pairs.select(F.least("id", "hub_id").alias("u"), F.greatest("id", "hub_id").alias("v")).distinct())
         likely = pairs.join(one.drop("a"), "u").join(two.drop("b"), "v").select("u", "v", "x", "y").mapInArrow(_survivors(least), "u long, v long")
-        new = cut(
+        new, n_new = compact(
             likely.join(one.drop("x"), "u").join(two.drop("y"), "v")
             .withColumn("both", F.size(F.array_intersect("a", "b")))
             .where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
             .select("u", "v")
         )
-        if new.limit(1).count():
+        if n_new:
             links = new if links is None else links.unionAll(new)
             labels = connected_components(links, "u", "v")
     if labels is None:
