@@ -72,7 +72,7 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def _dense(rows: list) -> np.ndarray:
-    return sum(np.frombuffer(r[0], np.float64) for r in rows)
+    return sum(np.frombuffer(r[0], np.float32).astype(float) for r in rows)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 4000, rounds: int = 4, epochs: int = 3, rate: float = 8.0, decay: float = 1e-5, clear: float = 3.0) -> Model:
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     rows = cut(sample.select("doc_id", "y", "text").repartition(SHARDS, "doc_id").sortWithinPartitions("doc_id", "text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * (1 << BITS) + 2)
+        total = np.zeros(2 * (1 << BITS) + 2, np.float32)
         for b in batches:
             for y, x in zip(b.column(1).to_pylist(), feature_rows(b.column(2))):
                 total[(int(y > 0) << BITS) + x] += 1
@@ -107,11 +107,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     p, q = total[size : 2 * size] + 1, total[:size] + 1
     ratio = np.log((p / (some + 2)) / (q / (none + 2)))
     ratio[np.abs(ratio) < clear * np.sqrt(1 / p + 1 / q)] = 0
-    weight, bias = np.zeros(size), prior
+    kept = np.flatnonzero(ratio)  # the clear features, numbered anew from here on
+    number = np.full(size, -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    clear_ratio = ratio[kept]
+    weight, bias = np.zeros(len(kept)), prior
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([f[ratio[f] != 0].tobytes() for f in feature_rows(b.column(2))], pa.binary())
+            x = pa.array([n[n >= 0].tobytes() for n in (number[f] for f in feature_rows(b.column(2)))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
 
     rows = cut(rows.mapInArrow(featured, "doc_id long, y int, x binary"))
@@ -125,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
             for b in batches:
                 for y, x in zip(b.column(1).to_pylist(), b.column(2)):
                     f = np.frombuffer(x.as_buffer(), np.int32)
-                    v = ratio[f]
+                    v = clear_ratio[f]
                     norm = np.sqrt((v * v).sum())
                     if norm:
                         data.append((int(y > 0), f.copy(), (v / norm).astype(np.float32)))
@@ -134,12 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
                     wrong = y - 1 / (1 + np.exp(-np.clip(b0 + (w[f] * v).sum(), -30, 30)))
                     w[f] += step * (wrong * v - decay * w[f])
                     b0 += 0.05 * wrong
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(w, [b0, 1.0]).tobytes()] if data else [], pa.binary())], ["w"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(w, [b0, 1.0]).astype(np.float32).tobytes()] if data else [], pa.binary())], ["w"])
 
         mixed = _dense(rows.mapInArrow(descend, "w binary").collect())
         mixed = mixed / mixed[-1]
-        weight, bias = mixed[:size], float(mixed[size])
-    return Model(weight * ratio, ratio, bias + shift)  # the sample holds other shares of the classes than the labels do
+        weight, bias = mixed[:-2], float(mixed[-2])
+    full = np.zeros(size, np.float32)
+    full[kept] = weight * clear_ratio
+    return Model(full, ratio.astype(np.float32), bias + shift)  # the sample holds other shares of the classes than the labels do
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
