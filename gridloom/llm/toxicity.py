@@ -88,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
     rows = cut(sample.select("doc_id", "y", "text").repartition(SHARDS, "doc_id").sortWithinPartitions("doc_id", "text"))
+    rows = rows.coalesce(SHARDS)  # as many vectors reach the driver, whatever the number of partitions
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * (1 << BITS) + 2, np.float32)
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
             x = pa.array([n[n >= 0].tobytes() for n in (number[f] for f in feature_rows(b.column(2)))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), x], ["doc_id", "y", "x"])
 
-    rows = cut(rows.mapInArrow(featured, "doc_id long, y int, x binary"))
+    rows = cut(rows.mapInArrow(featured, "doc_id long, y int, x binary")).coalesce(SHARDS)
 
     for turn in range(rounds):
         step, start, offset = rate / (1 + turn), weight, bias
