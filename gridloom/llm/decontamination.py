@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased.  The benchmark's n-grams are
-counted over all documents; each item keeps its rare ones as seeds (few
-documents, or the rarest part of the item, so that a passage that very many
-documents share keeps seeds too).  Where a seed occurs in a document, the item
-is aligned with the words around it, and the score is the best local alignment
-divided by the item's best possible one.
+its seeds, and are counted over all documents.  Where a seed occurs in a
+document, the item is aligned with the words around it, and the score is the
+best local alignment divided by the item's best possible one.  A document with
+a rare seed of the item (few documents, or the rarest part of the item's seeds
+that occur) is aligned at once.  Beside common seeds alone, an item is aligned
+unless too few of its words stand around them to reach the threshold whatever
+their order, so that rarity saves work and drops nothing.
 
 The benchmark is handled in blocks of a bounded number of words, each shipped to
 the tasks; every block reads all documents twice and shuffles only seed counts.
@@ -43,9 +45,6 @@ class Block:
     place: np.ndarray
     size: np.ndarray
 
-    def keep(self, chosen: np.ndarray) -> Block:
-        return Block(self.ids, self.words, self.sizes, self.keys[chosen], self.owner[chosen], self.place[chosen], self.size[chosen])
-
 
 def block_of(items: list[tuple[int, bytes]], n: int) -> Block:
     rows, lists = [], [np.frombuffer(w, np.uint64) for _, w in items]
@@ -99,8 +98,11 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _aligned(block: Block, doc: np.ndarray, i: int, shifts: np.ndarray) -> tuple[float, int, int]:
-    """Best score of item ``i`` near the given shifts of its start in ``doc``, and the words it covers."""
+def _aligned(block: Block, doc: np.ndarray, i: int, shifts: np.ndarray, least: float = 0.0) -> tuple[float, int, int]:
+    """Best score of item ``i`` near the given shifts of its start in ``doc``, and the words it covers.
+
+    Places where the item's words cannot score ``least`` in any order are passed over.
+    """
     item = block.words[i]
     size, slack = len(item), max(4, len(item) // 3)
     best = (0.0, 0, 0)
@@ -110,6 +112,8 @@ def _aligned(block: Block, doc: np.ndarray, i: int, shifts: np.ndarray) -> tuple
         exact = [int(s) for s in group if s >= 0 and s + size <= len(doc) and (doc[s : s + size] == item).all()]
         if exact:
             return 1.0, exact[0], exact[0] + size
+        if least and np.isin(item, doc[lo:hi]).sum() < least * size:
+            continue
         score, end = smith_waterman(item, doc[lo:hi])
         if score > best[0] * MATCH * size:
             _, back = smith_waterman(item[::-1], doc[lo : lo + end][::-1])
@@ -121,7 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
     """A row for each document and item whose alignment scores at least ``threshold``.
 
     ``rare_share``: a seed is rare if at most this share of the documents (and in any case 10) has it, or
-    if it is among the rarest half of its item's.
+    if it is among the rarest half of its item's seeds that occur.
     """
 
     def as_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +166,12 @@ def _in_block(texts: DataFrame, block: Block, threshold: float, rare_share: floa
     spread[seeds.seed.to_numpy()] = seeds.n.to_numpy()
     number = np.searchsorted(np.unique(block.keys), block.keys)
     frame = pd.DataFrame({"owner": block.owner, "n": spread[number]})
-    rank = frame.groupby("owner").n.rank(method="min", pct=True).to_numpy() if len(frame) else np.zeros(0)
-    rare = block.keep((frame.n.to_numpy() <= max(10, rare_share * docs)) | (rank <= 0.5))
+    rank = frame.n.where(frame.n > 0).groupby(frame.owner).rank(method="min", pct=True).to_numpy() if len(frame) else np.zeros(0)
+    rare = (frame.n.to_numpy() <= max(10, rare_share * docs)) | (rank <= 0.5)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(rare)
-        ends = np.append(finder.first, len(rare.keys))
+        finder = Finder(block)
+        ends = np.append(finder.first, len(block.keys))
         for b in batches:
             ids, found = b.column(0).to_pylist(), []
             for w in words(b.column(1), marks=False):
@@ -178,15 +182,15 @@ def _in_block(texts: DataFrame, block: Block, threshold: float, rare_share: floa
                 many = ends[which + 1] - ends[which]  # a seed may stand in several items
                 seed = np.repeat(ends[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
                 at = np.repeat(at, many)
-                row, item = rows[at], rare.owner[seed]
-                shift = at - w.first[row] - rare.place[seed]
+                row, item = rows[at], block.owner[seed]
+                shift = at - w.first[row] - block.place[seed]
                 order = np.lexsort((shift, item, row))
-                row, item, shift = row[order], item[order], shift[order]
+                row, item, shift, few = row[order], item[order], shift[order], rare[seed[order]]
                 for group in np.split(np.arange(len(row)), np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1):
                     r, i = int(row[group[0]]), int(item[group[0]])
-                    score, a, z = _aligned(rare, w.hash[w.first[r] : w.first[r + 1]], i, shift[group])
+                    score, a, z = _aligned(block, w.hash[w.first[r] : w.first[r + 1]], i, shift[group], 0.0 if few[group].any() else threshold)
                     if score >= threshold:
-                        found.append((ids[w.lo + r], rare.ids[i], round(score, 6), len(group), a, z))
+                        found.append((ids[w.lo + r], block.ids[i], round(score, 6), len(group), a, z))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
             columns = zip(*found) if found else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [x.split()[0] for x in FOUND.split(", ")])

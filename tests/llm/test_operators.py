@@ -187,6 +187,25 @@ def test_passage_shared_by_most_documents(spark):
     assert decontamination.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 80
 
 
+@pytest.mark.parametrize("every", [4, 5])
+def test_edited_passage_shared_by_many_documents(spark, every):
+    rng = random.Random(10)
+    item = prose(rng, 40)
+    copy = " ".join("edited" if k % every == every - 1 else w for k, w in enumerate(item.split()))
+    docs = docs_of(spark, [(i, f"{prose(rng, 30)} {copy if i < 2000 else ''} {prose(rng, 30)}") for i in range(2050)])
+    got = decontamination.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(2000)) and all(r.score > 0.6 for r in got)
+
+
+def test_single_common_seed(spark):
+    item = prose(random.Random(11), 8)
+    edited = " ".join("other" if k in (3, 7) else w for k, w in enumerate(item.split()))
+    common = " ".join(item.split()[:3])
+    docs = docs_of(spark, [(i, edited) for i in range(30)] + [(100 + i, f"{common} and more") for i in range(30)])
+    got = decontamination.contamination(docs, spark.createDataFrame([(1, item), (2, common)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, k) for i in range(30) for k in (1, 2)} | {(100 + i, 2) for i in range(30)}
+
+
 # licenses
 
 
