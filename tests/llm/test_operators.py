@@ -262,6 +262,24 @@ def test_pii_rows(spark):
     assert clean[1].text is None and clean[4].text == "one two" and clean[4].key == "x"
 
 
+def test_candidates_part_runs_of_digits():
+    card, phones = "4539 1488 0343 6467", ["(212) 555-0147", "+1 (826) 555-4081", "843.555.7672"]
+    runs = [(f"{p} 190.137.223.204", (p, 3)) for p in phones] + [(f"{phones[0]} {p}", (p, 3)) for p in phones] + [(f"2024-05-17 {p}", (p, 3)) for p in phones]
+    runs += [(f"{card} 17", (card, 2)), (" ".join(["212-555-0147"] * 40), ("212-555-0147", 3)), ("at 2001:db8::1 now", ("2001:db8::1", 1)), ("from ::1", ("::1", 1))]
+    runs += [(f"write {m} soon", (m, 0)) for m in ("joe AT host DOT org", "joe {at} host.org", "joe at host.org", "JOE (AT) HOST.ORG")]
+    for text, (span, kind) in runs:
+        assert (span, kind) in {(text[s:e], k) for s, k, e in pii.candidates(text)}, text
+    lines = "1 " * 50_000 + "1" * 200_000 + " at" * 50_000
+    assert len(list(pii.candidates(lines))) < 30 * 50_000
+
+
+def test_neighbouring_numbers_are_masked(spark):
+    texts = [(1, "call +1 (826) 555-4081 190.137.223.204 now"), (2, "call +1 (843) 555-7672 170.106.47.218 now"), (3, "tel (212) 555-0147 (646) 555-0199 now"), (4, "host 2001:db8::1 is up"), (5, "in 2019 and 2020-05-17 we sold 1200 of 3000")]
+    docs = docs_of(spark, texts)
+    got = {r.doc_id: r.text for r in pii.redact(docs, pii.fit(docs.where("doc_id <> 3"))).collect()}
+    assert got == {1: "call [PHONE] [IP] now", 2: "call [PHONE] [IP] now", 3: "tel [PHONE] [PHONE] now", 4: "host [IP] is up", 5: texts[4][1]}
+
+
 # HTML
 
 
