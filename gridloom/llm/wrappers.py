@@ -5,18 +5,23 @@ closes and text slots, with runs of alike siblings folded into repeated groups.
 The distinct streams of a host are aligned one after another: what both have
 stays, what only one has becomes optional, and neighbouring equal groups become
 repeated ones, which gives one union-free regular expression for the host, its
-wrapper.  The wrapper's main container is the deepest container element that
-holds nearly all text slots' characters outside of boilerplate elements; a page
-of the host gives the text of that container, or of its body if it has none.
-
-Streams are counted and text is summed by host before anything is gathered; a
-host's distinct streams are first aligned in salted parts, and then the parts'
-wrappers with each other.  A null or empty html gives an empty text; a null url
-belongs to the host with the empty name; each row of ``pages`` gives one row.
+wrapper.  Each page is matched with its host's wrapper, which gives every text of
+it a slot.  A slot is fixed if it stands on every page of the host with the same
+text, on pages that differ elsewhere; such a text is the host's, not the page's.
+A page gives all text outside of boilerplate elements, but for fixed slots outside
+the deepest container that holds all other text of this page, or in a container
+of their own.  Nothing else is left out: a page without other text, one that its
+host's wrapper does not match, and pages of the empty host are given whole.
+
+Streams and slots are counted by host before anything is gathered; a host's
+distinct streams are first aligned in salted parts, and then the parts' wrappers
+with each other.  A null or empty html gives an empty text; a null url belongs to
+the host with the empty name; each row of ``pages`` gives one row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -46,7 +51,6 @@ BOILERPLATE_WORDS = frozenset(
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table article section div body main td th".split())
-MOST = 0.9
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -157,28 +161,19 @@ def _add(level: list, piece: str, longest: int = 4) -> None:
         n += 1
 
 
-def skeleton(page: str) -> tuple[str, dict[str, int]]:
-    """The folded token stream, and the characters of text by path of container elements."""
-    chars: dict[str, int] = {}
+def skeleton(page: str) -> str:
+    """The folded token stream."""
     levels: list[list] = [[]]
-    path: list[str] = []
     for kind, value, boiler in walk(page):
         if kind == "open":
             levels.append([])
-            if _tag(value) in CONTAINERS:
-                path.append(value)
         elif kind == "close":
             inside = [] if boiler else levels[-1]
             levels.pop()
-            if _tag(value) in CONTAINERS:
-                path.pop()
             _add(levels[-1], " ".join([f"<{value}>", *map(str, inside), f"</{_tag(value)}>"]))
         elif kind == "text" and not value.isspace():
             _add(levels[-1], "#text")
-            if not boiler:
-                where = "/".join(path)
-                chars[where] = chars.get(where, 0) + len(value)
-    return " ".join(map(str, levels[0])), chars
+    return " ".join(map(str, levels[0]))
 
 
 def _units(stream: list[str]) -> list[str]:
@@ -233,50 +228,131 @@ def _repeats(units: list[str]) -> list[str]:
     return out
 
 
-def container(chars: dict[str, int]) -> str:
-    """The deepest path below which ``MOST`` of the characters stand."""
-    total, best = sum(chars.values()), ""
-    while total:
-        below: dict[str, int] = {}
-        for p, n in chars.items():
-            if p == best or not p.startswith(best + "/" if best else ""):
-                continue
-            step = p[len(best) + 1 if best else 0 :].split("/")[0]
-            below[step] = below.get(step, 0) + n
-        if not below:
-            break
-        step = max(below, key=lambda s: (below[s], s))
-        if below[step] < MOST * total:
-            break
-        best = f"{best}/{step}" if best else step
-    return best
-
-
-def main_text(page: str, main: str) -> str:
-    """Blocks of the container, one a line; of the whole page where it lacks the container."""
-    inside, everything = [], []
-    path: list[str] = []
+class Matcher:
+    """A wrapper as a program: symbols to read, and where to go on after each."""
+
+    def __init__(self, wrapper: str):
+        self.symbols: list[str | None] = []
+        self.goto: list[tuple[int, ...]] = []
+        begun: list[int] = []
+        for t in wrapper.split():
+            at = len(self.symbols)
+            if t == "(":
+                begun.append(at)
+            self.symbols.append(None if t == "(" or t in (")+", ")?") else t)
+            self.goto.append((at + 1,))
+            if t == ")?":
+                self.goto[begun.pop()] += (at + 1,)
+            elif t == ")+":
+                self.goto[at] = (begun.pop() + 1, at + 1)
+        self.reached: dict[int, list[int]] = {}
+
+    def _from(self, at: int) -> list[int]:
+        """Places of symbols, or the end, that follow ``at`` without reading; the first choice first."""
+        if at not in self.reached:
+            out, seen, todo = [], set(), [at]
+            while todo:
+                k = todo.pop()
+                if k in seen:
+                    continue
+                seen.add(k)
+                if k == len(self.symbols) or self.symbols[k] is not None:
+                    out.append(k)
+                else:
+                    todo += reversed(self.goto[k])
+            self.reached[at] = out
+        return self.reached[at]
+
+    def slots(self, stream: list[str]) -> list[int] | None:
+        """The place in the wrapper of each token, or None if the stream does not fit."""
+        threads: list[tuple[int, tuple | None]] = [(k, None) for k in self._from(0)]
+        for token in stream:
+            after, seen = [], set()
+            for k, past in threads:
+                if k < len(self.symbols) and self.symbols[k] == token:
+                    for q in self._from(k + 1):
+                        if q not in seen:
+                            seen.add(q)
+                            after.append((q, (k, past)))
+            if not after:
+                return None
+            threads = after
+        for k, past in threads:
+            if k == len(self.symbols):
+                out = []
+                while past:
+                    out.append(past[0])
+                    past = past[1]
+                return out[::-1]
+        return None
+
+
+def _stream(steps: list[tuple[str, str, bool]]) -> list[str]:
+    """The page's own token stream, not folded, without the insides of boilerplate."""
+    out, deep = [], 0
+    for kind, value, boiler in steps:
+        if kind == "open":
+            if not deep:
+                out.append(f"<{value}>")
+            deep += boiler
+        elif kind == "close":
+            deep -= boiler
+            if not deep:
+                out.append(f"</{_tag(value)}>")
+        elif kind == "text" and not deep and not value.isspace():
+            out.append("#text")
+    return out
+
+
+def _plain(text: str) -> str:
+    return " ".join(entities.unescape(text).split())
+
+
+def _texts(steps: list[tuple[str, str, bool]]) -> list[str]:
+    return [value for kind, value, boiler in steps if kind == "text" and not boiler and not value.isspace()]
+
+
+def slot_texts(page: str, matcher: Matcher) -> dict[int, str] | None:
+    """Text of each slot of the wrapper, or None if the page does not fit it."""
+    steps = list(walk(page))
+    stream = _stream(steps)
+    if (places := matcher.slots(stream)) is None:
+        return None
+    out: dict[int, str] = {}
+    for k, value in zip((k for k, t in zip(places, stream) if t == "#text"), _texts(steps)):
+        out[k] = f"{out[k]}\n{_plain(value)}" if k in out else _plain(value)
+    return out
+
+
+def main_text(page: str, matcher: Matcher | None = None, fixed: frozenset = frozenset()) -> str:
+    """Blocks outside of boilerplate, one a line, without the host's ``fixed`` slots around or between the page's own text."""
+    steps = list(walk(page))
+    stream = _stream(steps) if fixed else []
+    places = matcher.slots(stream) if fixed else None
+    own = iter([k not in fixed for k, t in zip(places, stream) if t == "#text"] if places else [True] * len(steps))
+    path: list[tuple[int, str]] = []
+    around: list | None = None
+    filled = set()
+    blocks: list[tuple[str, tuple]] = []
     held: list[str] = []
-    held_in = False
+    where: tuple = ()
 
     def flush() -> None:
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            if text := _plain("".join(held)):
+                blocks.append((text, where))
             held.clear()
-            if text:
-                everything.append(text)
-                if held_in:
-                    inside.append(text)
 
-    seen = False
-    for kind, value, boiler in walk(page):
+    for n, (kind, value, boiler) in enumerate(steps):
         tag = _tag(value) if kind in ("open", "close") else ""
         if kind == "text":
             if not boiler:
                 if not held:
-                    here = "/".join(path)
-                    held_in = here == main or here.startswith(main + "/")
+                    where = tuple(path)
                 held.append(value)
+                if not value.isspace() and next(own):
+                    filled.update(path)
+                    around = list(path) if around is None else [x for x, y in zip(around, path) if x == y]
         elif kind == "void":
             if value == "hr":
                 flush()
@@ -287,32 +363,36 @@ def main_text(page: str, main: str) -> str:
                 flush()
             if tag in CONTAINERS:
                 if kind == "open":
-                    path.append(value)
-                    seen = seen or "/".join(path) == main
+                    path.append((n, tag))
                 else:
                     path.pop()
     flush()
-    return "\n".join(inside if seen and main else everything)
+    if around is None or not places:
+        return "\n".join(text for text, _ in blocks)
+
+    def kept(at: tuple) -> bool:
+        nearest = next((c for c in reversed(at) if c[1] != "td"), None)  # cells belong to their table
+        return list(at[: len(around)]) == around and (nearest is None or nearest in filled)
+
+    return "\n".join(text for text, at in blocks if kept(at))
 
 
 def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """``(host, wrapper, main, pages)``: the expression of each host, and its main container."""
+    """``(host, wrapper, pages)``: the expression of each host."""
     host, _ = host_and_path(F.col("url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[tuple[str, str, str], int] = {}
+            found: dict[tuple[str, str], int] = {}
             for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                stream, chars = skeleton(page or "")
-                found[h, "stream", stream] = found.get((h, "stream", stream), 0) + 1
-                for p, n in chars.items():
-                    found[h, "path", p] = found.get((h, "path", p), 0) + n
+                key = h, skeleton(page or "")
+                found[key] = found.get(key, 0) + 1
             rows = [(*k, n) for k, n in found.items()]
-            columns = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], ["host", "kind", "value", "n"])
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["host", "value", "n"])
 
-    counted = pages.select(host.alias("host"), "html").mapInArrow(run, "host string, kind string, value string, n long")
-    counted = cut(counted.groupBy("host", "kind", "value").agg(F.sum("n").alias("n")))
+    counted = pages.select(host.alias("host"), "html").where("host <> ''").mapInArrow(run, "host string, value string, n long")
+    counted = cut(counted.groupBy("host", "value").agg(F.sum("n").alias("n")))
 
     def together(rows: pd.DataFrame) -> str:
         rows = rows.sort_values(["n", "value"], ascending=[False, True])
@@ -324,28 +404,67 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "value": [together(rows)], "n": [rows.n.sum()]})
 
-    streams = counted.where("kind = 'stream'").withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
+    streams = counted.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
     parts = streams.groupBy("host", "salt").applyInPandas(part, "host string, value string, n long")
-    whole = parts.groupBy("host").applyInPandas(part, "host string, value string, n long").withColumnRenamed("value", "wrapper").withColumnRenamed("n", "pages")
+    return parts.groupBy("host").applyInPandas(part, "host string, value string, n long").select("host", F.col("value").alias("wrapper"), F.col("n").alias("pages"))
 
-    def chosen(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "main": [container(dict(zip(rows.value, rows.n)))]})
 
-    paths = counted.where("kind = 'path'").groupBy("host").applyInPandas(chosen, "host string, main string")
-    return whole.join(paths, "host", "left").select("host", "wrapper", F.coalesce("main", F.lit("")).alias("main"), "pages")
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def extract(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
+def fixed_slots(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``(host, fixed)``: slots with one text on every page of the host; ``pages`` have ``wrapper`` and ``host``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[str, Matcher] = {}
+        for b in batches:
+            seen: dict[tuple[str, int], list[int]] = {}
+            for h, w, page in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if w not in matchers:
+                    if len(matchers) >= 1000:
+                        matchers.clear()
+                    matchers[w] = Matcher(w)
+                texts = slot_texts(page or "", matchers[w]) or {}
+                whole = _hash("\n".join(texts.values()))
+                for k, text in texts.items():
+                    x = _hash(text)
+                    if (r := seen.get((h, k))) is None:
+                        seen[h, k] = [x, x, whole, whole, 1]
+                    else:
+                        r[:] = min(r[0], x), max(r[1], x), min(r[2], whole), max(r[3], whole), r[4] + 1
+            rows = [(*k, *r) for k, r in seen.items()]
+            columns = zip(*rows) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n else pa.string()) for n, c in enumerate(columns)], ["host", "slot", "lo", "hi", "first", "last", "n"])
+
+    slots = pages.where("wrapper is not null").select("host", "wrapper", "html").mapInArrow(run, "host string, slot long, lo long, hi long, first long, last long, n long")
+    slots = slots.groupBy("host", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    return slots.where("lo = hi and first < last").join(found.select("host", "pages"), "host").where("n = pages").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("fixed"))  # at most a wrapper's slots
+
+
+def extract(pages: DataFrame, broadcast_hosts: int = 100_000, broadcast_chars: int = 32_000_000) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row."""
-    mains = cut(wrappers(pages).select("host", "main"))
+    found = cut(wrappers(pages))
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    few = mains.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    rows = rows.join(F.broadcast(mains) if few else mains, "host", "left").select("page_id", "url", "html", "main")
+
+    def joined(hosts: DataFrame) -> DataFrame:
+        size = hosts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("chars")).first()
+        return rows.join(F.broadcast(hosts) if size.n <= broadcast_hosts and size.chars <= broadcast_chars else hosts, "host", "left")
+
+    fixed = fixed_slots(joined(found.select("host", "wrapper")), found)
+    rows = joined(cut(found.join(fixed, "host").select("host", "wrapper", "fixed"))).select("page_id", "url", "html", "wrapper", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[str, Matcher] = {}
         for b in batches:
-            texts = [main_text(h or "", m or "") for h, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for page, w, slots in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+                if w is not None and w not in matchers:
+                    if len(matchers) >= 1000:
+                        matchers.clear()
+                    matchers[w] = Matcher(w)
+                texts.append(main_text(page or "", matchers.get(w), frozenset(slots or ())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

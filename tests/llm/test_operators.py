@@ -292,6 +292,18 @@ def test_extraction(spark):
     assert got[-3:] == [(20, "", 0), (21, "", 0), (22, "unclosed <b> tail", 17)]
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_fixed_slots_of_the_wrapper_are_left_out(spark):
+    page = "<body><div class=top>Our motto</div><section><h1>Head {n}</h1>{more}<p>Same words</p><p>Text {n}</p></section><div class=end>All rights</div></body>"
+    rows = [(n, f"http://d.org/{n}", page.replace("{more}", "<p>extra</p><table><tr><td>x</td></tr></table>" * (n % 3)).replace("{n}", str(n))) for n in range(6)]
+    got = extracted(spark, rows + [(9, "http://e.org/9", rows[0][2])] * 2)
+    assert got[0] == "Head 0\nSame words\nText 0" and got[1] == "Head 1\nextra\nx\nSame words\nText 1"
+    assert got[9] == "Our motto\nHead 0\nSame words\nText 0\nAll rights"
+
+
 def test_alignment_keeps_both():
     a, b = "<p> #text </p> <i> </i>", "<p> #text </p> <u> </u>"
     w = wrappers.align(a, b)
