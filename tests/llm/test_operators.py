@@ -296,6 +296,20 @@ def extracted(spark, rows):
     return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_extraction_keeps_leads_and_odd_pages(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for n in range(8):
+        lead, story = prose(rng, 3), prose(rng, 200)
+        rows.append((n, f"http://c.org/{n}", f"<body><div class=lead>{lead}</div><div class=story>{story}</div></body>"))
+        want[n] = f"{lead}\n{story}"
+    short, other = prose(rng, 4), prose(rng, 50)
+    rows.append((20, "http://c.org/20", f"<body><div class=story>{short}</div><section><p>{other}</p></section></body>"))
+    want[20] = f"{short}\n{other}"
+    rows += [(30, None, "<div class=story>one</div><section>two</section>"), (31, "odd", "<div class=story>long long long</div>")]
+    assert extracted(spark, rows) == want | {30: "one\ntwo", 31: "long long long"}
+
+
 def test_fixed_slots_of_the_wrapper_are_left_out(spark):
     page = "<body><div class=top>Our motto</div><section><h1>Head {n}</h1>{more}<p>Same words</p><p>Text {n}</p></section><div class=end>All rights</div></body>"
     rows = [(n, f"http://d.org/{n}", page.replace("{more}", "<p>extra</p><table><tr><td>x</td></tr></table>" * (n % 3)).replace("{n}", str(n))) for n in range(6)]
