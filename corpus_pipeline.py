@@ -1,4 +1,12 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, personal data, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, decontamination, personal data, packing.
+
+All stages but the last return the columns of ``documents``, whatever others there are beside ``doc_id``
+and ``text``.  Null and empty texts pass all stages (and are packed as their end token); rows with a null
+``doc_id`` are never taken for copies or contaminated and stay; of rows that repeat a ``doc_id`` each
+distinct text stays once; of texts that tie as near-duplicates the one with the smallest ``doc_id`` stays.
+Very long texts are read whole.  Without labels nothing is rejected as toxic; an empty benchmark
+contaminates nothing; empty documents give an empty table.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import decontamination, minhash, packing, pii, toxicity
-from gridloom.session import shared_dir
+from gridloom.session import remove, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +58,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each one's result written and read again for the next."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # its successor is written
+        before = path
     return docs
