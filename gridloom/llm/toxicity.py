@@ -9,9 +9,13 @@ shards' weights.  Scores need one pass over the texts and no shuffle.
 
 The sample is bounded: at most ``max_each`` labelled rows of each class, those
 whose ids have the smallest hashes; the bias is set right for their shares.  Labels with a null id or value count for nothing; of
-several labels of an id the largest counts.  Without labels of both classes
-every score is the smoothed share of toxic labels.  Null text counts as empty;
-an empty text is scored by the fitted bias alone.
+several labels of an id the largest counts.  Without labels of both classes (an
+empty table, or one class alone) nothing tells texts apart: every score is the
+smoothed share of toxic labels, at most ``BLIND``, so that nothing is rejected.
+Null text counts as empty; an empty text is scored by the fitted bias alone; a very
+long one is read whole.  Repeated rows get equal scores, an empty table of documents
+an empty result, and a null ``doc_id`` stays null and is not held out.  Columns with
+other names are carried by ``without_toxic`` and not read.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from gridloom.session import cut
 BITS = 18
 ORDERS = (3, 4, 5, 6)
 SHARDS = 8
-PART = 1 << 18
+BLIND = 0.25
 
 
 def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
@@ -71,8 +75,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _dense(rows: list) -> np.ndarray:
-    return sum(np.frombuffer(r[0], np.float32).astype(float) for r in rows)
+def _dense(rows: list, size: int) -> np.ndarray:
+    return sum((np.frombuffer(r[0], np.float32) for r in rows), np.zeros(size))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int = 4000, rounds: int = 4, epochs: int = 3, rate: float = 8.0, decay: float = 1e-5, clear: float = 3.0) -> Model:
@@ -98,12 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
                 total[-1 - int(y > 0)] += 1
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    total = _dense(rows.mapInArrow(counts, "total binary").collect())  # a vector of fixed size from each shard
+    total = _dense(rows.mapInArrow(counts, "total binary").collect(), 2 * (1 << BITS) + 2)  # a vector of fixed size from each shard
     none, some = total[-1], total[-2]
     size = 1 << BITS
     odds = lambda a, b: float(np.log((a + 1) / (b + 1)))
     if not none or not some:
-        return Model(np.zeros(size), np.zeros(size), odds(shares.get(1, 0), shares.get(0, 0)))
+        share = min(BLIND, (shares.get(1, 0) + 1) / (sum(shares.values()) + 2))
+        return Model(np.zeros(size), np.zeros(size), float(np.log(share / (1 - share))))
     prior, shift = odds(some, none), odds(shares.get(1, 0), shares.get(0, 0)) - odds(some, none)
     p, q = total[size : 2 * size] + 1, total[:size] + 1
     ratio = np.log((p / (some + 2)) / (q / (none + 2)))
@@ -141,7 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_each: int
                     b0 += 0.05 * wrong
             yield pa.RecordBatch.from_arrays([pa.array([np.append(w, [b0, 1.0]).astype(np.float32).tobytes()] if data else [], pa.binary())], ["w"])
 
-        mixed = _dense(rows.mapInArrow(descend, "w binary").collect())
+        mixed = _dense(rows.mapInArrow(descend, "w binary").collect(), len(kept) + 2)
+        if not mixed[-1]:  # no text of the sample has a clear feature
+            break
         mixed = mixed / mixed[-1]
         weight, bias = mixed[:-2], float(mixed[-2])
     full = np.zeros(size, np.float32)
@@ -167,13 +174,13 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score below 1/2, all columns as they are; null texts stay."""
+    """The rows of ``docs`` that do not score over 1/2, all columns as they are; null texts stay."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(place)
-            clean = [model.margin(x) < 0 for x in feature_rows(texts)]
+            clean = [model.margin(x) <= 0 for x in feature_rows(texts)]
             yield b.filter(pa.array([c or not v for c, v in zip(clean, texts.is_valid().to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
