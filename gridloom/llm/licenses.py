@@ -5,12 +5,17 @@ three-word seeds with a license template, the words around the seeds are aligned
 with the template: words that occur once in both are anchors, the longest
 increasing subsequence of anchors is kept, and the gaps between anchors are
 aligned in the same way; a gap without anchors takes its common first and last
-words.  Coverage is the share of the template's words that are matched.
+words.  Coverage is the share of the template's words that are matched.  Groups of
+seeds in the template's order with foreign text between them (a page header, a list
+of files; up to twice the template's length) are also aligned together, without it.
 
 One pass over all texts, no shuffle; templates are a small fixed table in the
-code or a parameter.  Null and empty texts hold no license; a template found at
-several places of a text gives a row for each, of overlapping places the one with
-most matched words, then the best covered; repeated rows give repeated results.
+code or a parameter.  The table holds notices and short texts; long license texts
+can be given as templates.  Null and empty texts hold no license, very long ones are
+read whole; a template found at several places of a text gives a row for each, of
+overlapping places the one with most matched words, then the best covered; repeated
+rows give repeated results, a null ``doc_id`` stays null, and an empty table gives an
+empty result.  Other columns of ``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -58,6 +63,56 @@ TEMPLATES = {
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be "
+        "misrepresented; you must not claim that you wrote the original software.",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to '
+        "prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+        "following:",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies.",
@@ -121,6 +176,54 @@ def license_texts(templates: dict = TEMPLATES) -> tuple[list[tuple[str, int]], l
     return names, list(enumerate(lists))
 
 
+def _chains(parts: list[tuple[int, int, int, int]], size: int) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Runs of several parts ``(from, to, template from, template to)`` in the order of document and template.
+
+    The runs that cover most of the template come first, and a part is in one run.  Parts are at most twice
+    the template's ``size`` apart; templates of under 20 words and parts of a tenth of one are not joined.
+    """
+    parts = sorted(p for p in parts if p[3] - p[2] >= max(4, size // 10)) if size >= 20 else []
+    best: list[tuple[int, int]] = []
+    for i, (lo, _, a, z) in enumerate(parts):
+        found = (z - a, -1)
+        for j in range(i - 1, -1, -1):
+            if lo - parts[j][0] > 4 * size:
+                break
+            gain = z - max(a, parts[j][3])
+            if lo - 2 * size <= parts[j][1] <= lo and parts[j][2] < a and best[j][0] + gain > found[0]:
+                found = best[j][0] + gain, j
+        best.append(found)
+    used: set[int] = set()
+    for i in sorted(range(len(parts)), key=lambda k: (-best[k][0], k)):
+        if 2 * best[i][0] < size:
+            break
+        chain, k = [], i
+        while k >= 0 and k not in used:
+            chain.append(k)
+            k = best[k][1]
+        used.update(chain)
+        if len(chain) > 1:
+            yield [parts[k] for k in chain[::-1]]
+
+
+def _around(chain: list[tuple[int, int, int, int]], size: int) -> np.ndarray:
+    """Word positions of the parts and of as many words around them as the template has there."""
+    at, done = [], 0
+    for k, (lo, hi, a, z) in enumerate(chain):
+        before = max(0, a - (chain[k - 1][3] if k else 0))
+        after = max(0, chain[k + 1][2] - z) if k + 1 < len(chain) else 8
+        at.append(np.arange(max(done, lo - before - 2), min(size, hi + after + 2)))
+        done = at[-1][-1] + 1 if len(at[-1]) else done
+    return np.concatenate(at)
+
+
+def _keep(taken: dict[int, list], r: int, i: int, template: np.ndarray, doc: np.ndarray, at: np.ndarray, threshold: float) -> None:
+    """Note the place if the document's words at ``at`` cover the template."""
+    pairs = patience(template.tolist(), doc[at].tolist())
+    if pairs and len(pairs) >= threshold * len(template):
+        taken.setdefault(r, []).append((-len(pairs), -len(pairs) / len(template), i, int(at[pairs[0][1]]), int(at[pairs[-1][1]]) + 1))
+
+
 def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, threshold: float = 0.8, n: int = 3) -> DataFrame:
     """A row for each place where a template is covered by at least ``threshold``."""
     names, items = license_texts(templates)
@@ -139,21 +242,26 @@ def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, threshold: float
                 many = ends[which + 1] - ends[which]
                 seed = np.repeat(ends[which] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
                 at = np.repeat(at, many)
-                row, item = rows[at], block.owner[seed]
-                shift = at - w.first[row] - block.place[seed]
+                row, item, place = rows[at], block.owner[seed], block.place[seed]
+                at = at - w.first[row]
+                shift = at - place
                 order = np.lexsort((shift, item, row))
-                row, item, shift = row[order], item[order], shift[order]
+                row, item, shift, at, place = row[order], item[order], shift[order], at[order], place[order]
                 sizes = np.array([len(x) for x in block.words])
                 taken: dict[int, list] = {}
                 far = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(shift) > np.maximum(4, sizes[item[1:]] // 4))
+                parts: dict[tuple[int, int], list] = {}
                 for group in np.split(np.arange(len(row)), np.flatnonzero(far) + 1):
                     r, i = int(row[group[0]]), int(item[group[0]])
                     doc, size = w.hash[w.first[r] : w.first[r + 1]], int(sizes[i])
                     slack = max(2, size // 4)
-                    lo, hi = max(0, int(shift[group[0]]) - slack), min(len(doc), int(shift[group[-1]]) + size + slack)
-                    pairs = patience(block.words[i].tolist(), doc[lo:hi].tolist())
-                    if len(pairs) >= threshold * size:
-                        taken.setdefault(r, []).append((-len(pairs), -len(pairs) / size, i, lo + pairs[0][1], lo + pairs[-1][1] + 1))
+                    span = range(max(0, int(shift[group[0]]) - slack), min(len(doc), int(shift[group[-1]]) + size + slack))
+                    _keep(taken, r, i, block.words[i], doc, np.arange(span.start, span.stop), threshold)
+                    parts.setdefault((r, i), []).append((int(at[group].min()), int(at[group].max()) + n, int(place[group].min()), int(place[group].max()) + n))
+                for (r, i), found_parts in parts.items():
+                    doc = w.hash[w.first[r] : w.first[r + 1]]
+                    for chain in _chains(found_parts, int(sizes[i])):
+                        _keep(taken, r, i, block.words[i], doc, _around(chain, len(doc)), threshold)
                 for r, places in sorted(taken.items()):
                     kept: list[tuple] = []
                     for matched, coverage, i, a, z in sorted(places):  # of overlapping places the one with most words
