@@ -2,10 +2,10 @@
 
 Each page becomes a stream of tokens: element opens (tag and class), element
 closes and text slots, with runs of alike siblings folded into repeated groups.
-The distinct streams of a host are aligned one after another: what both have
-stays, what only one has becomes optional, and neighbouring equal groups become
-repeated ones, which gives one union-free regular expression for the host, its
-wrapper.  Each page is matched with its host's wrapper, which gives every text of
+The distinct streams of a host are aligned one after another, level by level: what
+both have stays, what only one has becomes optional, and neighbours of one name
+become a repeated group, which gives one union-free regular expression for the host,
+its wrapper.  Each page is matched with its host's wrapper, which gives every text of
 it a slot.  A slot is fixed if it stands on every page of the host with the same
 text, on pages that differ elsewhere; such a text is the host's, not the page's.
 A page gives all text outside of boilerplate elements, but for fixed slots outside
@@ -13,10 +13,13 @@ the deepest container that holds all other text of this page, or in a container
 of their own.  Nothing else is left out: a page without other text, one that its
 host's wrapper does not match, and pages of the empty host are given whole.
 
-Streams and slots are counted by host before anything is gathered; a host's
-distinct streams are first aligned in salted parts, and then the parts' wrappers
-with each other.  A null or empty html gives an empty text; a null url belongs to
-the host with the empty name; each row of ``pages`` gives one row.
+Streams and slots are counted by host before anything is gathered.  A host's
+distinct streams are aligned as a tree: groups of about ``GROUP`` in tasks of their
+own, then the groups' wrappers in the same way, until one is left.  A null or empty
+html gives an empty text; a null url belongs to the host with the empty name; a very
+long page is read whole; each row of ``pages`` gives one row, repeated ones too; an
+empty table gives an empty result.  Other columns of ``pages``, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -33,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.urlfilter import host_and_path
+from gridloom.operators.joins import lookup
 from gridloom.session import cut
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
@@ -44,10 +51,21 @@ CONTAINERS = frozenset("article main section div td body html".split())
 #: Elements, roles and class or id words that are never part of an article.
 BOILERPLATE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe svg button select option textarea title menu dialog object canvas".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner bottombar breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
-    "disclaimer footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion promoted "
-    "related respond reply replies search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+#: ``STRONG`` ones mark an element wherever they stand in a name; the others if all words beside them
+#: are ``GENERIC``, so that "share-box" is boilerplate and "share-price" is not.
+STRONG = frozenset(
+    "adbox adslot advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comments commentlist cookies disqus footer gdpr masthead "
+    "navbar newsletter pagination popup promoted sidebar signup sponsored toolbar topbar bottombar".split()
+)
+BOILERPLATE_WORDS = STRONG | frozenset(
+    "ad ads banner comment consent cookie disclaimer header login menu modal nav navigation notice notices promo promotion related respond reply replies "
+    "search share sharing skip social sponsor subscribe subscription widget".split()
+)
+GENERIC = frozenset(
+    "alert area articles aside bar bars big block bottom box btn button buttons center col column container count desktop embed fixed float form global "
+    "google grid group icon icons inner item items large layout left leaderboard level link links list lists media menu mini mobile more outer page pane panel "
+    "policy popular posts primary rail reader region right row secondary section site slot small space stack sticky stories sub text thread to tools top "
+    "unit user users view wide wrap wrapper".split()
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table article section div body main td th".split())
@@ -63,8 +81,11 @@ def boilerplate(tag: str, a: dict[str, str]) -> bool:
         return True
     if tag in ("body", "html", "article", "main"):
         return False
-    words = re.split(r"[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}".lower()) if a else ()
-    return any(w in BOILERPLATE_WORDS for w in words)
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split() if a else ():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if any(w in STRONG for w in words) or any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in GENERIC for w in words):
+            return True
+    return False
 
 
 def symbol(tag: str, a: dict[str, str]) -> str:
@@ -176,56 +197,88 @@ def skeleton(page: str) -> str:
     return " ".join(map(str, levels[0]))
 
 
-def _units(stream: list[str]) -> list[str]:
-    """Tokens, with groups and optionals as one unit each."""
-    out, depth = [], 0
-    for t in stream:
-        if depth:
-            out[-1] += " " + t
+class Node:
+    """A part of an expression: an element, a text slot or a group; it may be optional and repeated."""
+
+    __slots__ = ("key", "children", "optional", "repeated")
+
+    def __init__(self, key: str | None, children: list[Node], optional: bool = False, repeated: bool = False):
+        self.key, self.children, self.optional, self.repeated = key, children, optional, repeated
+
+    def name(self) -> str:
+        """What aligns with what: the symbol of an element, or those of a group's parts."""
+        return self.key or " ".join(c.name() for c in self.children)
+
+    def tokens(self, out: list[str]) -> None:
+        out += ["("] * (self.optional + self.repeated)
+        if self.key and self.key != "#text":
+            out.append(self.key)
+        elif self.key:
+            out.append("#text")
+        for c in self.children:
+            c.tokens(out)
+        if self.key and self.key != "#text":
+            out.append(f"</{_tag(self.key[1:].rstrip('>'))}>")
+        out += [")+"] * self.repeated + [")?"] * self.optional
+
+
+def parsed(expression: str) -> list[Node]:
+    """The parts of an expression, neighbours of one name folded."""
+    levels: list[tuple[str, list[Node]]] = [("", [])]
+    for t in expression.split():
+        if t == "(" or t.startswith("<") and not t.startswith("</"):
+            levels.append((t, []))
+        elif t == "#text":
+            levels[-1][1].append(Node(t, []))
+        else:
+            opened, inner = levels.pop()
+            inner = _folded(inner)
+            if opened != "(":
+                node = Node(opened, inner)
+            else:
+                node = inner[0] if len(inner) == 1 else Node(None, inner)
+                node.repeated |= t == ")+"
+                node.optional |= t == ")?"
+            levels[-1][1].append(node)
+    return _folded(levels[0][1])
+
+
+def _folded(nodes: list[Node]) -> list[Node]:
+    """Neighbours of one name as one repeated part."""
+    out: list[Node] = []
+    for n in nodes:
+        if out and out[-1].name() == n.name():
+            optional = out[-1].optional and n.optional
+            out[-1] = _merge(out[-1], n)
+            out[-1].optional, out[-1].repeated = optional, True
         else:
-            out.append(t)
-        depth += (t == "(") - t.startswith(")")
+            out.append(n)
     return out
 
 
-def align(a: str, b: str) -> str:
-    """The union-free expression that both streams or expressions fit."""
-    if a == b:
-        return a
-    bare = lambda u: u[2:-3] if u.startswith("( ") and u.endswith(" )?") else u
-    x, y = _units(a.split()), _units(b.split())
-    kx, ky = [_loose(bare(u)) for u in x], [_loose(bare(u)) for u in y]
-    out: list[str] = []
-    for op, i, j, k, m in SequenceMatcher(None, kx, ky, autojunk=False).get_opcodes():
-        if op == "equal":
-            for u, v in zip(x[i:j], y[k:m]):
-                core = bare(u) if bare(u).startswith("( ") else bare(v)
-                out.append(f"( {core} )?" if (u, v) != (bare(u), bare(v)) else core)
-        else:
-            for part in (x[i:j], y[k:m]):
-                if part:
-                    out.append(f"( {' '.join(bare(u) for u in part)} )?")
-    return " ".join(_repeats(out))
+def _merge(a: Node, b: Node) -> Node:
+    """What both parts of one name fit."""
+    return Node(a.key, _together(a.children, b.children), a.optional or b.optional, a.repeated or b.repeated)
 
 
-def _loose(unit: str) -> str:
-    """A repeated group and its single member compare as equal."""
-    return unit[2:-3] if unit.startswith("( ") and unit.endswith(" )+") else unit
+def _together(x: list[Node], y: list[Node]) -> list[Node]:
+    """Parts that both have stay, those that only one has become optional."""
+    out: list[Node] = []
+    for op, i, j, k, m in SequenceMatcher(None, [n.name() for n in x], [n.name() for n in y], autojunk=False).get_opcodes():
+        if op == "equal":
+            out += [_merge(u, v) for u, v in zip(x[i:j], y[k:m])]
+        else:
+            out += [Node(n.key, n.children, True, n.repeated) for n in (*x[i:j], *y[k:m])]
+    return _folded(out)
 
 
-def _repeats(units: list[str]) -> list[str]:
-    """Neighbouring equal runs of up to eight units become a repeated group."""
+def align(a: str, b: str) -> str:
+    """The union-free expression that both streams or expressions fit."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # as deep as pages are nested
     out: list[str] = []
-    for u in units:
-        out.append(u)
-        for n in range(1, 9):
-            if len(out) >= 2 * n and out[-n:] == out[-2 * n : -n] and all(not t.startswith(("<", "#")) for t in (out[-n], out[-1])):
-                group = out[-n:]
-                del out[-2 * n :]
-                joined = " ".join(group)
-                out.append(joined if n == 1 and joined.endswith(")+") else f"( {joined} )+")
-                break
-    return out
+    for n in _together(parsed(a), parsed(b)):
+        n.tokens(out)
+    return " ".join(out)
 
 
 class Matcher:
@@ -377,7 +430,10 @@ def main_text(page: str, matcher: Matcher | None = None, fixed: frozenset = froz
     return "\n".join(text for text, at in blocks if kept(at))
 
 
-def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
+GROUP = 32
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
     """``(host, wrapper, pages)``: the expression of each host."""
     host, _ = host_and_path(F.col("url"))
 
@@ -395,18 +451,19 @@ def wrappers(pages: DataFrame, salts: int = 16) -> DataFrame:
     counted = cut(counted.groupBy("host", "value").agg(F.sum("n").alias("n")))
 
     def together(rows: pd.DataFrame) -> str:
-        rows = rows.sort_values(["n", "value"], ascending=[False, True])
-        out = rows.value.iloc[0]
-        for v in rows.value.iloc[1:]:
-            out = align(out, v)
-        return out
+        values = rows.sort_values(["n", "value"], ascending=[False, True]).value.tolist()
+        return reduce(align, values[1:], align(values[0], values[0]))
 
     def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [key[0]], "value": [together(rows)], "n": [rows.n.sum()]})
 
-    streams = counted.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(salts)))
-    parts = streams.groupBy("host", "salt").applyInPandas(part, "host string, value string, n long")
-    return parts.groupBy("host").applyInPandas(part, "host string, value string, n long").select("host", F.col("value").alias("wrapper"), F.col("n").alias("pages"))
+    for turn in count():
+        sizes = cut(counted.groupBy("host").agg(F.count("*").alias("members")))
+        if turn and (sizes.agg(F.max("members")).first()[0] or 0) <= 1:
+            return counted.select("host", F.col("value").alias("wrapper"), F.col("n").alias("pages"))
+        groups = F.ceil(F.col("members") / GROUP)
+        dealt = lookup(counted, sizes, ["host"], size="members").withColumn("salt", F.pmod(F.xxhash64("value"), groups)).drop("members")
+        counted = cut(dealt.groupBy("host", "salt").applyInPandas(part, "host string, value string, n long"))
 
 
 def _hash(text: str) -> int:
@@ -449,8 +506,8 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000, broadcast_chars: i
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
 
     def joined(hosts: DataFrame) -> DataFrame:
-        size = hosts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("chars")).first()
-        return rows.join(F.broadcast(hosts) if size.n <= broadcast_hosts and size.chars <= broadcast_chars else hosts, "host", "left")
+        size = hosts.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0)).alias("chars")).first()
+        return lookup(rows, hosts, ["host"], few=broadcast_hosts if size.chars <= broadcast_chars else 0)
 
     fixed = fixed_slots(joined(found.select("host", "wrapper")), found)
     rows = joined(cut(found.join(fixed, "host").select("host", "wrapper", "fixed"))).select("page_id", "url", "html", "wrapper", "fixed")
