@@ -1,18 +1,26 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with equal shingle sets are one class.  Band keys of the classes'
-signatures bring candidates together; in each bucket the classes are first
-compared with one hub only (the class that meets most others over all bands),
-then, where a bucket still holds classes of different components, those with
-each other.  Shingles that only one candidate has, and those shared with the
-first hub, bound the similarity of a pair; pairs that cannot reach the threshold
-are never made.  A pair's signatures are compared in batches; it is dropped as
-soon as the posterior chance of a similarity of at least the threshold falls
-below the chosen miss probability.  Survivors are verified on their full sets.
-
-Null text and text without words give an empty set, which is linked with
-nothing.  Rows with equal ``doc_id`` are one node.  Rows with null ``doc_id``
-are linked with nothing, and have a null component and are kept.
+signatures bring candidates together.  First each bucket's classes are compared
+with a hub (the class that meets most others over all bands, then the first one
+outside of that hub's component), which joins large groups in linear work.  Where
+a bucket still holds classes of different components, its classes' shingles are
+ordered from rare to common, and two classes are compared if they share a band and
+one of the rare shingles that every pair at the threshold must share (a prefix), so
+that what many texts have in common brings no pairs; a shingle that is in very many
+prefixes is dealt over cells of blocks.  Shingles that only one candidate has, and
+the place of the first common one, bound the similarity; pairs that cannot reach
+the threshold are never made.
+
+A pair's signatures are compared in batches; it is dropped as soon as the posterior
+chance of a similarity of at least the threshold falls below the chosen miss
+probability.  Survivors are verified on their full sets.
+
+Null text and text without words give an empty set, which is linked with nothing;
+very long texts are read whole.  Rows with equal ``doc_id`` are one node, whatever
+their texts.  Rows with null ``doc_id`` are linked with nothing, and have a null
+component and are kept.  Every row of ``docs`` gives one row; an empty table gives
+an empty result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.textops import mix, shingle_sets, words
 from gridloom.operators.components import connected_components
-from gridloom.session import compact, cut, without_ids
+from gridloom.operators.joins import lookup
+from gridloom.session import compact, cut, remove, stored, without_ids
 
 ROWS = 5
 BANDS = 24
 SIZE = ROWS * BANDS
 BATCH = 24
+HUBS = 2
+BLOCK = 256
 _FACTORS = (mix(np.arange(1, SIZE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = (mix(np.arange(1001, SIZE + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -123,6 +134,49 @@ def _survivors(least: list[int]):
     return run
 
 
+def _hub_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """``(u, v)``: the classes of each bucket beside its hub; ``rows`` are of buckets with several components."""
+    best = lambda df: df.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "id", "n_shingles", "most", "component")).alias("hub"))
+    hubs = best(rows)
+    if turn:  # the heaviest class outside of the first hub's component
+        first = cut(hubs.select("key", F.col("hub.component").alias("main")))
+        hubs = best(lookup(rows, first, ["key"]).where("component <> main"))
+    pairs = lookup(rows, cut(hubs), ["key"], "inner").where("id <> hub.id and component <> hub.component")
+    common = F.least("most", "hub.most")
+    pairs = pairs.where(common * 100 >= (F.col("n_shingles") + F.col("hub.n_shingles") - common) * percent)
+    return pairs.select(F.least("id", "hub.id").alias("u"), F.greatest("id", "hub.id").alias("v")).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, full: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """``(u, v)``: classes that share a band and a prefix shingle, of different components.
+
+    With shingles in one order for all, sets of ``n`` and ``m`` shingles at the threshold share one of the
+    first ``n - ceil(n * percent / 100) + 1`` of each, and at the first that they share both have enough
+    shingles left.
+    """
+    ids = cut(rows.select("id", "component").distinct())
+    token = full.join(ids, "id").select("id", "component", F.xxhash64("sig").alias("text"), F.explode("shingles").alias("s"))
+    counts = cut(token.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
+    ranked = lookup(token, counts, ["s"], size="c").groupBy("id", "component", "text")
+    ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("t"))  # a text's own shingles
+    n = F.size("t")
+    ranked = ranked.select("id", "component", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.ceil(n * percent / 100).cast("int") + 1)).alias("pos", "x"))
+    ranked = cut(ranked.where("x.c > 1").select("id", "component", "n", "pos", "x.s"))
+    size = ranked.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    ranked = lookup(ranked, cut(size), ["s"], "inner", size="m")
+    # a shingle of m prefixes is dealt to cells (i, j) of blocks of about BLOCK rows, i <= j
+    ranked = ranked.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    ranked = ranked.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    side = lambda i, j, name: ranked.withColumn("other", F.explode(F.sequence(*(("block", F.col("blocks") - 1) if i == "block" else (F.lit(0), "block"))))).select("s", F.col(i).alias("i"), F.col(j).alias("j"), F.struct("id", "component", "n", "pos").alias(name))
+    pairs = side("block", "other", "a").join(side("other", "block", "b"), ["s", "i", "j"]).where("a.component <> b.component and (i <> j or a.id < b.id)")
+    room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    pairs = pairs.where(room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
+    pairs = pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    known = bands.dropDuplicates(["id"])
+    pairs = pairs.join(known.select(F.col("id").alias("u"), F.col("bands").alias("x")), "u").join(known.select(F.col("id").alias("v"), F.col("bands").alias("y")), "v")
+    return pairs.where(F.arrays_overlap("x", "y")).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float = 1e-9) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, a row for each row of ``docs``.
 
@@ -130,57 +184,43 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     ``component_id`` is the smallest ``doc_id`` reachable.  ``miss``: the chance at which a pair's
     signatures may rule it out.
     """
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_shingles long, one long, two long, bands array<long>"
-    found = cut(texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests(n), schema))
+    found = cut(texts.mapInArrow(_digests(n), schema))
     known = found.where("doc_id is not null")
-    classes = known.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    member = cut(known.drop("bands").join(classes, ["one", "two", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")))
-    first = member.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct()
-    rows = known.join(first, "doc_id").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("key"))
+    same = ["one", "two", "n_shingles"]
+    classes = known.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
+    member = lookup(known, cut(classes.where("members > 1")), same, size="members").select("doc_id", "n_shingles", "bands", F.coalesce("class_id", "doc_id").alias("class_id"))
+    member = cut(member)
+    bands = member.where("doc_id = class_id and n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
+    rows = bands.select("id", "n_shingles", F.explode("bands").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = cut(rows.join(shared, "key").distinct())
+    bucket = cut(lookup(rows, cut(shared), ["key"], "inner", size="size"))
 
     inside = bucket.groupBy("id").agg(F.sum("size").alias("weight"))
-    full = cut(texts.join(inside, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(n), "id long, sig binary, shingles array<long>"))
+    full, path = stored(texts.join(inside, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(n), "id long, sig binary, shingles array<long>"))
     # shingles that no other candidate has can be in no intersection
     alone = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    inside = inside.join(alone.groupBy("id").agg(F.count("*").alias("alone")), "id", "left")
-    bucket = bucket.join(inside, "id").select("key", "id", "size", "weight", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("most"))
+    once = full.groupBy("id").agg(F.count("*").alias("texts")).where("texts = 1")  # of an id with several texts no shingle says which has it
+    inside = inside.join(alone.groupBy("id").agg(F.count("*").alias("alone")).join(once, "id", "left_semi"), "id", "left")
+    bucket = bucket.join(inside, "id").select("key", "id", "weight", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("most"))
     bucket = cut(bucket.where(F.col("most") * 100 >= F.col("n_shingles") * percent))
     least = least_matches(percent / 100, miss)
     one = full.select(F.col("id").alias("u"), F.col("sig").alias("x"), F.col("shingles").alias("a"))
     two = full.select(F.col("id").alias("v"), F.col("sig").alias("y"), F.col("shingles").alias("b"))
-    by_weight = Window.partitionBy("key").orderBy(F.desc("weight"), "id")
-    links, labels = None, None
-    for after, upto in ((0, 1), (1, None)):
-        rows = bucket if labels is None else bucket.join(labels, "id", "left")
+    # classes that share a doc_id are linked
+    low = cut(member.where("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("w"), F.count("*").alias("size")).where("u <> w"))
+    links, n_links = compact(lookup(member.where("n_shingles > 0"), low, ["doc_id"], "inner", size="size").where("class_id <> u").select("u", F.col("class_id").alias("v")).distinct())
+    labels = connected_components(links, "u", "v") if n_links else None
+    for turn in range(HUBS + 1):
+        rows = bucket if labels is None else lookup(bucket, labels, ["id"])
         rows = rows.withColumn("component", F.coalesce("component", "id") if labels is not None else F.col("id"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
-        mixed, n_mixed = compact(mixed.where(f"low <> high and c > {after}").select("key"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+        mixed, n_mixed = compact(mixed.where(f"low <> high and size > {2 if turn else 1}").select("key", "size"))  # a pair has met its hub
         if not n_mixed:
             break
-        rows = rows.join(mixed, "key", "left_semi")
-        if after:  # from here on, what each class shares with its bucket's first hub bounds its pairs further
-            center = rows.withColumn("rank", F.row_number().over(by_weight)).where("rank = 1").select("key", F.col("id").alias("center"))
-            rows = rows.join(center, "key")
-            shared = rows.select(F.col("id").alias("u"), F.col("center").alias("v")).distinct().join(one, "u").join(two, "v")
-            shared = shared.select(F.col("u").alias("id"), F.col("v").alias("center"), F.size(F.array_intersect("a", "b")).alias("inner"))
-            bands = known.select(F.col("doc_id").alias("id"), "bands").join(rows.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-            rows = rows.join(shared, ["id", "center"]).drop("center").join(bands, "id")
-            rows = cut(rows.withColumn("outer", F.col("most") - F.col("inner")))
-        # the first hub, by falling weight; in the second round all other classes
-        top = rows.withColumn("rank", F.row_number().over(by_weight))
-        top = (top.where(f"rank <= {upto}") if upto else top.where(f"rank > {after}")).drop("rank", "size", "weight")
-        top = top.select("key", *(F.col(c).alias(f"hub_{c}") for c in top.columns if c != "key"))
-        common = F.least("most", "hub_most")
-        if after:
-            common = F.least("inner", "hub_inner") + F.least("outer", "hub_outer")
-        pairs = rows.join(top, "key").where("id <> hub_id and component <> hub_component")
-        pairs = pairs.where(common * 100 >= (F.col("n_shingles") + F.col("hub_n_shingles") - common) * percent)
-        if after:  # each pair in its first common bucket only
-            pairs = pairs.where(F.get(F.array_intersect("bands", "hub_bands"), F.lit(0)) == F.col("key"))
-        pairs, _ = compact(pairs.select(F.least("id", "hub_id").alias("u"), F.greatest("id", "hub_id").alias("v")).distinct())
+        rows = cut(lookup(rows, mixed, ["key"], "inner", size="size").drop("size"))
+        pairs, _ = compact(_hub_pairs(rows, turn, percent) if turn < HUBS else _prefix_pairs(rows, full, bands.select("id", "bands"), percent))
         likely = pairs.join(one.drop("a"), "u").join(two.drop("b"), "v").select("u", "v", "x", "y").mapInArrow(_survivors(least), "u long, v long")
         new, n_new = compact(
             likely.join(one.drop("x"), "u").join(two.drop("y"), "v")
@@ -189,23 +229,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
             .select("u", "v")
         )
         if n_new:
-            links = new if links is None else links.unionAll(new)
+            links = links.unionAll(new)
             labels = connected_components(links, "u", "v")
+    remove(docs.sparkSession, path)  # links are written; nothing reads the sets any more
     if labels is None:
         joined = member.withColumn("component", F.lit(None).cast("long"))
     else:
-        joined = member.join(labels, member.class_id == labels.id, "left").drop("id")
+        joined = lookup(member, labels.withColumnRenamed("id", "class_id"), ["class_id"])
     out = joined.select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     lost = found.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionAll(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; repeated rows once."""
+    """``docs`` with one document of each component, the one with the smallest id.
+
+    Rows with null ``doc_id`` stay.  Of rows that repeat a kept ``doc_id`` each distinct text stays once,
+    with the columns that come first in order as JSON.
+    """
     groups = near_duplicates(docs, percent, **options).where("doc_id is not null")
     ids = cut(groups.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
     rest = without_ids(docs, ids.select("doc_id"))
     again = ids.where("kept").select("doc_id")  # rows repeat under these ids
     if not again.limit(1).count():
         return rest
-    return rest.unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    whole = F.struct(*docs.columns)
+    once = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return rest.unionByName(once.select("row.*"))
