@@ -83,6 +83,37 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(docs_of(spark, ODD).limit(0)).count() == 0
     once = minhash.deduplicated(docs_of(spark, ODD + ODD[3:4]))
     assert [r.doc_id for r in once.where("text = 'one two'").collect()] == [4]
+    several = minhash.deduplicated(docs_of(spark, [(1, "the first text of one id"), (1, "and quite another one here"), (2, "the first text of one id"), (1, "the first text of one id")]))
+    assert sorted(tuple(r) for r in several.select("doc_id", "text").collect()) == [(1, "and quite another one here"), (1, "the first text of one id")]
+
+
+def test_ids_with_several_texts_are_one_node(spark):
+    a, b, c = (prose(random.Random(k), 30) for k in range(3))
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs_of(spark, [(1, a), (1, b), (5, b), (5, c), (9, c + " tail"), (7, "")])).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 7)}
+
+
+def test_buckets_of_unlinked_texts(spark):
+    """Texts that share most of a template, on either side of the threshold, and many of them."""
+    rng = random.Random(21)
+    frame = prose(rng, 200).split()
+    texts = []
+    for i in range(90):
+        own = prose(rng, 22 + i % 12).split()
+        texts.append((i, " ".join(frame + own)))
+    texts += [(100 + i, texts[i][1] + " x") for i in range(0, 90, 7)]
+    for percent in (85, 90):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, texts), percent).collect()}
+        assert got == brute_components(texts, percent)
+
+
+def test_prefix_pairs_hold_all_linked_ones(spark, monkeypatch):
+    """Without hubs, and with small blocks, the last round alone finds all components."""
+    monkeypatch.setattr(minhash, "HUBS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    texts = near_texts()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs_of(spark, texts), 85).collect()}
+    assert got == brute_components(texts, 85)
 
 
 def test_bayes_bounds_spare_true_pairs():
@@ -112,6 +143,13 @@ def test_toxicity_learns_and_keeps_the_contract(spark):
     assert sum(by_id[r.doc_id] == r.predicted for r in unseen) >= 0.95 * len(unseen)
     one_class = toxicity.classify(docs, lab.where("toxic = 0")).select("score").distinct().collect()
     assert len(one_class) == 1 and one_class[0].score < 0.5
+    for only in (lab.limit(0), lab.where("toxic = 1")):  # nothing tells texts apart, so nothing is rejected
+        model = toxicity.fit(docs, only)
+        assert 0 < toxicity.score(docs, model).first().score <= toxicity.BLIND
+        assert toxicity.without_toxic(docs, model).count() == docs.count()
+    odd = toxicity.classify(docs_of(spark, ODD + ODD[3:4] + [(9, "long " * 200_000)]), lab)
+    assert all(0 <= r.score <= 1 for r in odd.collect()) and odd.count() == len(ODD) + 2 and odd.where("doc_id is null and held_out").count() == 0
+    assert toxicity.classify(docs.limit(0), lab).count() == 0
 
 
 # packing
@@ -332,7 +370,7 @@ def test_fingerprints(spark):
     rng = random.Random(8)
     texts = [(i, prose(rng, 200)) for i in range(30)] + [(40, None), (41, ""), (42, "añb"), (43, "añb"), (44, "a" * 20_000), (44, "other text of one id")]
     rows = {}
-    for r in fingerprints.fingerprints(docs_of(spark, texts), shards=5).collect():
+    for r in fingerprints.fingerprints(docs_of(spark, texts), shard_bytes=12_000).collect():
         rows.setdefault(r.doc_id, []).append(r)
     order = sorted(((i, t or "") for i, t in texts), key=lambda x: (-x[0], x[1]))
     for k, (i, t) in enumerate(order):
@@ -366,7 +404,7 @@ def test_warc_round_trip_and_determinism(spark):
     sums = []
     for _ in range(2):
         folder = warc.new_folder(spark)
-        manifest = warc.write_warc(pages.repartition(3), folder, file_bytes=900, shards=3)
+        manifest = warc.write_warc(pages.repartition(3), folder, file_bytes=900, shard_bytes=2000)
         sums.append({(r.file, r.sha256) for r in manifest.collect()})
         got = warc.read_warc(spark, folder).collect()
     assert sums[0] == sums[1] and len(sums[0]) > 2
@@ -398,3 +436,50 @@ def test_templates_of_bad_branches_are_rejected(spark):
     got = urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).groupBy(F.split("path", "/")[1].alias("top"), "verdict").count().collect()
     assert {(r.top, r.verdict): r["count"] for r in got} == {("bad", "block"): 120, ("good", "allow"): 60}
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+# odd rows of the operators that have none above
+
+
+def test_odd_documents(spark):
+    rng = random.Random(51)
+    mit = licenses.TEMPLATES["MIT"][0]
+    long = " ".join([prose(rng, 30_000), mit, "call (212) 555-0147 now"])
+    texts = ODD + [ODD[3], (20, long), (20, long), (21, mit), (None, mit)]
+    docs = docs_of(spark, texts).withColumn("item_id", F.lit("x")).withColumn("license", F.lit("x")).withColumn("spans", F.lit("x"))
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect())
+    assert found == [(-1, "MIT"), (20, "MIT"), (20, "MIT"), (21, "MIT")]
+    bench = spark.createDataFrame([(7, " ".join(long.split()[500:530])), (8, None)], "item_id long, text string").withColumn("doc_id", F.lit(3)).withColumn("words", F.lit("x"))
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.contamination(docs, bench).collect()) == [(20, 7), (20, 7)]
+    assert decontamination.decontaminated(docs, bench).count() == len(texts) - 2
+    spans = pii.find_pii(docs, pii.fit(docs))
+    assert spans.count() == len(texts) and {r.spans.count(":") for r in spans.where("doc_id = 20").collect()} == {2}
+    prints = fingerprints.fingerprints(docs)
+    assert prints.count() == len(texts) and prints.where("doc_id = 20").select("fingerprint").distinct().count() == 1
+    empty = docs.limit(0)
+    assert licenses.scan_licenses(empty).count() == decontamination.contamination(empty, bench).count() == pii.find_pii(empty).count() == pii.redact(empty).count() == 0
+
+
+def test_odd_pages(spark):
+    body = "<body><article><p>some text</p></article></body>"
+    rows = [(1, "http://a.org/1", body), (1, "http://a.org/1", body), (None, "http://a.org/2", None), (3, None, "<p>x"), (4, "http://a.org/" + "d/" * 2000, "<div>" * 3000 + "deep" + "</p>" * 10), (5, "http://A.ORG", "no markup &amp; all"), (6, "://", "<")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("host", "main", "wrapper", "fixed", "text", "n", "bad", "template", "purity", "shard", "rows"):
+        pages = pages.withColumn(name, F.lit("x"))
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in wrappers.extract(pages).collect())
+    assert got == [(0, "", 0), (1, "some text", 9), (1, "some text", 9), (3, "x", 1), (4, "deep", 4), (5, "no markup & all", 15), (6, "<", 1)]
+    urls = sorted((r.page_id or 0, r.host) for r in urlfilter.filter_urls(pages).collect())
+    assert urls == [(0, "a.org"), (1, "a.org"), (1, "a.org"), (3, ""), (4, "a.org"), (5, "a.org"), (6, "")]
+    folder = warc.new_folder(spark)
+    warc.write_warc(pages, folder)
+    assert warc.read_warc(spark, folder).count() == len(rows)
+    assert wrappers.extract(pages.limit(0)).count() == urlfilter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_very_long_payload_is_one_record(spark):
+    rows = [(k, "u", "é" * 700_000) for k in range(3)] + [(9, "v", "x" * 3_000_000)]
+    folder = warc.new_folder(spark)
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, shard_bytes=1 << 20, file_bytes=1000)
+    assert manifest.count() >= 2
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(spark, folder).collect()}
+    assert got == {0: (1_400_000, "revisit", 2), 1: (1_400_000, "revisit", 2), 2: (1_400_000, "response", None), 9: (3_000_000, "response", None)}
