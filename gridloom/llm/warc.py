@@ -1,17 +1,19 @@
 """WARC 1.1: a deterministic sharded writer and a reader.
 
-Rows are dealt to range shards of ``page_id`` and sorted; each shard's task rolls
-its files by compressed size, a gzip member a record.  Headers and digests are
-regenerated from the payloads alone, so the same rows give the same bytes in any
-attempt.  A file is written under a temporary name of its attempt and renamed
+Rows are dealt to range shards of ``page_id`` of about ``shard_bytes`` of payload
+each, one shard a task, and sorted; the task rolls its files by compressed size, a
+gzip member a record.  Headers and digests are regenerated from the payloads alone,
+so the same rows give the same bytes in any attempt.  A file is written under a temporary name of its attempt and renamed
 when whole; it counts only once the manifest, a table that is committed after all
 tasks, lists it.  Files go through the file system that the folder's URI names.
 
 Of pages with equal payloads of at least ``least_bytes`` bytes, the one with the
 largest ``page_id`` is a response and the others revisit it.  A null html is an
 empty payload, a null url is left out of the record, a null ``page_id`` is kept
-as null (and is a revisit if its payload has a holder).  Repeated rows are
-written as often as they occur; an empty table gives no file.
+as null (and is a revisit if its payload has a holder).  Rows of one ``page_id``
+stay in one shard, those without in the first; repeated rows are written as often as
+they occur; a very long payload is one record; an empty table gives no file.  Other
+columns of ``pages``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.ranges import LEAST, range_bounds, range_shard
+from gridloom.operators.joins import lookup
 from gridloom.session import cut, shared_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-BROADCAST_ROWS = 100_000
+OVERHEAD = 600
 
 
 def _id(page_id: int | None) -> str:
@@ -114,7 +117,7 @@ def _files(done: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [x.split()[0] for x in MANIFEST.split(", ")])
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, file_bytes: int = 64 << 20, level: int = 5, shards: int | None = None, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, file_bytes: int = 64 << 20, level: int = 5, shard_bytes: int = 32 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write ``pages`` below ``folder`` and return the manifest: ``file, records, bytes, sha256``."""
     from pyarrow import fs
 
@@ -124,16 +127,18 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000, file_byte
         store.create_dir(f"{path}/{d}", recursive=True)
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size"))
-    same = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("holder"))
-    same = cut(same.where("n > 1 and holder is not null").select("digest", "size", "holder"))
-    few = same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(same) if few else same, ["digest", "size"], "left")
-    rows = rows.withColumn("holder", F.when(F.col("page_id").eqNullSafe(F.col("holder")), F.lit(None)).otherwise(F.col("holder")))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(pages.select(F.col("page_id").cast("long").alias("page_id")), "page_id", shards or parts)
-    rows = rows.withColumn("shard", range_shard(F.col("page_id"), bounds))
+    slim = cut(rows.select("page_id", "digest", "size"))
+    same = slim.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.count("*").alias("n"), F.max("page_id").alias("holder"))
+    same = cut(same.where("n > 1 and holder is not null"))
+
+    def held(df: DataFrame) -> DataFrame:
+        df = lookup(df, same, ["digest", "size"], size="n").drop("n")
+        return df.withColumn("holder", F.when(F.col("page_id").eqNullSafe(F.col("holder")), F.lit(None)).otherwise(F.col("holder")))
+
+    bounds = range_bounds(held(slim), "page_id", F.when(F.col("holder").isNull(), F.col("size")).otherwise(0) + OVERHEAD, shard_bytes)
+    rows = held(rows).withColumn("shard", range_shard(F.col("page_id"), bounds))
     rows = rows.select("shard", "page_id", "url", F.when(F.col("holder").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "holder")
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", F.coalesce("page_id", F.lit(LEAST)), "url", "digest")
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.coalesce("page_id", F.lit(LEAST)), "url", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = None
@@ -226,7 +231,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
     files = spark.read.parquet(f"{folder}/manifest").select("file", "records")
-    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file").mapInArrow(run, RECORD)
+    return files.repartition(min(50_000, max(1, files.count()))).mapInArrow(run, RECORD)
 
 
 def new_folder(spark: SparkSession) -> str:
