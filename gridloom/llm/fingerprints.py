@@ -4,17 +4,22 @@ A text's bytes are the symbols of level 0.  On each level runs of one symbol
 become one symbol; deterministic coin tossing (the lowest bit in which a symbol
 differs from its left neighbour, and that bit) shortens the symbols' labels to a
 handful of values; blocks begin at the labels' local maxima, and a block's name,
-a hash of its symbols, is a symbol of the next level.  A block depends on a few
-neighbours only, so equal substrings have the same names inside, at any offset.
-The fingerprint is the smallest hashes of the names from the second level on (of
-all levels for texts with few distinct ones there), in hexadecimal; likeness is the share of common
-hashes among the smallest of both.
-
-For the edited texts the rows are dealt to range shards by ``doc_id``; each shard
-also gets the first row of the next one, so all is done in one shuffle.  Order is
-by falling ``doc_id`` (null last), rows with equal ids by text.  A null text is an
-empty one; empty texts have an empty fingerprint, which is like itself only.  A
-single document follows itself.
+a hash of its symbols, is a symbol of the next level, until a text is one symbol.
+A block depends on a few neighbours only, so equal substrings have the same names
+inside, at any offset.  The fingerprint is the smallest hashes of the names, in
+hexadecimal; a name of the first level, phrases of three or four bytes that unlike
+texts share too, counts as a ``LOW_WEIGHT``-th of one of a higher level.  So it
+matters in texts that have few others, without a switch by length.  Likeness is
+the share of common hashes among the smallest of both.
+
+For the edited texts the rows are dealt to range shards of about ``shard_bytes`` by
+``doc_id``, one shard a task; each shard also gets the first row of the next one, so
+all is done in one shuffle.  Order is by falling ``doc_id`` (null last), rows with
+equal ids by text; those of one id stay in one shard.  A null text is an empty one;
+empty texts have an empty fingerprint, which is like itself only.  A very long text
+is parsed whole, in a slice of its own.  A single document follows itself; repeated
+rows follow each other; an empty table gives an empty result.  Other columns of
+``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +36,8 @@ from gridloom.llm.ranges import LEAST, range_bounds, range_shard
 from gridloom.llm.textops import distinct, mix, powers, slices, utf8
 
 KEPT = 48
-LEVELS = 7
-FULL_LEVEL = 2
-SHORT = 32
+LOW_BITS = 6
+LOW_WEIGHT = 1 << LOW_BITS
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -51,7 +55,7 @@ def _blocks(x: np.ndarray, row: np.ndarray) -> np.ndarray:
     new_row = np.ones(len(x), bool)
     new_row[1:] = row[1:] != row[:-1]
     label = x
-    for _ in range(3 if x.dtype == np.uint8 else 4):
+    for _ in range(4):
         label = _toss(label, new_row)
     top = np.zeros(len(x), bool)
     top[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~new_row[1:-1] & ~new_row[2:]
@@ -60,29 +64,29 @@ def _blocks(x: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def phrase_names(part: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Names and rows of the phrases of each level from the first on."""
+    """Names and rows of the phrases of each level from the first on; a row ends with the level where it is one phrase."""
     x = part
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-    for level in range(LEVELS):
-        if not len(x):
-            return
+    level = 0
+    while len(x):
         starts = np.ones(len(x), bool)
         starts[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
         run = np.flatnonzero(starts)
-        if len(run) < len(x):
-            length = np.diff(np.append(run, len(x))).astype(np.uint64)
-            x = x[run].astype(np.uint64)
-            long = length > 1
-            x[long] = mix(x[long] * np.uint64(0x9E3779B97F4A7C15) + length[long])
-            row = row[run]
+        length = np.diff(np.append(run, len(x))).astype(np.uint64)
+        x, row = x[run].astype(np.uint64), row[run]  # wide symbols in any case: names must not depend on the other rows of a slice
+        long = length > 1
+        x[long] = mix(x[long] * np.uint64(0x9E3779B97F4A7C15) + length[long])
         start = _blocks(x, row)
         up, down = powers(len(x) + 1)
         sums = np.zeros(len(x) + 1, np.uint64)
-        np.cumsum((x.astype(np.uint64) + np.uint64(level + 1)) * up[: len(x)], out=sums[1:])
+        np.cumsum((x + np.uint64(level + 1)) * up[: len(x)], out=sums[1:])
         end = np.append(start[1:], len(x))
         x = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
         row = row[start]
         yield x, row
+        same = row[1:] == row[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        x, row, level = x[several], row[several], level + 1
 
 
 def sketches(column: pa.Array) -> Iterator[np.ndarray]:
@@ -90,14 +94,12 @@ def sketches(column: pa.Array) -> Iterator[np.ndarray]:
     raw, offsets = utf8(column)
     for lo, hi in slices(offsets):
         at = offsets[lo : hi + 1] - offsets[lo]
-        low, high = [], [np.zeros(0, np.uint64)]
+        names = [np.zeros(0, np.uint64)]
         for level, (x, row) in enumerate(phrase_names(raw[offsets[lo] : offsets[hi]], at), 1):
-            h = (row.astype(np.uint64) << np.uint64(32)) | (mix(x + np.uint64(level)) >> np.uint64(32))
-            (low if level < FULL_LEVEL else high).append(h)
-        keys = distinct(np.concatenate(high))
-        short = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=hi - lo) < SHORT
-        low = [h[short[(h >> np.uint64(32)).astype(np.int64)]] for h in low]
-        keys = distinct(np.concatenate([keys, *low]))
+            # small hashes are kept: those of higher levels are smaller by the weight
+            h = mix(x + np.uint64(level)) >> np.uint64(32 if level == 1 else 32 + LOW_BITS)
+            names.append((row.astype(np.uint64) << np.uint64(32)) | h)
+        keys = distinct(np.concatenate(names))
         cuts = np.searchsorted(keys, np.arange(hi - lo + 1, dtype=np.uint64) << np.uint64(32))
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield keys[a : min(b, a + KEPT)].astype(np.uint32)
@@ -155,12 +157,11 @@ def _judged(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in OUT.split(", ")])
 
 
-def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, shard_bytes: int = 32 << 20) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likenesses; one row a document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = range_bounds(texts, "doc_id", shards or 2 * parts)
+    bounds = range_bounds(texts, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
     dealt = texts.select("doc_id", "text", range_shard(F.col("doc_id"), bounds).alias("shard"))
     key = F.coalesce("doc_id", F.lit(LEAST))
     heads = sorted((r.shard, r.head) for r in dealt.groupBy("shard").agg(F.max(key).alias("head")).collect())  # one row a shard
@@ -172,5 +173,5 @@ def fingerprints(docs: DataFrame, shards: int | None = None) -> DataFrame:
     first = dealt.join(F.broadcast(guests), (key == F.col("head")) & (dealt.shard == F.col("own")))
     first = first.groupBy(guests.shard).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.lit(True).alias("guest"))
     rows = dealt.withColumn("guest", F.lit(False)).unionByName(first.select(F.lit(None).cast("long").alias("doc_id"), "text", "shard", "guest"))
-    rows = rows.repartition(parts, "shard").sortWithinPartitions(F.desc("shard"), "guest", F.desc_nulls_last("doc_id"), F.coalesce("text", F.lit("")))
+    rows = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(F.desc("shard"), "guest", F.desc_nulls_last("doc_id"), F.coalesce("text", F.lit("")))
     return rows.select("doc_id", "text", "guest").mapInArrow(_judge, OUT)
