@@ -2,8 +2,8 @@
 
 Labels are the smallest id that can be reached.  Each round takes the least
 label of the neighbours and then jumps to the label of the label, so that long
-chains shrink by a power of two a round; lineage is cut with ``checkpoint()``
-in the folder the cluster names.
+chains shrink by a power of two a round; each round's labels are a table in the
+folder the cluster names.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import compact
+from gridloom.session import Round, compact
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", few: int = 200_000) -> DataFrame:
@@ -24,12 +24,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     both, n = compact(pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     side = F.broadcast if n <= few else lambda df: df  # the labels are no more than the edges
-    labels, _ = compact(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("w")).select("id", F.least("id", "w").alias("component")))
+    carried = Round(edges.sparkSession)
+    labels = carried.put(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("w")).select("id", F.least("id", "w").alias("component")))
     while True:
         near = both.join(side(labels), both.v == labels.id).groupBy("u").agg(F.min("component").alias("near"))
         lower = labels.join(side(near), labels.id == near.u, "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        step, _ = compact(lower.join(side(jump), "mid", "left").select("id", "old", F.least("mid", "far").alias("component")))
+        step = carried.put(lower.join(side(jump), "mid", "left").select("id", "old", F.least("mid", "far").alias("component")))
         changed = step.where("old <> component").limit(1).count()
         labels = step.select("id", "component")
         if not changed:

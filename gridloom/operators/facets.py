@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.connectivity import edge_faces, face_edges
-from gridloom.operators.mesh import Mesh, edges, face_nodes
+from gridloom.operators.mesh import Grid, Mesh, face_nodes
 
 
-def links(mesh: Mesh, source: str, target: str) -> DataFrame:
+def links(mesh: Grid, source: str, target: str) -> DataFrame:
     """``(target_id, pos, source_id)`` of two different facets of node, edge and face."""
     if source == target:
         raise ValueError("source and target facets are the same")
     pair = {source, target}
+    if "face" in pair and not isinstance(mesh, Mesh):
+        raise ValueError("a network has no faces")
     if pair == {"face", "node"}:
         t = face_nodes(mesh).select("face_id", "pos", "node_id")
     elif pair == {"face", "edge"}:
         t = face_edges(mesh)
     elif pair == {"edge", "node"}:
-        t = edges(mesh).select("edge_id", F.posexplode(F.array("a", "b")).alias("pos", "node_id"))
+        t = mesh.edges.select("edge_id", F.posexplode(F.array("a", "b")).alias("pos", "node_id"))
     else:
         raise ValueError(f"unknown facets {source}, {target}")
     return t.select(F.col(f"{target}_id").alias("target_id"), "pos", F.col(f"{source}_id").alias("source_id"))
 
 
-def to_facet(mesh: Mesh, data: DataFrame, source: str, target: str) -> DataFrame:
-    """``(target_id, source_id, value)``: the values around each target, for the caller to reduce."""
-    return links(mesh, source, target).join(data.select(F.col("id").alias("source_id"), "value"), "source_id", "left").select("target_id", "source_id", "value")
+def to_facet(mesh: Grid, data: DataFrame, source: str, target: str, dims: tuple[str, ...] = ()) -> DataFrame:
+    """``(target_id, *dims, source_id, value)``: the values around each target, for the caller to reduce."""
+    if not dims:
+        return links(mesh, source, target).join(data.select(F.col("id").alias("source_id"), "value"), "source_id", "left").select("target_id", "source_id", "value")
+    return links(mesh, source, target).join(data.select(F.col("id").alias("source_id"), *dims, "value"), "source_id").select("target_id", *dims, "source_id", "value")
 
 
 def mean_on(mesh: Mesh, data: DataFrame, source: str, target: str) -> DataFrame:

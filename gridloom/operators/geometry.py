@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.mesh import Mesh, edges, fold_corners, rings
-
-ZERO = F.lit
+from gridloom.operators.mesh import Grid, Mesh, dense_ids, edges, fold_corners, rings
 
 
 def with_geometry(mesh: Mesh) -> DataFrame:
@@ -52,7 +52,7 @@ def counterclockwise(mesh: Mesh) -> Mesh:
     turn = fold_corners(F.lit(0.0), lambda p, q: p.x * q.y - q.x * p.y)
     signs = rings(mesh).select("face_id", (turn < 0).alias("clockwise"))
     faces = mesh.faces.join(signs, "face_id").select("face_id", F.when(F.col("clockwise"), F.reverse("nodes")).otherwise(F.col("nodes")).alias("nodes"))
-    return Mesh(mesh.nodes, faces)
+    return replace(mesh, faces=faces)
 
 
 def edge_geometry(edge: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,6 +67,36 @@ def mesh_edge_geometry(mesh: Mesh) -> DataFrame:
     return edge_geometry(edges(mesh), mesh.nodes)
 
 
+def edge_bounds(edge: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(edge_id, xmin, ymin, xmax, ymax)``."""
+    e = edge_geometry(edge, nodes)
+    return e.select("edge_id", F.least("ax", "bx").alias("xmin"), F.least("ay", "by").alias("ymin"), F.greatest("ax", "bx").alias("xmax"), F.greatest("ay", "by").alias("ymax"))
+
+
+def facet_points(grid: Grid, facet: str) -> DataFrame:
+    """``(id, x, y)`` of a facet: nodes, edge midpoints or face centroids."""
+    if facet == "node":
+        return grid.nodes.select(F.col("node_id").alias("id"), "x", "y")
+    if facet == "edge":
+        return edge_geometry(grid.edges, grid.nodes).select(F.col("edge_id").alias("id"), "x", "y")
+    if facet == "face" and isinstance(grid, Mesh):
+        return with_geometry(grid).select(F.col("face_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    raise ValueError(f"{type(grid).__name__} has no facet {facet}")
+
+
+def sizes(grid: Grid) -> DataFrame:
+    """One row: ``n_node, n_edge`` and, of a mesh, ``n_face, n_max_node_per_face``."""
+    rows = grid.nodes.agg(F.count("*").alias("n_node")).join(grid.edges.agg(F.count("*").alias("n_edge")))  # one row each
+    if isinstance(grid, Mesh):
+        rows = rows.join(grid.faces.agg(F.count("*").alias("n_face"), F.max(F.size("nodes")).alias("n_max_node_per_face")))
+    return rows
+
+
+def nodes_per_face(mesh: Mesh) -> DataFrame:
+    """``(face_id, n)``."""
+    return mesh.faces.select("face_id", F.size("nodes").alias("n"))
+
+
 def bounds(nodes: DataFrame) -> DataFrame:
     """One row: ``xmin, ymin, xmax, ymax``."""
     return nodes.agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
@@ -78,6 +108,14 @@ def triangles(mesh: Mesh) -> DataFrame:
     return mesh.faces.where(F.size("nodes") >= 3).select("face_id", F.posexplode(fan).alias("part", "t")).select("face_id", "part", "t.*")
 
 
+def triangulate(mesh: Mesh) -> tuple[Mesh, DataFrame]:
+    """Mesh of the triangles, numbered by face and part, and ``(face_id, of)``: the face that each came from."""
+    t = triangles(mesh)
+    t = t.join(dense_ids(t, ["face_id", "part"], "new"), ["face_id", "part"])
+    faces = t.select(F.col("new").alias("face_id"), F.array("n0", "n1", "n2").alias("nodes"))
+    return replace(mesh, faces=faces, edge_table=None), t.select(F.col("new").alias("face_id"), F.col("face_id").alias("of"))
+
+
 def wkt(mesh: Mesh) -> DataFrame:
     """``(face_id, wkt)`` polygons."""
     point = lambda p: F.concat_ws(" ", p.x.cast("string"), p.y.cast("string"))

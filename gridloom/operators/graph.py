@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.operators.mesh import Network, dense_ids
-from gridloom.session import cut
+from gridloom.session import Round, cut
 
 
 def binary_iterate(adjacency: DataFrame, data: DataFrame, value: bool, iterations: int = 1, mask: DataFrame | None = None, exterior: DataFrame | None = None, border_value: bool = False) -> DataFrame:
@@ -91,19 +93,82 @@ def remove_self_loops(network: Network) -> Network:
 def contract_vertices(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Distinct ``(a, b)``: kept nodes joined if a directed path through removed nodes alone leads from a to b."""
     kept = keep.select(F.col("id").alias("k")).distinct()
-    walk = cut(edges.join(kept, edges.a == kept.k, "left_semi").select("a", F.col("b").alias("at")).distinct())
-    seen, found = walk, None
+    walks, known = Round(edges.sparkSession), Round(edges.sparkSession)
+    walk = walks.put(edges.join(kept, edges.a == kept.k, "left_semi").select("a", F.col("b").alias("at")).distinct())
+    seen, found = known.put(walk), None
     while walk.limit(1).count():
-        ends = walk.join(kept, walk["at"] == kept.k, "left_semi").select("a", F.col("at").alias("b"))
+        ends = cut(walk.join(kept, walk["at"] == kept.k, "left_semi").select("a", F.col("at").alias("b")))
         found = ends if found is None else found.unionAll(ends)
         inner = walk.join(kept, walk["at"] == kept.k, "left_anti")
         step = inner.join(edges.select(F.col("a").alias("at"), "b"), "at").select("a", F.col("b").alias("at")).distinct()
-        walk = cut(step.join(seen, ["a", "at"], "left_anti"))
-        seen = cut(seen.unionAll(walk))
+        walk = walks.put(step.join(seen, ["a", "at"], "left_anti"))
+        seen = known.put(seen.unionAll(walk))
     out = found if found is not None else edges.select("a", "b").limit(0)
     return out.where("a <> b").distinct()
 
 
+def reverse_cuthill_mckee(ids: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """``(id, rank)``: an order in which neighbours stand near each other.
+
+    Each component is walked in levels from its node of least degree; a level's nodes are ordered by the first
+    of their neighbours before them, then by degree and id; the whole order is reversed.  A job chain a level.
+    """
+    spark = ids.sparkSession
+    pairs = cut(adjacency.select("src", "dst").distinct())
+    degree = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    labels = component_labels(ids, pairs)
+    todo = cut(ids.join(degree, "id", "left").join(labels, "id").select("id", "label", F.coalesce("degree", F.lit(0)).alias("degree")))
+    start = todo.groupBy("label").agg(F.min(F.struct("degree", "id")).alias("m")).select("m.id")
+    fronts, walked = Round(spark), Round(spark)
+    front, done = fronts.put(start.select("id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("before"))), None
+    while True:
+        found = front.join(todo, "id").select("label", "level", "before", "degree", "id")
+        placed = cut(found.join(dense_ids(found, ["label", "level", "before", "degree", "id"], "place"), ["label", "level", "before", "degree", "id"]))
+        done = walked.put(placed if done is None else done.unionByName(placed))
+        near = pairs.join(placed.select(F.col("id").alias("src"), "level", "place"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("level") + 1).alias("level"), F.min("place").alias("before"))
+        front = fronts.put(near.join(done.select("id"), "id", "left_anti"))
+        if not front.limit(1).count():
+            break
+    order = dense_ids(done, ["label", "level", "place"], "at").join(done, ["label", "level", "place"])
+    last = order.agg(F.max("at").alias("last"))
+    return order.crossJoin(F.broadcast(last)).select("id", (F.col("last") - F.col("at")).alias("rank"))  # joined with one row
+
+
+def fill_nearest(points: DataFrame, data: DataFrame, max_distance: float | None = None, dims: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *dims, value)``: nulls take the value at the nearest place ``points(id, x, y)`` that has one.
+
+    Places farther than or at ``max_distance`` stay null; for each of the other dimensions on its own.  Where
+    the same places have values the search is made once.  Data without any value raise ``ValueError``.
+    """
+    from gridloom.operators.select import nearest
+
+    data = cut(data.select("id", *dims, F.nanvl("value", F.lit(None).cast("double")).alias("value")))
+    known = data.where("value is not null")
+    if not known.limit(1).count():
+        raise ValueError("all values are null")
+    if not dims:
+        return _filled(points, data, data, max_distance, nearest)
+    sets = known.groupBy(*dims).agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("h"), F.count("*").alias("n"))
+    sets = cut(sets.select(*dims, F.concat_ws(":", "h", "n").alias("places")))
+    out = data.join(sets.select(*dims), list(dims), "left_anti").select("id", *dims, "value")  # without any value
+    for r in sets.groupBy("places").agg(F.min(F.struct(*dims)).alias("first")).collect():  # a search for each set of places
+        own = data.join(F.broadcast(sets.where(F.col("places") == r.places).select(*dims)), list(dims), "left_semi")
+        one = own
+        for d in dims:
+            one = one.where(F.col(d).eqNullSafe(F.lit(r.first[d])))
+        out = out.unionByName(_filled(points, one, own, max_distance, nearest, dims))
+    return out
+
+
+def _filled(points: DataFrame, one: DataFrame, own: DataFrame, max_distance: float | None, nearest, dims: tuple[str, ...] = ()) -> DataFrame:
+    """``own`` filled from the places that ``one`` has values for."""
+    holes = points.join(one.where("value is null").select("id"), "id", "left_semi").withColumnRenamed("id", "point_id")
+    known = points.join(one.where("value is not null").select("id"), "id", "left_semi")
+    near = nearest(holes, known, max_distance=max_distance).select(F.col("point_id").alias("id"), F.col("id").alias("origin"))
+    source = own.where("value is not null").select(*dims, F.col("id").alias("origin"), F.col("value").alias("near"))
+    return own.join(near, "id", "left").join(source, [*dims, "origin"], "left").select("id", *dims, F.coalesce("value", "near").alias("value"))
+
+
 def refine_by_vertices(network: Network, vertices: DataFrame, tolerance: float = 1e-9) -> Network:
     """Insert ``vertices(vertex_id, x, y)`` into the edges they lie on; one that lies on none raises when run.
 
@@ -138,16 +203,17 @@ def refine_by_vertices(network: Network, vertices: DataFrame, tolerance: float =
 def nearest_on_network(adjacency: DataFrame, data: DataFrame, max_distance: float | None = None) -> DataFrame:
     """``(id, value)``: nulls take the value of the node nearest along ``adjacency(src, dst, length)``, ties to the lowest id."""
     known = data.where("value is not null").select("id", F.lit(0.0).alias("d"), F.col("id").alias("origin"))
-    best, front = cut(known), known
+    fronts, bests = Round(data.sparkSession), Round(data.sparkSession)
+    best, front = bests.put(known), known
     limit = max_distance if max_distance is not None else float("inf")
     while True:
         step = adjacency.join(front, adjacency.src == front.id).select(F.col("dst").alias("id"), (F.col("d") + F.col("length")).alias("d"), "origin").where(F.col("d") <= limit)
         step = step.groupBy("id").agg(F.min(F.struct("d", "origin")).alias("s")).select("id", "s.d", "s.origin")
         better = step.join(best.select("id", F.struct("d", "origin").alias("old")), "id", "left").where(F.col("old").isNull() | (F.struct("d", "origin") < F.col("old"))).select("id", "d", "origin")
-        front = cut(better)
+        front = fronts.put(better)
         if not front.limit(1).count():
             break
-        best = cut(best.join(front, "id", "left_anti").unionByName(front))
+        best = bests.put(best.join(front, "id", "left_anti").unionByName(front))
     source = data.select(F.col("id").alias("origin"), F.col("value").alias("near"))
     return data.join(best.select("id", "origin"), "id", "left").join(source, "origin", "left").select("id", F.coalesce("value", "near").alias("value"))
 
@@ -156,7 +222,8 @@ def laplace_fill(adjacency: DataFrame, data: DataFrame, tolerance: float = 1e-8,
     """``(id, value)``: nulls become the weighted mean of their neighbours (``weight`` of ``adjacency``, else 1).
 
     Solved by conjugate gradients on the unknowns, scaled by the diagonal, with vectors as tables; a
-    component without any value stays null; data without any value raises ``ValueError``.
+    component without any value stays null; data without any value raises ``ValueError``.  If the residual
+    is not below ``tolerance`` times the first one after ``max_iterations``, a warning is given.
     """
     if not data.where("value is not null").limit(1).count():
         raise ValueError("all values are null")
@@ -176,14 +243,17 @@ def laplace_fill(adjacency: DataFrame, data: DataFrame, tolerance: float = 1e-8,
     state = cut(state.withColumn("p", F.col("r")))
     rr = state.agg(F.sum(F.col("r") * F.col("r")).alias("v")).first().v
     goal = tolerance * tolerance * max(rr, 1e-300)
+    carried = Round(data.sparkSession)
     for _ in range(max_iterations):
         if rr <= goal:
             break
         spread = inner.join(state.select(F.col("id").alias("dst"), (F.col("p") / F.col("s")).alias("q")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("q")).alias("near"))
-        moved = cut(state.join(spread, "id", "left").withColumn("ap", F.col("p") - F.coalesce("near", F.lit(0.0)) / F.col("s")).drop("near"))
+        moved = carried.put(state.join(spread, "id", "left").withColumn("ap", F.col("p") - F.coalesce("near", F.lit(0.0)) / F.col("s")).drop("near"))
         alpha = rr / moved.agg(F.sum(F.col("p") * F.col("ap")).alias("v")).first().v
         moved = moved.select("id", "s", (F.col("u") + alpha * F.col("p")).alias("u"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         new = moved.agg(F.sum(F.col("r") * F.col("r")).alias("v")).first().v
         state, rr = moved.withColumn("p", F.col("r") + (new / rr) * F.col("p")), new
+    if rr > goal:
+        warnings.warn(f"the fill has not converged after {max_iterations} iterations", stacklevel=2)
     filled = state.select("id", (F.col("u") / F.col("s")).alias("filled"))
     return data.join(filled, "id", "left").select("id", F.coalesce("value", "filled").alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,10 +13,25 @@ from gridloom.session import cut
 
 @dataclass(frozen=True)
 class Mesh:
-    """A 2-D mesh: ``nodes(node_id, x, y)`` and ``faces(face_id, nodes)``, nodes counter-clockwise without fill."""
+    """A 2-D mesh: ``nodes(node_id, x, y)`` and ``faces(face_id, nodes)``, nodes counter-clockwise without fill.
+
+    ``edge_table(edge_id, a, b)`` gives edges in an order of their own; else they are derived.  ``crs`` is a
+    name such as ``EPSG:28992``; ``projected`` is None if unknown.
+    """
 
     nodes: DataFrame
     faces: DataFrame
+    edge_table: DataFrame | None = None
+    name: str = "mesh2d"
+    crs: str | None = None
+    projected: bool | None = True
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """``(edge_id, a, b)``, derived and written once for all that read it."""
+        if self.edge_table is not None:
+            return self.edge_table
+        return cut(dense_ids(sides(self), ["a", "b"], "edge_id").select("edge_id", "a", "b"))
 
 
 @dataclass(frozen=True)
@@ -24,6 +40,12 @@ class Network:
 
     nodes: DataFrame
     edges: DataFrame
+    name: str = "network1d"
+    crs: str | None = None
+    projected: bool | None = True
+
+
+Grid = Mesh | Network
 
 
 def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -52,13 +74,22 @@ def structured(spark: SparkSession, nx: int, ny: int, dx: float = 1.0, dy: float
 
 
 def from_breaks(spark: SparkSession, xs: list[float], ys: list[float]) -> Mesh:
-    """Rectilinear quads between breaks; falling breaks are turned, so corners stay counter-clockwise."""
-    mesh = structured(spark, len(xs) - 1, len(ys) - 1)
-    wide = len(xs)
-    pick = lambda values, at: F.get(F.array(*map(F.lit, map(float, values))), at)
-    nodes = mesh.nodes.select("node_id", pick(xs, (F.col("node_id") % wide).cast("int")).alias("x"), pick(ys, F.floor(F.col("node_id") / wide).cast("int")).alias("y"))
-    turned = (xs[-1] < xs[0]) != (ys[-1] < ys[0])
-    return Mesh(nodes, mesh.faces.withColumn("nodes", F.reverse("nodes")) if turned else mesh.faces)
+    """Rectilinear quads between breaks, corners from lower left counter-clockwise whatever way the breaks run."""
+    mesh, wide = structured(spark, len(xs) - 1, len(ys) - 1), len(xs)
+    x, y = (spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], f"{c}k long, {c} double") for c, values in (("x", xs), ("y", ys)))
+    nodes = mesh.nodes.select("node_id", (F.col("node_id") % wide).alias("xk"), F.floor(F.col("node_id") / wide).alias("yk"))
+    nodes = nodes.join(F.broadcast(x), "xk").join(F.broadcast(y), "yk").select("node_id", "x", "y")  # the breaks came from the driver
+    return Mesh(nodes, lower_left_first(mesh.faces, xs[-1] < xs[0], ys[-1] < ys[0]))
+
+
+def lower_left_first(faces: DataFrame, x_falls: bool, y_falls: bool) -> DataFrame:
+    """Quads of rising breaks turned for falling ones, so that corners start lower left and run counter-clockwise."""
+    order = [0, 1, 2, 3]
+    if x_falls:
+        order = [order[k] for k in (1, 0, 3, 2)]
+    if y_falls:
+        order = [order[k] for k in (3, 2, 1, 0)]
+    return faces.withColumn("nodes", F.array(*(F.get("nodes", F.lit(k)) for k in order)))
 
 
 def split_even_quads(mesh: Mesh) -> Mesh:
@@ -100,8 +131,13 @@ def sides(mesh: Mesh) -> DataFrame:
 
 
 def edges(mesh: Mesh) -> DataFrame:
-    """``(edge_id, a, b)``: rank of the sorted node pair."""
-    return dense_ids(sides(mesh), ["a", "b"], "edge_id").select("edge_id", "a", "b")
+    """``(edge_id, a, b)``: rank of the sorted node pair, or the mesh's own table."""
+    return mesh.edges
+
+
+def edge_pairs(mesh: Mesh) -> DataFrame:
+    """``(edge_id, a, b)`` with ``a < b``, whichever way the mesh's own table has them."""
+    return mesh.edges.select("edge_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def fold_corners(start: Column, step) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-V, W = F.col, F.col
+from gridloom.operators.joins import FEW
 
 
 def _values() -> tuple[Column, Column]:
@@ -76,24 +76,39 @@ def max_overlap() -> Column:
     return F.max(F.when(w > 0, F.struct(w.alias("w"), v.alias("v"))))["v"]
 
 
-METHODS: dict[str, Callable[[], Column]] = {
-    "mean": mean, "harmonic_mean": harmonic_mean, "geometric_mean": geometric_mean, "sum": total, "minimum": minimum, "maximum": maximum,
-    "median": percentile(50), **{f"p{p}": percentile(p) for p in (5, 10, 25, 50, 75, 90, 95)}, "conservative": conservative, "conductance": conservative, "max_overlap": max_overlap,
+_PERCENTILES = {"median": percentile(50), **{f"p{p}": percentile(p) for p in (5, 10, 25, 50, 75, 90, 95)}}
+#: Methods for weights that are areas or lengths, and for those relative to the source's.
+ABSOLUTE: dict[str, Callable[[], Column]] = {
+    "mean": mean, "harmonic_mean": harmonic_mean, "geometric_mean": geometric_mean, "sum": total, "minimum": minimum, "maximum": maximum, **_PERCENTILES, "max_overlap": max_overlap,
 }
+RELATIVE: dict[str, Callable[[], Column]] = {"conductance": conservative, "first_order_conservative": conservative}
+METHODS = ABSOLUTE | RELATIVE | {"conservative": conservative}
+
+
+def method_of(method: str | Callable[[], Column], relative: bool | None = None) -> str | Callable[[], Column]:
+    """The expression of a method by name (``mode`` stays a name); a function is taken as it is."""
+    if callable(method):
+        return method
+    known = METHODS if relative is None else RELATIVE if relative else ABSOLUTE
+    if method == "mode" and not relative:
+        return method
+    if method not in known:
+        raise ValueError(f"unknown method {method}; known are {', '.join(sorted(known))}")
+    return known[method]
 
 
 def reduce_weights(weights: DataFrame, data: DataFrame, targets: DataFrame, method: str | Callable[[], Column] = "mean", dims: tuple[str, ...] = ()) -> DataFrame:
-    """``(*dims, target_id, value)`` for every target; ``mode`` accumulates weights first."""
-    if isinstance(method, str) and method != "mode" and method not in METHODS:
-        raise ValueError(f"unknown method {method}")
+    """``(*dims, target_id, value)`` for every target and all values of the other dimensions; ``mode`` accumulates weights first."""
+    reducer = method_of(method)
     joined = weights.join(data, "source_id")
-    if method == "mode":
+    if reducer == "mode":
         v, w = _values()
         per = joined.select(*dims, "target_id", v.alias("value"), w.alias("weight")).where("value is not null").groupBy(*dims, "target_id", "value").agg(F.sum("weight").alias("weight"))
         found = per.groupBy(*dims, "target_id").agg(max_overlap().alias("value"))
     else:
-        found = joined.groupBy(*dims, "target_id").agg((METHODS[method] if isinstance(method, str) else method)().alias("value"))
+        found = joined.groupBy(*dims, "target_id").agg(reducer().alias("value"))
     every = targets.select("target_id")
     if dims:
-        every = every.crossJoin(F.broadcast(data.select(*dims).distinct()))  # the few values of the other dimensions
+        others = data.select(*dims).distinct()
+        every = every.join(F.broadcast(others) if others.limit(FEW + 1).count() <= FEW else others)  # the result itself has a row for each
     return every.join(found, [*dims, "target_id"], "left")

@@ -1,44 +1,17 @@
-"""The registered mesh queries and their SQL."""
+"""The registered mesh queries and their SQL: geometry, connectivity, selection, regridding, graphs, vectors, partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import connectivity as C
 from gridloom.operators import facets, geometry, graph, partition, reduce, regrid, select, vector
+from gridloom.data import MeshArray, MeshDataset
+from gridloom.data import merge_partitions as merge_sets
 from gridloom.operators.mesh import Mesh, edges, face_nodes, structured
 from gridloom.plans import fixtures as X
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql is not None:
-            ORACLES[name] = sql
-        return query
-
-    return add
-
-
-def on_mesh(name: str, result: str, *more: str) -> Callable[[Callable[[Mesh], DataFrame]], None]:
-    """Register a query on the mixed mesh alone."""
-
-    def add(build: Callable[[Mesh], DataFrame]) -> None:
-        register(name, X.sql(X.MESH, *more, select=result))(lambda spark, sf_dir: build(X.mixed_mesh(spark)))
-
-    return add
-
-
-def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
-
+from gridloom.plans.registry import ORACLES, QUERIES, Query, on_mesh, r6, register
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
@@ -63,12 +36,8 @@ on_mesh("face_node", "select face_id, cast(pos as integer) as pos, node_id from
 on_mesh("face_edge", "select face_id, cast(pos as integer) as pos, edge_id from side join edge using (a, b)")(C.face_edges)
 on_mesh("edge_face", "select edge_id, a, b, f1, f2 from ef")(C.edge_faces)
 on_mesh("face_face", "select src, dst, via from ff")(C.face_faces)
-on_mesh("node_face", "select node_id, count(*) as n, sum(face_id) as total, min(face_id) as low from corner group by 1")(
-    lambda m: C.node_faces(m).select("node_id", F.size("faces").cast("long").alias("n"), F.aggregate("faces", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.get("faces", F.lit(0)).alias("low"))
-)
-on_mesh("node_edge", "select node_id, count(*) as n, min(edge_id) as low, max(edge_id) as high from (select edge_id, a as node_id from edge union all select edge_id, b from edge) group by 1")(
-    lambda m: C.node_edges(edges(m)).select("node_id", F.size("edges").cast("long").alias("n"), F.array_min("edges").alias("low"), F.array_max("edges").alias("high"))
-)
+on_mesh("node_face", "select node_id, list(face_id order by face_id) as faces from corner group by 1")(C.node_faces)
+on_mesh("node_edge", "select node_id, list(edge_id order by edge_id) as edges from (select edge_id, a as node_id from edge union all select edge_id, b from edge) group by 1")(lambda m: C.node_edges(edges(m)))
 on_mesh("node_node", "select a as src, b as dst, edge_id as via from edge union all select b, a, edge_id from edge")(lambda m: C.node_nodes(edges(m)))
 ENDS = "ends as (select edge_id, a as node_id from edge union all select edge_id, b from edge)"
 on_mesh("edge_edge", "select x.edge_id as src, y.edge_id as dst, node_id as via from ends x join ends y using (node_id) where x.edge_id <> y.edge_id", ENDS)(lambda m: C.edge_edges(edges(m)))
@@ -93,12 +62,13 @@ on_mesh("sel_box", "select face_id from geo where cx >= 10.2 and cx < 30.7 and c
 
 @register("locate_points", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select point_id, face_id from located"))
 def locate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.locate_points(X.mixed_mesh(spark), X.order_points(spark, sf_dir))
+    return select.locate_points(X.mixed_mesh(spark, sf_dir), X.order_points(spark, sf_dir))
 
 
-@register("sel_points", X.sql(X.CELLS, X.MESH, X.DATA, X.POINTS, X.LOCATED, select="select point_id, round(case when face_id is null then -1.0 else value end, 6) as value from located left join data using (face_id)"))
+@register("sel_points", X.sql(X.MESH, X.DATA, X.POINTS, X.LOCATED, select="select point_id, round(case when face_id is null then -1.0 else value end, 6) as value from located left join data using (face_id)"))
 def sel_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.sel_points(X.mixed_mesh(spark), X.order_points(spark, sf_dir), X.face_data(spark, sf_dir), -1.0).select("point_id", *r6("value"))
+    data = X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id")
+    return select.sel_points(X.mixed_mesh(spark, sf_dir), X.order_points(spark, sf_dir), data, out_of_bounds="ignore", fill=-1.0).select("point_id", *r6("value"))
 
 
 @register("points_per_face", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select face_id, count(*) as n from located where face_id is not null group by 1"))
@@ -106,24 +76,31 @@ def points_per_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate_points(spark, sf_dir).where("face_id is not null").groupBy("face_id").agg(F.count("*").alias("n"))
 
 
-@register("nearest_node", X.sql(X.MESH, X.POINTS, select="select point_id, round(min(sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2)), 6) as distance from pt p join node n on n.x between p.x - 3 and p.x + 3 and n.y between p.y - 3 and p.y + 3 group by 1"))
+MOVED = "mv as (select point_id, x + 0.0137e0 as x, y + 0.0071e0 as y from pt)"  # no two targets at one distance
+
+
+@register("nearest_node", X.sql(X.MESH, X.POINTS, MOVED, select="select point_id, arg_min(n.node_id, (p.x - n.x) ** 2 + (p.y - n.y) ** 2) as id, round(min(sqrt((p.x - n.x) ** 2 + (p.y - n.y) ** 2)), 6) as distance from mv p join node n on n.x between p.x - 3 and p.x + 3 and n.y between p.y - 3 and p.y + 3 group by 1"))
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = X.mixed_mesh(spark).nodes.select(F.col("node_id").alias("id"), "x", "y")
-    return select.nearest(X.order_points(spark, sf_dir), nodes).select("point_id", *r6("distance"))
+    return select.locate_nearest(X.mixed_mesh(spark, sf_dir), "node", X.order_points(spark, sf_dir, 0.0137, 0.0071)).select("point_id", "id", *r6("distance"))
 
 
-@register("nearest_face", X.sql(X.MESH, X.POINTS, select="select point_id, round(min(sqrt((p.x - n.cx) ** 2 + (p.y - n.cy) ** 2)), 6) as distance from pt p join geo n on n.cx between p.x - 4 and p.x + 4 and n.cy between p.y - 4 and p.y + 4 group by 1"))
+@register("nearest_face", X.sql(X.MESH, X.POINTS, MOVED, select="select point_id, arg_min(n.face_id, (p.x - n.cx) ** 2 + (p.y - n.cy) ** 2) as id, round(min(sqrt((p.x - n.cx) ** 2 + (p.y - n.cy) ** 2)), 6) as distance from mv p join geo n on n.cx between p.x - 4 and p.x + 4 and n.cy between p.y - 4 and p.y + 4 group by 1"))
 def nearest_face(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centers = geometry.with_geometry(X.mixed_mesh(spark)).select(F.col("face_id").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    return select.nearest(X.order_points(spark, sf_dir), centers).select("point_id", *r6("distance"))
+    return select.locate_nearest(X.mixed_mesh(spark, sf_dir), "face", X.order_points(spark, sf_dir, 0.0137, 0.0071)).select("point_id", "id", *r6("distance"))
+
+
+@register("nearest_edge_within", X.sql(X.MESH, X.POINTS, MOVED, "em as (select edge_id, (p.x + q.x) / 2 as x, (p.y + q.y) / 2 as y from edge e join node p on p.node_id = e.a join node q on q.node_id = e.b)", select="select mv.point_id, m.id from mv left join (select p.point_id, arg_min(n.edge_id, (p.x - n.x) ** 2 + (p.y - n.y) ** 2) as id from mv p join em n on n.x between p.x - 1 and p.x + 1 and n.y between p.y - 1 and p.y + 1 where (p.x - n.x) ** 2 + (p.y - n.y) ** 2 < 0.25 ** 2 group by 1) m using (point_id)"))
+def nearest_edge_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.locate_nearest(X.mixed_mesh(spark, sf_dir), "edge", X.order_points(spark, sf_dir, 0.0137, 0.0071), 0.25).select("point_id", "id")
 
 
-RASTER = X.MESH, "pt as (select r * 63 + c as point_id, r, c, (c + 0.5e0) * 0.8e0 as x, (14 - r - 0.5e0) * 0.8e0 as y from range(63) a(c), range(14) b(r))", X.LOCATED
+HIGH_ROWS = "high as (select cast(ceil((select max(y) from node) / 0.8e0) as bigint) as h)"
+RASTER = X.MESH, HIGH_ROWS, "pt as (select r * 63 + c as point_id, r, c, (c + 0.5e0) * 0.8e0 as x, (h - r - 0.5e0) * 0.8e0 as y from (select h, unnest(range(h)) as r from high), range(63) a(c))", X.LOCATED
 
 
 @register("rasterize", X.sql(*RASTER, select='select r as "row", c as col, round(x, 6) as x, round(y, 6) as y, face_id from pt join located using (point_id)'))
 def rasterize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.rasterize(X.mixed_mesh(spark), 0.8).select("row", "col", *r6("x", "y"), "face_id")
+    return select.rasterize(X.mixed_mesh(spark, sf_dir), 0.8).select("row", "col", *r6("x", "y"), "face_id")
 
 
 CUTS = """cuts as (select face_id, max(case when slope > 0 then -start / slope else 0 end) as t0, min(case when slope < 0 then -start / slope else 1 end) as t1,
@@ -133,7 +110,7 @@ CUTS = """cuts as (select face_id, max(case when slope > 0 then -start / slope e
 @register("intersect_line", X.sql(X.MESH, CUTS, select="select face_id, round(47.9 * (t0 + t1) / 2 + 0.7, 6) as x, round(sqrt(47.9 ** 2 + 10.1 ** 2) * (greatest(t0, 0) + least(t1, 1)) / 2, 6) as s from cuts where not out and least(t1, 1) > greatest(t0, 0)"))
 def intersect_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.createDataFrame([(0, 0, 0.7, 0.3, 48.6, 10.4)], "line_id long, pos int, x0 double, y0 double, x1 double, y1 double")
-    return select.intersect_linestring(X.mixed_mesh(spark), line).select("face_id", *r6("x", "s"))
+    return select.intersect_linestring(X.mixed_mesh(spark, sf_dir), line).select("face_id", *r6("x", "s"))
 
 
 # regridding
@@ -148,7 +125,7 @@ def _regrid(method: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = X.price_cells(spark, sf_dir).select(F.col("cell").alias("source_id"), "value")
         targets = spark.range(X.TX * X.TY).select(F.col("id").alias("target_id"))
-        return reduce.reduce_weights(_weights(spark, method in ("conservative", "conductance")), data, targets, method).select("target_id", *r6("value"))
+        return reduce.reduce_weights(_weights(spark, method in ("conservative", "conductance")), data, targets, method).select("target_id", F.round("value", 4).alias("value"))
 
     return query
 
@@ -166,9 +143,9 @@ _SQL = {
     "max_overlap": "arg_max(value, struct_pack(w := weight, v := value))",
 }
 for _name, _expression in _SQL.items():
-    _text = X.sql(X.CELLS, X.WEIGHTS, select=f"select target_id, round(v, 6) as value from target left join (select target_id, {_expression} as v from w group by 1) using (target_id)")
+    _text = X.sql(X.CELLS, X.WEIGHTS, select=f"select target_id, round(v, 4) as value from target left join (select target_id, {_expression} as v from w group by 1) using (target_id)")
     register(f"regrid_{_name}", _text)(_regrid(_name))
-register("regrid_mode", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, round(v, 6) as value from target left join (select target_id, arg_max(value, struct_pack(w := w, v := value)) as v from (select target_id, value, sum(weight) as w from w group by 1, 2) group by 1) using (target_id)"))(_regrid("mode"))
+register("regrid_mode", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, round(v, 4) as value from target left join (select target_id, arg_max(value, struct_pack(w := w, v := value)) as v from (select target_id, value, sum(weight) as w from w group by 1, 2) group by 1) using (target_id)"))(_regrid("mode"))
 
 
 @register("overlap_weights", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, source_id, round(weight, 6) as weight from (select target_id, ix + iy * 50 as source_id, (least(x1, ix + 1) - greatest(x0, ix)) * (least(y1, iy + 1) - greatest(y0, iy)) as weight from target, range(50) a(ix), range(11) b(iy) where ix < x1 and ix + 1 > x0 and iy < y1 and iy + 1 > y0)"))
@@ -184,7 +161,7 @@ def overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("overlap_triangles", X.sql(X.MESH, select="select face_id // 2 as target_id, sum(round(area, 6)) as area from geo group by 1"))
 def overlap_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = regrid.overlap_weights(X.mixed_mesh(spark), structured(spark, X.NX, X.NY))
+    w = regrid.overlap_weights(X.mixed_mesh(spark, sf_dir), X.order_mesh(spark, sf_dir))
     return w.groupBy("target_id").agg(F.round(F.sum("weight"), 6).alias("area"))
 
 
@@ -209,19 +186,19 @@ def regrid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # facets
-@register("to_node_mean", X.sql(X.CELLS, X.MESH, X.DATA, select="select node_id as target_id, round(avg(value), 6) as value from corner left join data using (face_id) group by 1"))
+@register("to_node_mean", X.sql(X.MESH, X.DATA, select="select node_id as target_id, round(avg(value), 6) as value from corner left join data using (face_id) group by 1"))
 def to_node_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.mean_on(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "node").select("target_id", *r6("value"))
+    return facets.mean_on(X.mixed_mesh(spark, sf_dir), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "node").select("target_id", *r6("value"))
 
 
-@register("to_edge_mean", X.sql(X.CELLS, X.MESH, X.DATA, select="select edge_id as target_id, round(avg(value), 6) as value from side join edge using (a, b) left join data using (face_id) group by 1"))
+@register("to_edge_mean", X.sql(X.MESH, X.DATA, select="select edge_id as target_id, round(avg(value), 6) as value from side join edge using (a, b) left join data using (face_id) group by 1"))
 def to_edge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.mean_on(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "edge").select("target_id", *r6("value"))
+    return facets.mean_on(X.mixed_mesh(spark, sf_dir), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"), "face", "edge").select("target_id", *r6("value"))
 
 
-@register("edge_contrast", X.sql(X.CELLS, X.MESH, X.DATA, select="select edge_id, round(q.value - p.value, 6) as value from ef join data p on p.face_id = f1 join data q on q.face_id = f2"))
+@register("edge_contrast", X.sql(X.MESH, X.DATA, select="select edge_id, round(q.value - p.value, 6) as value from ef join data p on p.face_id = f1 join data q on q.face_id = f2"))
 def edge_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.edge_contrast(X.mixed_mesh(spark), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id")).select("edge_id", *r6("value"))
+    return facets.edge_contrast(X.mixed_mesh(spark, sf_dir), X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id")).select("edge_id", *r6("value"))
 
 
 # graph
@@ -239,61 +216,73 @@ def _steps(value: bool, n: int) -> list[str]:
     return [f"s{k} as (select id, case when exists (select 1 from ff join s{k - 1} t on t.id = ff.src where ff.dst = s.id and t.value = {word}) then {word} else s.value end as value from s{k - 1} s)" for k in range(1, n + 1)]
 
 
-@register("binary_dilation", X.sql(X.CELLS, X.MESH, X.DATA, HIGH, "s0 as (select * from high)", *_steps(True, 2), select="select id, value from s2"))
+@register("binary_dilation", X.sql(X.MESH, X.DATA, HIGH, "s0 as (select * from high)", *_steps(True, 2), select="select id, value from s2"))
 def binary_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.binary_dilation(C.face_faces(X.mixed_mesh(spark)), _high(spark, sf_dir), iterations=2)
+    return graph.binary_dilation(C.face_faces(X.mixed_mesh(spark, sf_dir)), _high(spark, sf_dir), iterations=2)
 
 
-@register("binary_erosion", X.sql(X.CELLS, X.MESH, X.DATA, HIGH, "s0 as (select id, not value as value from high)", *_steps(False, 2), select="select id, value from s2"))
+@register("binary_erosion", X.sql(X.MESH, X.DATA, HIGH, "s0 as (select id, not value as value from high)", *_steps(False, 2), select="select id, value from s2"))
 def binary_erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.binary_erosion(C.face_faces(X.mixed_mesh(spark)), _high(spark, sf_dir).select("id", (~F.col("value")).alias("value")), iterations=2, border_value=True)
+    return graph.binary_erosion(C.face_faces(X.mixed_mesh(spark, sf_dir)), _high(spark, sf_dir).select("id", (~F.col("value")).alias("value")), iterations=2, border_value=True)
 
 
-SAME = """kind as (select face_id, floor(value / 4000) as k from data),
+SAME = X.KIND + """,
 same as (select src, dst from ff join kind p on p.face_id = src join kind q on q.face_id = dst where p.k = q.k),
 reach as (select face_id as id, face_id as other from kind union select r.id, s.dst from reach r join same s on s.src = r.other),
 low as (select id, min(other) as low from reach group by 1)"""
+LABELS = "lab as (select id as face_id, dense_rank() over (order by low) - 1 as label from low)"
 
 
 def _recursive(text: str) -> str:
     return text.replace("with ", "with recursive ", 1)
 
 
-@register("equal_regions", _recursive(X.sql(X.CELLS, X.MESH, X.DATA, SAME, select="select id as face_id, dense_rank() over (order by low) - 1 as label from low")))
+@register("equal_regions", _recursive(X.sql(X.MESH, SAME, select="select id as face_id, dense_rank() over (order by low) - 1 as label from low")))
 def equal_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.face_data(spark, sf_dir).select("face_id", F.floor(F.col("value") / 4000).cast("double").alias("value"))
-    return vector.equal_regions(X.mixed_mesh(spark), d).select("face_id", "label")
+    return vector.equal_regions(X.mixed_mesh(spark, sf_dir), X.face_kind(spark, sf_dir)).select("face_id", "label")
 
 
-@register("polygonize", _recursive(X.sql(X.CELLS, X.MESH, X.DATA, SAME, "lab as (select id as face_id, dense_rank() over (order by low) - 1 as label from low)", "outline as (select label, edge_id from side join edge using (a, b) join lab using (face_id) group by 1, 2 having count(*) = 1)", select="select label, count(*) as n_sides from outline group by 1")))
+OUTLINE = """way as (select face_id, p, q, label from turn join lab using (face_id)),
+outline as (select w.label, w.p, w.q from way w left join way o on o.label = w.label and o.p = w.q and o.q = w.p where o.label is null)"""
+
+
+@register("polygonize", _recursive(X.sql(X.MESH, SAME, LABELS, OUTLINE, select="select label, a.x as x0, a.y as y0, b.x as x1, b.y as y1 from outline join node a on a.node_id = p join node b on b.node_id = q")))
 def polygonize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.face_data(spark, sf_dir).select("face_id", F.floor(F.col("value") / 4000).cast("double").alias("value"))
-    p = vector.polygonize(X.mixed_mesh(spark), d)
-    return p.select("label", F.aggregate(F.transform("rings", lambda r: F.size(r) - 1), F.lit(0).cast("long"), lambda a, v: a + v).alias("n_sides"))
+    """The sides of all rings, from each corner to the next one."""
+    rows = vector.outlines(X.mixed_mesh(spark, sf_dir), X.face_kind(spark, sf_dir))
+    ring = Window.partitionBy("label", "ring")
+    after = lambda c: F.coalesce(F.lead(c).over(ring.orderBy("pos")), F.first(c).over(ring.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.select("label", F.col("x").alias("x0"), F.col("y").alias("y0"), after("x").alias("x1"), after("y").alias("y1"))
+
 
+HOLES = "hole as (select face_id from face where (face_id // 2) % 4 = 1)"  # no two of them are neighbours
 
-@register("laplace_fill")
+
+@register("laplace_fill", X.sql(X.MESH, X.DATA, HOLES, "d as (select src, dst, sqrt((p.cx - q.cx) ** 2 + (p.cy - q.cy) ** 2) as d from ff join geo p on p.face_id = src join geo q on q.face_id = dst)", select="""select face_id as id, round(value, 2) as value from data where face_id not in (select face_id from hole)
+    union all select src, round(sum(value / d) / sum(1 / d), 2) from d join hole h on h.face_id = src join data on data.face_id = dst group by 1"""))
 def laplace_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = X.face_data(spark, sf_dir).select(F.col("face_id").alias("id"), F.when(F.col("face_id") % 5 != 0, F.col("value")).alias("value"))
-    return graph.laplace_fill(C.face_faces(X.mixed_mesh(spark)), d).select("id", F.round("value", 3).alias("value"))
+    d = X.face_data(spark, sf_dir).select(F.col("face_id").alias("id"), F.when(F.floor(F.col("face_id") / 2) % 4 != 1, F.col("value")).alias("value"))
+    return MeshArray(X.mixed_mesh(spark, sf_dir), "face", d).laplace_interpolate(tolerance=1e-12).df.select("id", F.round("value", 2).alias("value"))
 
 
 SHIFTED = "shifted as (select face_id, value, cx + face_id * 7919 % 1000 / 1e5 as x, cy + face_id * 104729 % 1000 / 1e5 as y from data join geo using (face_id))"
 
 
-@register("interpolate_na", X.sql(X.CELLS, X.MESH, X.DATA, SHIFTED, select="select face_id as id, round(value, 6) as value from data where face_id % 5 <> 0 union all select p.face_id, round(arg_min(q.value, (p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) from shifted p join shifted q on q.x between p.x - 4 and p.x + 4 and q.y between p.y - 4 and p.y + 4 where p.face_id % 5 = 0 and q.face_id % 5 <> 0 group by 1"))
+@register("interpolate_na", X.sql(X.MESH, X.DATA, SHIFTED, select="""select face_id as id, 1 as line, round(value, 6) as value from data where face_id % 5 <> 0 union all
+    select s.face_id, 1, n.value from shifted s left join (select p.face_id, round(arg_min(q.value, (p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) as value from shifted p join shifted q on q.x between p.x - 2 and p.x + 2 and q.y between p.y - 2 and p.y + 2
+      where p.face_id % 5 = 0 and q.face_id % 5 <> 0 and (p.x - q.x) ** 2 + (p.y - q.y) ** 2 < 0.4 ** 2 group by 1) n using (face_id) where s.face_id % 5 = 0 union all
+    select face_id, 2, round(value, 6) from data"""))
 def interpolate_na(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shift = lambda c, k: (F.col(c) + F.col("face_id") * k % 1000 / 1e5).alias(c[1])  # noqa: E731  no two faces at one distance
-    d = X.face_data(spark, sf_dir).join(geometry.with_geometry(X.mixed_mesh(spark)).select("face_id", shift("cx", 7919), shift("cy", 104729)), "face_id")
-    holes, known = d.where("face_id % 5 = 0").select(F.col("face_id").alias("point_id"), "x", "y"), d.where("face_id % 5 <> 0")
-    near = select.nearest(holes, known.select(F.col("face_id").alias("id"), "x", "y"))
-    filled = near.join(known.select(F.col("face_id").alias("id"), "value"), "id").select(F.col("point_id").alias("id"), "value")
-    return known.select(F.col("face_id").alias("id"), "value").unionByName(filled).select("id", *r6("value"))
+    shift = lambda c, k: (F.col(c) + F.col("id") * k % 1000 / 1e5).alias(c)  # noqa: E731  no two faces at one distance
+    places = geometry.facet_points(X.mixed_mesh(spark, sf_dir), "face").select("id", shift("x", 7919), shift("y", 104729))
+    d = X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id").withColumn("line", F.explode(F.array(F.lit(1), F.lit(2))))
+    d = d.withColumn("value", F.when((F.col("id") % 5 != 0) | (F.col("line") == 2), F.col("value")))
+    return graph.fill_nearest(places, d, 0.4, ("line",)).select("id", "line", *r6("value"))
 
 
-@register("remove_self_loops", X.sql(X.USERS, select="select row_number() over (order by edge_id) - 1 as edge_id, dense_rank() over (order by edge_id) - 1 as rank from uedge where a <> b"))
+@register("remove_self_loops", X.sql(X.USERS, "k as (select * from uedge where a <> b)", "n as (select u, dense_rank() over (order by u) - 1 as new from (select a as u from k union select b from k))", select="select row_number() over (order by edge_id) - 1 as edge_id, p.new as a, q.new as b from k join n p on p.u = k.a join n q on q.u = k.b"))
 def remove_self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.remove_self_loops(X.user_network(spark, sf_dir)).edges.select("edge_id", F.col("edge_id").alias("rank"))
+    return graph.remove_self_loops(X.user_network(spark, sf_dir)).edges
 
 
 @register("topological_levels", """with recursive d as (select distinct cast(p_partkey as bigint) as a, cast(p_partkey * 2 + 1 as bigint) as b from part),
@@ -304,17 +293,17 @@ def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topological_levels(p)
 
 
-@register("user_components", """select min(u) over () as component, u as id from (select distinct cast(user_id as bigint) as u from events)""")
-def user_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = X.user_network(spark, sf_dir)
-    return graph.connected_components(n.edges, "a", "b").select("component", "id")
+@register("order_components", "select o_orderkey as id, dense_rank() over (order by low) - 1 as label from (select o_orderkey, min(o_orderkey) over (partition by o_custkey) as low from orders)")
+def order_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = X.customer_network(spark, sf_dir)
+    return graph.component_labels(n.nodes.select(F.col("node_id").alias("id")), C.node_nodes(n.edges).select("src", "dst"))
 
 
 # vector geometry
 @register("burn_points", X.sql(X.MESH, X.POINTS, X.LOCATED, select="select face_id, cast(max(point_id) as double) as value from located where face_id is not null group by 1"))
 def burn_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = X.order_points(spark, sf_dir).select(F.col("point_id").alias("row"), "x", "y", F.col("point_id").cast("double").alias("value"))
-    return vector.burn_points(X.mixed_mesh(spark), p)
+    return vector.burn_points(X.mixed_mesh(spark, sf_dir), p)
 
 
 @register("burn_polygons", X.sql(X.MESH, select="select face_id, case when cx between 20 and 40 and cy between 4 and 9 and not (cx between 25 and 30 and cy between 5 and 7) then 2.0 else 1.0 end as value from geo where cx between 2 and 35 and cy between 1 and 6 or cx between 20 and 40 and cy between 4 and 9 and not (cx between 25 and 30 and cy between 5 and 7)"))
@@ -322,44 +311,46 @@ def burn_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda a, b, c, d: [(float(a), float(b)), (float(c), float(b)), (float(c), float(d)), (float(a), float(d))]
     ring = "array<struct<x:double,y:double>>"
     polygons = spark.createDataFrame([(0, box(2, 1, 35, 6), [], 1.0), (1, box(20, 4, 40, 9), [box(25, 5, 30, 7)], 2.0)], f"row long, ring {ring}, holes array<{ring}>, value double")
-    return vector.burn_polygons(X.mixed_mesh(spark), polygons)
+    return vector.burn_polygons(X.mixed_mesh(spark, sf_dir), polygons)
 
 
-@register("snap_to_nodes", X.sql(X.MESH, X.POINTS, select="select point_id, count(n.node_id) > 0 as snapped from pt p left join node n on (p.x - n.x) ** 2 + (p.y - n.y) ** 2 <= 0.2 ** 2 group by 1"))
+@register("snap_to_nodes", X.sql(X.MESH, X.POINTS, "r as (select point_id, x, y, cast(round(x) as bigint) as cx, cast(round(y) as bigint) as cy from pt)", select="select point_id, coalesce(n.x, r.x) as x, coalesce(n.y, r.y) as y, n.node_id as id from r left join node n on n.node_id = 51 * cy + cx and cx <= 50 and (r.x - n.x) ** 2 + (r.y - n.y) ** 2 <= 0.23 ** 2"))
 def snap_to_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = X.mixed_mesh(spark).nodes.select(F.col("node_id").alias("id"), "x", "y")
-    return vector.snap_to_nodes(X.order_points(spark, sf_dir), nodes, 0.2).select("point_id", F.col("id").isNotNull().alias("snapped"))
+    nodes = X.mixed_mesh(spark, sf_dir).nodes.select(F.col("node_id").alias("id"), "x", "y")
+    return vector.snap_to_nodes(X.order_points(spark, sf_dir), nodes, 0.23)
 
 
 # partitions
 PARTS = "part3 as (select face_id, face_id % 3 as label from face)"
 
 
-@register("partition_by_label", X.sql(X.MESH, PARTS, select="select label, face_id, row_number() over (partition by label order by face_id) - 1 as local_face from part3"))
+@register("partition_by_label", X.sql(X.MESH, PARTS, "ln as (select label, node_id, row_number() over (partition by label order by node_id) - 1 as n from (select distinct label, node_id from corner join part3 using (face_id)))", select="select p.label, p.face_id, any_value(p.r) as local_face, list(ln.n order by corner.pos) as nodes from (select label, face_id, row_number() over (partition by label order by face_id) - 1 as r from part3) p join corner using (face_id) join ln on ln.label = p.label and ln.node_id = corner.node_id group by 1, 2"))
 def partition_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.mixed_mesh(spark)
-    return partition.partition_by_label(m, m.faces.select("face_id", (F.col("face_id") % 3).alias("label"))).select("label", "face_id", "local_face")
+    m = X.mixed_mesh(spark, sf_dir)
+    return partition.partition_by_label(m, m.faces.select("face_id", (F.col("face_id") % 3).alias("label")))
 
 
-@register("merge_partitions", X.sql(X.MESH, select="select (select count(*) from node) as n_node, (select count(*) from face) as n_face, (select sum(area) from geo) as area"))
+@register("merge_partitions", X.sql(X.MESH, X.DATA, "nn as (select node_id, row_number() over (order by part, node_id) - 1 as new from (select node_id, min(face_id % 3) as part from corner group by 1))", "nf as (select face_id, row_number() over (order by face_id % 3, face_id) - 1 as id from face)", select="select nf.id, list(nn.new order by pos) as nodes, any_value(value) as value from corner join nf using (face_id) join nn using (node_id) join data using (face_id) group by 1"))
 def merge_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.mixed_mesh(spark)
-    parts = [(m.nodes, m.faces.where(f"face_id % 3 = {k}")) for k in range(3)] + [(m.nodes, m.faces.where("face_id < 100"))]
-    merged = partition.merge_partitions(parts)
-    used = geometry.with_geometry(merged)
-    return used.agg(F.count("*").alias("n_face"), F.round(F.sum("area"), 6).alias("area")).crossJoin(merged.nodes.agg(F.count("*").alias("n_node")))  # one row each
+    """Three parts and a repeated one, each with the nodes that it uses, and their values."""
+    m = X.mixed_mesh(spark, sf_dir)
+    data = MeshDataset({"value": MeshArray(m, "face", X.face_data(spark, sf_dir).withColumnRenamed("face_id", "id"))})
+    parts = data.partition_by_label(m.faces.select("face_id", (F.col("face_id") % 3).alias("label")))
+    merged = merge_sets([*parts, parts[1]])
+    faces = merged.grid.faces.withColumnRenamed("face_id", "id")
+    return faces.join(merged["value"].df, "id").select("id", "nodes", "value")
 
 
-@register("label_partitions", X.sql(X.MESH, select="select cast(floor(r * 8 / n) as bigint) as label, count(*) as n from (select row_number() over (order by face_id) - 1 as r, count(*) over () as n from face) group by 1"))
+@register("label_partitions", X.sql(X.MESH, "z as (select face_id, cast(floor((cx - x0) / (x1 - x0) * 65535) as bigint) as ix, cast(floor((cy - y0) / (y1 - y0) * 65535) as bigint) as iy from geo, (select min(cx) as x0, max(cx) as x1, min(cy) as y0, max(cy) as y1 from geo))", "c as (select face_id, sum((((ix >> k) & 1) << (2 * k)) + (((iy >> k) & 1) << (2 * k + 1))) as code from z, range(16) r(k) group by 1)", select="select face_id, cast(floor((row_number() over (order by code, face_id) - 1) * 8 / count(*) over ()) as bigint) as label from c"))
 def label_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.label_partitions(X.mixed_mesh(spark), 8).groupBy("label").agg(F.count("*").alias("n"))
+    return partition.label_partitions(X.mixed_mesh(spark, sf_dir), 8)
 
 
 # the forwarded array surface, on values by face or by day
-@register("rolling_mean", "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 3 preceding and current row), 6) as value from events")
+@register("rolling_mean", "select event_id, round(case when count(*) over w = 4 then avg(value) over w end, 6) as value from events window w as (partition by user_id order by ts, event_id rows between 3 preceding and current row)")
 def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
-    return X.read_table(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("value"))
+    return X.read_table(spark, sf_dir, "events").select("event_id", F.round(F.when(F.count("value").over(w) == 4, F.avg("value").over(w)), 6).alias("value"))
 
 
 @register("resample_day", "select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n, round(sum(round(value * 10000)) / 10000, 2) as value from events group by 1, 2")
@@ -373,6 +364,9 @@ def groupby_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.round("value", 4)), 4).alias("value"))
 
 
-@register("where_fill", X.sql(X.CELLS, X.MESH, X.DATA, select="select face_id, round(case when value > 30000 then value else 0 end, 6) as value from data"))
+@register("where_fill", X.sql(X.MESH, X.DATA, select="select face_id, round(case when value > 300000 then value else 0 end, 6) as value from data"))
 def where_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.face_data(spark, sf_dir).select("face_id", F.round(F.when(F.col("value") > 30000, F.col("value")).otherwise(0.0), 6).alias("value"))
+    return X.face_data(spark, sf_dir).select("face_id", F.round(F.when(F.col("value") > 300000, F.col("value")).otherwise(0.0), 6).alias("value"))
+
+
+from gridloom.plans import arrays, grids  # noqa: E402,F401  more queries for the same registry

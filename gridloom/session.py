@@ -51,6 +51,24 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
+class Round:
+    """The table that a loop carries from round to round, written as Parquet.
+
+    A checkpoint keeps the size that the planner guessed for it, and guesses for joins of joins multiply; a
+    written table has its real size.  The table of the round before is removed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        df, path = stored(df)
+        if self.path:
+            remove(self.spark, self.path)
+        self.path = path
+        return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more, whatever file system its path names."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
