@@ -413,9 +413,9 @@ def burn_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.burn(X.mixed_mesh(spark, sf_dir), **wkt.burnable(geometry_table), all_touched=True).where("value is not null")
 
 
-@register("burn_wkt", X.sql(X.MESH, select="select face_id, case when face_id = 2 then 30e0 when cx > 8 and cx < 12 and cy > 1 and cy < 3 and not (cx > 9 and cx < 11 and cy > 1.5 and cy < 2.5) then 10e0 end as value from geo"))
+@register("burn_wkt", X.sql(X.MESH, select="select face_id, case when face_id = 2 then 30e0 when cx > 8 and cx < 12 and cy > 1 and cy < 3 and not (cx > 9 and cx < 11 and cy > 1.4 and cy < 2.6) then 10e0 end as value from geo"))
 def burn_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "POLYGON ((8 1, 12 1, 12 3, 8 3, 8 1), (9 1.5, 11 1.5, 11 2.5, 9 2.5, 9 1.5))", 10.0), (1, "POINT (1.5 0.25)", 30.0)]
+    rows = [(0, "POLYGON ((8 1, 12 1, 12 3, 8 3, 8 1), (9 1.4, 11 1.4, 11 2.6, 9 2.6, 9 1.4))", 10.0), (1, "POINT (1.5 0.25)", 30.0)]
     return vector.burn(X.mixed_mesh(spark, sf_dir), **wkt.burnable(spark.createDataFrame(rows, "row long, wkt string, height double"), "height"))
 
 
@@ -508,15 +508,15 @@ on_mesh("mesh_components", "select face_id as id, 0 as value from face")(lambda
 @register("rcm_order", "select o_orderkey as id, (select max(o_orderkey) from orders) - o_orderkey as rank from orders where o_orderkey < 5000")
 def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain of the orders is walked from its lowest end, and the order reversed."""
-    ids = spark.range(60).select("id")
-    chain = spark.range(59).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    ids = spark.range(20).select("id")
+    chain = spark.range(19).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     both = chain.unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     order = graph.reverse_cuthill_mckee(ids, both)
     # the rank of the chain's places, put on the orders
     o = X.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     top = o.agg(F.max("id").alias("top"))
-    known = order.select(F.col("id"), (59 - F.col("rank")).alias("place"))
-    return o.where("id < 5000").join(known.select(F.col("id").alias("low"), "place"), F.col("id") % 60 == F.col("low")).crossJoin(F.broadcast(top)).select("id", (F.col("top") - F.floor(F.col("id") / 60) * 60 - F.col("place")).alias("rank"))  # joined with one row
+    known = order.select(F.col("id"), (19 - F.col("rank")).alias("place"))
+    return o.where("id < 5000").join(known.select(F.col("id").alias("low"), "place"), F.col("id") % 20 == F.col("low")).crossJoin(F.broadcast(top)).select("id", (F.col("top") - F.floor(F.col("id") / 20) * 20 - F.col("place")).alias("rank"))  # joined with one row
 
 
 # partitions with data
