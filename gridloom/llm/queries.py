@@ -86,6 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op7_minhash": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        sets as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+        shingle as (select doc_id, len(s) as n, unnest(s) as s from sets),
+        pair as (select a.doc_id as u, b.doc_id as v, any_value(a.n) as n, any_value(b.n) as m, count(*) as k from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        link as (select u, v from pair where 100 * k >= 85 * (n + m - k)),
+        way as (select u, v from link union all select v, u from link),
+        reach as (select doc_id as id, doc_id as other from documents union select r.id, way.v from reach r join way on way.u = r.other),
+        least as (select id, min(other) as component_id from reach group by 1)
+        select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from sets join least on id = doc_id""",
     "op9_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         h as (select payload_digest, payload_bytes, max(page_id) as holder from p where payload_bytes >= 1000 group by all)
