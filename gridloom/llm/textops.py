@@ -1,7 +1,7 @@
 """Vectorised words, hashes and shingles over Arrow string columns.
 
-Texts stay in the Arrow buffer: a batch is cut into slices of about a megabyte
-of bytes, and words are hashed from prefix sums of a polynomial in the bytes,
+Texts stay in the Arrow buffer: a batch is cut into slices of about a quarter
+of a megabyte, and words are hashed from prefix sums of a polynomial in the bytes,
 so no Python object is made for a word or a text.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
