@@ -18,28 +18,38 @@ from gridloom.llm import decontamination, minhash, packing, pii, toxicity
 from gridloom.session import remove, shared_dir
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Arrow batches of a thousand texts: ten thousand, some of them long, crowd the executors' memory beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    few_rows(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8."""
+    few_rows(spark)
     return minhash.deduplicated(docs, percent=80).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item."""
+    few_rows(spark)
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind."""
+    few_rows(spark)
     return pii.redact(docs).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, each with its sequence and offset."""
+    few_rows(spark)
     return packing.pack_documents(docs)
 
 
