@@ -84,6 +84,12 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.suffixes import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_interactions": op11_interactions,
     "op12_importance": op12_importance,
+    "op13_suffixes": op13_suffixes,
 }
 
 ORACLES: dict[str, str] = {
