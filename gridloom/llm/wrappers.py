@@ -43,7 +43,8 @@ from gridloom.operators.joins import lookup
 from gridloom.session import cut
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_USED = frozenset("class id role hidden style".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -72,18 +73,49 @@ STOPS = frozenset("ul ol dl table article section div body main td th".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text.strip() else {}
+    """Values of the attributes in use; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text) if text.strip() else ():
+        if (name := m[1].lower()) in _USED:
+            found.setdefault(name, m[2] or m[3] or m[4] or "")
+    return found
 
 
-def boilerplate(tag: str, a: dict[str, str]) -> bool:
-    """Whether an element's tag, role, class or id marks it as no part of an article."""
-    if tag in BOILERPLATE_TAGS or a.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
+def _marked(name: str) -> bool:
+    """Whether a class or id name says boilerplate: its last word beside generic ones does, or all of them."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    heads = list(words)
+    while len(heads) > 1 and heads[-1] in GENERIC:
+        heads.pop()
+    return bool(heads) and heads[-1] in STRONG or any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in GENERIC for w in words)
+
+
+def boilerplate(tag: str, a: dict[str, str], inside: list[str] | tuple = (), page: str = "", at: int = 0) -> bool:
+    """Whether an element's tag, role, class or id marks it as no part of an article.
+
+    ``inside``: tags of the elements around it; a header of an article is a part of it.  A form or
+    a marked element around a headline or main part of the ``page``, from ``at`` on, is a layout.
+    """
+    if a.get("role", "").lower() in BOILERPLATE_ROLES - {"form"} or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "article", "main") or tag == "header" and ("article" in inside or "main" in inside):
         return False
-    for name in f"{a.get('class', '')} {a.get('id', '')}".split() if a else ():
-        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
-        if any(w in STRONG for w in words) or any(w in BOILERPLATE_WORDS for w in words) and all(w in BOILERPLATE_WORDS or w in GENERIC for w in words):
+    if tag in BOILERPLATE_TAGS - {"form"}:
+        return True
+    marked = tag == "form" or a.get("role", "").lower() == "form" or any(_marked(x) for x in f"{a.get('class', '')} {a.get('id', '')}".split())
+    return marked and not _around_main(tag, page, at)
+
+
+def _around_main(tag: str, page: str, at: int) -> bool:
+    """Whether a headline or main part comes before the element's end."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        name = (m[2] or "").lower()
+        if name == tag and tag not in VOID:
+            depth += -1 if m[1] else 1
+            if not depth:
+                return False
+        elif name in ("h1", "main") and not m[1]:
             return True
     return False
 
@@ -134,7 +166,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
                     _, s, b = stack.pop()
                     yield "close", s, b
                 boiler = stack[-1][2] if stack else False
-        boiler = boiler or boilerplate(tag, a)
+        boiler = boiler or boilerplate(tag, a, [t for t, _, _ in stack], page, at)
         stack.append((tag, symbol(tag, a), boiler))
         yield "open", stack[-1][1], boiler
         if tag in RAW:

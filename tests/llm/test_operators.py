@@ -330,6 +330,15 @@ def test_extraction(spark):
     assert got[-3:] == [(20, "", 0), (21, "", 0), (22, "unclosed <b> tail", 17)]
 
 
+def test_attributes_are_names_with_values():
+    body = lambda x: wrappers.main_text(f"<body>{x}</body>")
+    kept = ['<div aria-hidden="false">a b</div>', '<p>a <a href="/news/hidden-costs.html">b</a></p>', '<p title="a hidden gem">a b</p>', "<p data-style='display:none'>a b</p>", '<p title="class=ads role=menu">a b</p>',
+            '<form id="aspnetForm"><h1>a b</h1></form>', '<div class="comments-free-zone">a b</div>', '<div class="sidebar-left-layout"><main>a b</main></div>', "<article><header><h1>a b</h1></header></article>", "<p class=lead class=ads>a b</p>"]
+    assert [body(x) for x in kept] == ["a b"] * len(kept)
+    gone = ["<div hidden>a</div>", '<div style="color:red; display: none">a</div>', "<div role=navigation>a</div>", "<div class='post-comments'>a</div>", "<div id=adBox>a</div>", "<header><h1>a</h1></header>", "<form><p>a</p></form>", "<div class=sidebar-left>a</div>", "<div class=ads class=lead>a</div>"]
+    assert [body(x) for x in gone] == [""] * len(gone)
+
+
 def extracted(spark, rows):
     return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
