@@ -377,7 +377,7 @@ def test_polygons_and_text(spark, house):
     sets = MeshDataset.from_geodataframe(spark.createDataFrame([(0, "POLYGON ((0 0, 1 0, 1 1, 0 0))", 5.0)], "id long, wkt string, h double"))
     assert sets["h"].facet == "face" and sets.to_geodataframe().first().h == 5.0
     outline = vector.bounding_polygon(house)
-    assert outline.count() == 7 and outline.where("not outer").count() == 0
+    assert outline.count() == 6 and outline.where("not outer").count() == 0
 
 
 # sources, breaks, roles
