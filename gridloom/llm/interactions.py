@@ -19,8 +19,10 @@ or toxic.  Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 from math import factorial
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,17 +70,13 @@ def joint_failures(rows: DataFrame, filters: list[str], part: str, weights: dict
     Place ``s`` of an array is the sum over rows of the weight times the flags of the filters in the
     bit set ``s``; the flags are 0/1 columns.
     """
-    sums = []
-    for name, weight in weights.items():
-        cells = []
-        for s in range(1 << len(filters)):
-            product = weight
-            for k, f in enumerate(filters):
-                if s >> k & 1:
-                    product = product * F.col(f)
-            cells.append(F.sum(product).cast("long"))
-        sums.append(F.array(*cells).alias(name))
-    return rows.groupBy(part).agg(*sums)
+    n = len(filters)
+    flag = lambda k, f: F.when(F.getbit("s", F.lit(k)) == 1, F.col(f)).otherwise(1)
+    product = reduce(mul, [flag(k, f) for k, f in enumerate(filters)])
+    rows = rows.select(part, *filters, *[w.alias(f"_{name}") for name, w in weights.items()], F.explode(F.sequence(F.lit(0), F.lit((1 << n) - 1))).alias("s"))
+    sums = rows.groupBy(part, "s").agg(*[F.sum(product * F.col(f"_{name}")).cast("long").alias(name) for name in weights])
+    whole = sums.groupBy(part).agg(F.sort_array(F.collect_list(F.struct("s", *weights))).alias("j"))  # 2**n rows a part
+    return whole.select(part, *[F.col(f"j.{name}").alias(name) for name in weights])
 
 
 def _inverted(joint: str, n: int) -> Column:
@@ -92,7 +90,8 @@ def _inverted(joint: str, n: int) -> Column:
 
 def _over_sets(joint: str, n: int, k: int, factor) -> Column:
     """Sum over the sets that hold filter ``k`` of ``factor(set) * joint failures``."""
-    return sum((F.get(joint, F.lit(s)) * F.lit(factor(s)).cast("long") for s in range(1 << n) if s >> k & 1), F.lit(0).cast("long"))
+    factors = F.array(*[F.lit(factor(s) if s >> k & 1 else 0).cast("long") for s in range(1 << n)])
+    return F.aggregate(F.zip_with(factors, joint, lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 def audit(joint: DataFrame, filters: list[str], part: str, orders: list[str] | None = None) -> DataFrame:
