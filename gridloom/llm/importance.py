@@ -86,8 +86,8 @@ class Buckets:
         return out, own
 
 
-def _pieces(df: DataFrame, text: str, n: int) -> DataFrame:
-    """``(doc_id, digest, part, words, owned)``: short texts as they are, the chunks of long ones dealt over all tasks."""
+def _pieces(df: DataFrame, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, digest, part, chunk, owned)``: short texts as they are, and the chunks of long ones dealt over all tasks."""
     long = F.octet_length(text) > CHUNK_BYTES
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("digest")]
     value = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")
@@ -102,7 +102,7 @@ def _pieces(df: DataFrame, text: str, n: int) -> DataFrame:
     short = df.where(~F.coalesce(long, F.lit(False))).select(*key, value)
     short = short.select("doc_id", "digest", F.lit(-1).alias("part"), F.col("t").alias("chunk"), F.octet_length("t").alias("owned"))
     parts = df.where(long).select(*key, value).mapInArrow(cut_up, schema)
-    return short.unionAll(parts.repartition("digest", "doc_id", "part"))
+    return short, parts.repartition("digest", "doc_id", "part")
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -129,7 +129,8 @@ def bucket_counts(df: DataFrame, text: str = "text", n: int = 1, buckets: int =
 
     if "doc_id" not in df.columns:
         df = df.withColumn("doc_id", F.lit(None).cast("long"))
-    rows = _pieces(df, text, n).select("chunk", "owned").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
+    short, parts = _pieces(df, text, n)
+    rows = short.unionAll(parts).select("chunk", "owned").mapInArrow(count, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c"))
     out = np.zeros(buckets, np.int64)
     for r in rows.collect():  # at most ``buckets`` rows
         out[r.bucket] = r.c
@@ -151,12 +152,12 @@ def weights(docs: DataFrame, gain: np.ndarray, n: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)] + [pa.array(x, pa.int64()) for x in sums], names)
 
     names = ["doc_id", "digest", "part", "n_features", "n_words", "weight"]
-    rows = _pieces(docs, "text", n).mapInArrow(weigh, "doc_id long, digest string, part int, n_features long, n_words long, weight long")
-    whole = rows.where("part < 0").drop("part")
+    whole, parts = (df.mapInArrow(weigh, "doc_id long, digest string, part int, n_features long, n_words long, weight long") for df in _pieces(docs, "text", n))
+    whole = whole.drop("part")
     # rows of one id and text have equal sums, so theirs are divided and dealt back
     copies = F.sum((F.col("part") == 0).cast("long"))
     share = [F.expr(f"sum({c}) div sum(cast(part = 0 as long))").alias(c) for c in names[3:]]
-    long = rows.where("part >= 0").groupBy("doc_id", "digest").agg(*share, copies.alias("copies"))
+    long = parts.groupBy("doc_id", "digest").agg(*share, copies.alias("copies"))
     long = long.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return whole.unionAll(long.select(whole.columns))
 
