@@ -70,7 +70,7 @@ class Regridder:
     relative: bool | None = False
     default = "mean"
 
-    def __init__(self, source: Side | None, target: Side, method: str | Callable[[], Column] | None = None, weights: DataFrame | None = None, tolerance: float | None = None):
+    def __init__(self, source: Side | None, target: Side, method: str | reduce.Reducer | Callable | None = None, weights: DataFrame | None = None, tolerance: float | None = None):
         self.source, self.target, self.tolerance = source, setup_grid(target), tolerance
         self.method = method or self.default
         reduce.method_of(self.method, self.relative)
