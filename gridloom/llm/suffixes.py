@@ -44,6 +44,7 @@ from gridloom.session import cut, remove, stored
 WIDTH = 400
 PIECE = 1 << 18
 LANES = 4096
+TASKS = 50_000
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -398,6 +399,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 << 20, pie
     pieces = texts.mapInArrow(_cut_pieces(width, gram, piece), "digest binary, lead long, lead_n long, chunk int, start int, copies long, bytes binary, sent array<int>")
     pieces = pieces.select(shard(F.col("chunk")).alias("shard"), "digest", "start", "copies", "bytes", "sent")
     ranges = max(8, shards // 8)
+    pieces = pieces.repartition(min(shards, TASKS), "shard")  # small in bytes, not in work
     worked, path = stored(pieces.groupBy("shard").applyInArrow(_work_shard(width, ranges), _SHARD))
     paths.append(path)
     replies = worked.where("digest is null").select("range", "shard", "keys", "places").groupBy("range").applyInArrow(_merge_range, "shard long, places binary")
