@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import multigrid
 from gridloom.operators.components import connected_components
 from gridloom.operators.mesh import Network, dense_ids
 from gridloom.session import Round, cut
@@ -218,12 +219,16 @@ def nearest_on_network(adjacency: DataFrame, data: DataFrame, max_distance: floa
     return data.join(best.select("id", "origin"), "id", "left").join(source, "origin", "left").select("id", F.coalesce("value", "near").alias("value"))
 
 
+PLAIN = 200
+
+
 def laplace_fill(adjacency: DataFrame, data: DataFrame, tolerance: float = 1e-8, max_iterations: int = 500) -> DataFrame:
     """``(id, value)``: nulls become the weighted mean of their neighbours (``weight`` of ``adjacency``, else 1).
 
-    Solved by conjugate gradients on the unknowns, scaled by the diagonal, with vectors as tables; a
-    component without any value stays null; data without any value raises ``ValueError``.  If the residual
-    is not below ``tolerance`` times the first one after ``max_iterations``, a warning is given.
+    Solved by conjugate gradients on the unknowns with vectors as tables: scaled by the diagonal for few
+    unknowns, else with multigrid, as plain rounds would grow with the mesh's width.  A component without any
+    value stays null; data without any value raises ``ValueError``.  If the residual is not below
+    ``tolerance`` times the first one after ``max_iterations``, a warning is given.
     """
     if not data.where("value is not null").limit(1).count():
         raise ValueError("all values are null")
@@ -238,6 +243,13 @@ def laplace_fill(adjacency: DataFrame, data: DataFrame, tolerance: float = 1e-8,
     diagonal = rows.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("diag"))
     right = rows.join(data.where("value is not null").select(F.col("id").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("value")).alias("b"))
     inner = cut(rows.join(unknown.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "weight"))
+    if unknown.limit(PLAIN + 1).count() > PLAIN:
+        matrix = inner.select(F.col("src").alias("i"), F.col("dst").alias("j"), (-F.col("weight")).alias("a")).groupBy("i", "j").agg(F.sum("a").alias("a"))
+        matrix = cut(matrix.unionAll(diagonal.join(unknown, "id", "left_semi").select(F.col("id").alias("i"), F.col("id").alias("j"), F.col("diag").alias("a"))))
+        found, _, converged = multigrid.solve(matrix, right.select(F.col("id").alias("i"), F.col("b").alias("v")), tolerance, max_iterations)
+        if not converged:
+            warnings.warn(f"the fill has not converged after {max_iterations} iterations", stacklevel=2)
+        return data.join(found.select(F.col("i").alias("id"), F.col("v").alias("filled")), "id", "left").select("id", F.coalesce("value", "filled").alias("value"))
     scale = F.sqrt("diag")
     state = unknown.join(diagonal, "id").join(right, "id", "left").select("id", scale.alias("s"), F.lit(0.0).alias("u"), (F.coalesce("b", F.lit(0.0)) / scale).alias("r"))
     state = cut(state.withColumn("p", F.col("r")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.data import MeshArray
 from gridloom.plans import fixtures as X
 from gridloom.plans.registry import register
+from gridloom.sources.tables import read_table
 
 W = "window w as (partition by id order by line)"
 
@@ -99,3 +100,20 @@ def from_structured2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = X.price_cells(spark, sf_dir).select("iy", "ix", "value")
     a = MeshArray.from_structured2d(spark, data, [float(k) for k in range(X.NX + 1)], [float(k) for k in range(X.NY + 1)])
     return r(MeshArray.from_data(a.df.join(a.grid.faces.select(F.col("face_id").alias("id")), "id", "right"), a.grid, "face")).where("value is not null")
+
+
+@register(
+    "laplace_plane",
+    """with c as (select o_orderkey as id, o_orderkey % 50 as ix, o_orderkey // 50 as iy, (select max(o_orderkey) // 50 from orders) as top from orders)
+    select id, cast(3 * ix + 2 * iy + 2.5 as double) as value, ix > 0 and ix < 49 and iy > 0 and iy < top - 1 as filled from c""",
+)
+def laplace_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane known on the border of the orders' raster alone and filled inside, where its harmonic continuation is itself."""
+    o = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    top = o.agg(F.floor(F.max("id") / X.NX).alias("top"))
+    ix, iy = F.col("id") % X.NX, F.floor(F.col("id") / X.NX)
+    inside = (ix > 0) & (ix < X.NX - 1) & (iy > 0) & (iy < F.col("top") - 1)
+    d = o.crossJoin(F.broadcast(top)).select("id", inside.alias("filled"), (3 * ix + 2 * iy + 2.5).alias("value"))  # joined with one row
+    holes = d.select("id", F.when(~F.col("filled"), F.col("value")).alias("value"))
+    got = MeshArray(X.order_mesh(spark, sf_dir), "face", holes).laplace_interpolate(tolerance=1e-9).df
+    return got.join(d.select("id", "filled"), "id").select("id", F.round("value", 3).alias("value"), "filled")

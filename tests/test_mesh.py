@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import connectivity as C
-from gridloom.operators import facets, geometry, graph, partition, reduce, regrid, select, vector
+from gridloom.operators import facets, geometry, graph, multigrid, partition, reduce, regrid, select, vector
 from gridloom.operators.components import connected_components
 from gridloom.operators.mesh import Mesh, Network, edges, from_breaks, from_lines, from_polygons, structured
 from gridloom.operators.periodic import to_periodic
@@ -205,3 +206,38 @@ def test_builders_and_round_trip(spark, house, tmp_path):
     w = spark.createDataFrame([(0, 1, 0.5)], "target_id long, source_id long, weight double")
     write_weights(w, str(tmp_path / "w"))
     assert rows(read_weights(spark, str(tmp_path / "w")), "target_id") == rows(w, "target_id")
+
+
+def plate(spark, n, m):
+    """The five-point matrix of a plate held at its border."""
+    ids = spark.range(n * m)
+    k, x, y = F.col("id"), F.col("id") % n, F.floor(F.col("id") / n)
+    near = F.array(F.when(x > 0, k - 1), F.when(x < n - 1, k + 1), F.when(y > 0, k - n), F.when(y < m - 1, k + n))
+    off = ids.select(k.alias("i"), F.explode(near).alias("j")).where("j is not null").select("i", "j", F.lit(-1.0).alias("a"))
+    return off.unionAll(ids.select(k.alias("i"), k.alias("j"), F.lit(4.0).alias("a")))
+
+
+def test_multigrid_rounds_hardly_grow(spark):
+    rounds = []
+    for n in (8, 20):
+        found, k, converged = multigrid.solve(plate(spark, n, n), spark.range(n * n).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("v")), 1e-8, direct=20)
+        u = np.pad(np.array([v for _, v in rows(found, "i")]).reshape(n, n), 1)
+        left = 4 * u[1:-1, 1:-1] - u[:-2, 1:-1] - u[2:, 1:-1] - u[1:-1, :-2] - u[1:-1, 2:]
+        assert converged and np.abs(left - (np.arange(n * n) % 3).reshape(n, n)).max() < 1e-6
+        rounds.append(k)
+    assert rounds[1] <= rounds[0] + 6 and rounds[1] <= 20
+
+
+def test_multigrid_without_couplings_and_few_rounds(spark):
+    alone = spark.range(40).select(F.col("id").alias("i"), F.col("id").alias("j"), (F.col("id") + 1.0).alias("a"))
+    found, _, converged = multigrid.solve(alone, spark.range(40).select(F.col("id").alias("i"), F.lit(2.0).alias("v")), direct=5)
+    assert converged and rows(found, "i") == [(i, pytest.approx(2.0 / (i + 1))) for i in range(40)]
+    assert not multigrid.solve(plate(spark, 8, 8), spark.range(64).select(F.col("id").alias("i"), F.lit(1.0).alias("v")), 1e-12, 1, direct=9)[2]
+
+
+def test_fill_by_multigrid_equals_plain_rounds(spark, monkeypatch):
+    data = spark.createDataFrame([(i, float(i) if i in (0, 9, 30) else None) for i in range(31)], "id long, value double")
+    plain = rows(graph.laplace_fill(chain(spark, 31), data, 1e-12), "id")
+    monkeypatch.setattr(graph, "PLAIN", 5)
+    monkeypatch.setattr(multigrid.solve, "__defaults__", (1e-8, 500, 5))
+    assert [v for _, v in rows(graph.laplace_fill(chain(spark, 31), data, 1e-12), "id")] == pytest.approx([v for _, v in plain])
