@@ -92,7 +92,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = 32768) ->
         rows["sequence_id"] = (np.int64(key[0]) << np.int64(40)) + bins
         return rows[[*names, "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # by row, as ids may be null or repeated; the pieces are written, so a row keeps its number
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda key, rows: run(key, rows.drop(columns="shard")), f"{kinds}, sequence_id long, offset long")
 
 
