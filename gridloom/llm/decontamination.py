@@ -134,7 +134,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.binary())], ["item_id", "words"])
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
-    items = items.mapInArrow(as_words, "item_id long, words binary").where("length(words) > 0")
+    items = items.mapInArrow(as_words, "item_id long, words binary").where("length(words) > 0").withColumn("key", F.xxhash64("words"))
+    ids, items = items.select("key", "item_id"), items.select(F.col("key").alias("item_id"), "words").dropDuplicates(["item_id"])  # equal items once
     total = items.agg(F.sum(F.length("words"))).first()[0] or 0
     blocks = max(1, -(-total // (8 * block_words)))
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -143,7 +144,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold:
         part = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).orderBy("item_id").collect()  # at most about block_words words
         found = _in_block(texts, block_of([(r.item_id, bytes(r.words)) for r in part], n), threshold, rare_share)
         out = found if out is None else out.unionAll(found)
-    return out
+    columns = out.columns
+    return out.withColumnRenamed("item_id", "key").join(ids, "key").select(columns)
 
 
 def _in_block(texts: DataFrame, block: Block, threshold: float, rare_share: float) -> DataFrame:
