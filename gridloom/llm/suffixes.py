@@ -352,7 +352,7 @@ _RESULT = pa.schema([("digest", pa.binary()), ("n_removed", pa.int64()), ("n_spa
 # the job
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 2 << 20, piece: int = PIECE, together: int = 256) -> DataFrame:
+def repeats(docs: DataFrame, width: int = WIDTH, shard_bytes: int = 1 << 20, piece: int = PIECE, together: int = 256) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)``, a row for each row of ``docs``.
 
     ``spans`` are the removed runs as starts and ends in bytes.  ``together``: about how many texts with the
