@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import connectivity, facets, geometry, graph, partition, periodic, select, topology, vector
+from gridloom.operators.crs import system, transform
 from gridloom.operators.mesh import Grid, Mesh, Network
 from gridloom.session import cut
 from gridloom.sources import roles, tables, wkt
@@ -507,6 +508,9 @@ class MeshArray:
         pairs = connectivity.connectivity_matrix(self.grid, self.facet, xy_weights)
         return self._with(graph.laplace_fill(pairs, self.df, tolerance, max_iterations))
 
+    def to_crs(self, crs: str | int | None = None, epsg: int | None = None) -> MeshArray:
+        return replace(self, grid=to_crs(self.grid, crs, epsg))
+
     def to_periodic(self) -> MeshArray:
         return self._indexed(*periodic.to_periodic(self.grid)) if isinstance(self.grid, Mesh) else self
 
@@ -540,6 +544,21 @@ def set_crs(grid: Grid, crs: str | int | None = None, epsg: int | None = None, a
     return replace(grid, crs=new.name, projected=roles.validate_crs(new, None if allow_override else grid.projected))
 
 
+def to_crs(grid: Grid, crs: str | int | None = None, epsg: int | None = None) -> Grid:
+    """The grid in another system; its own must be set.  The same system gives the same grid."""
+    new = roles.crs_of(crs, epsg)
+    if new is None:
+        raise ValueError("give a crs or an epsg code")
+    if grid.crs is None:
+        raise ValueError("the grid has no CRS: set it first")
+    if grid.crs == new.name:
+        return grid
+    old = roles.crs_of(grid.crs)
+    if old.epsg is None or new.epsg is None:
+        raise ValueError("both systems need an EPSG code")
+    return replace(grid, nodes=transform(grid.nodes, "x", "y", old.epsg, new.epsg), crs=new.name, projected=system(new.epsg).projected)
+
+
 def set_node_coords(grid: Grid, nodes: DataFrame, projected: bool = True) -> Grid:
     """The grid with other coordinates ``(node_id, x, y)``, one pair for each node."""
     known = grid.nodes.select("node_id")
@@ -679,6 +698,13 @@ class MeshDataset:
             raise ValueError(f"the other dataset has no grids {sorted(missing)}")
         return self._mapped(lambda a: a.reindex_like(other.topology[a.grid.name], tolerance))
 
+    def to_crs(self, crs: str | int | None = None, epsg: int | None = None, topology: str | None = None) -> MeshDataset:
+        """All grids, or the one named ``topology``, in another system."""
+        if topology is not None and topology not in self.names:
+            raise ValueError(f"no grid is named {topology}")
+        new = {g.name: to_crs(g, crs, epsg) if topology in (None, g.name) else g for g in self.grids}
+        return MeshDataset({n: replace(a, grid=new[a.grid.name]) for n, a in self.arrays.items()}, tuple(new[g.name] for g in self.more))
+
     def to_periodic(self) -> MeshDataset:
         return self._mapped(MeshArray.to_periodic)
 

@@ -369,4 +369,4 @@ def where_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.face_data(spark, sf_dir).select("face_id", F.round(F.when(F.col("value") > 300000, F.col("value")).otherwise(0.0), 6).alias("value"))
 
 
-from gridloom.plans import arrays, files, functions, grids  # noqa: E402,F401  more queries for the same registry
+from gridloom.plans import arrays, files, functions, grids, projections  # noqa: E402,F401  more queries for the same registry
