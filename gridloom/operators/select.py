@@ -14,7 +14,7 @@ from gridloom.operators.mesh import Grid, Mesh, Network
 from gridloom.operators.topology import box, node_bounds
 from gridloom.session import cut
 
-CROWD = 1024
+CROWD = 16
 GEOMETRY = ("face_id", "ring", "cx", "cy", "xmin", "ymin", "xmax", "ymax")
 
 
@@ -100,8 +100,9 @@ def sel_points(grid: Grid, points: DataFrame, data: DataFrame, facet: str = "fac
 def nearest(points: DataFrame, targets: DataFrame, size: float | None = None, max_distance: float | None = None) -> DataFrame:
     """``(point_id, id, distance)`` of the nearest of ``targets(id, x, y)``, ties to the lowest id.
 
-    The first bins are so small that none holds a crowd of targets.  Rings of bins are searched outwards.  A point is done when its best distance is at most the radius
-    searched; the radius doubles for the points that are left, so a sparse mesh needs few rounds.
+    The first bins are so small that a target shares its own with few others.  Rings of bins are searched
+    outwards.  A point is done when its best distance is at most the radius searched; the radius doubles for
+    the points that are left, so a sparse mesh needs few rounds.
     Beyond ``max_distance`` (where given; strictly) the result is null.
     """
     targets = cut(targets.groupBy("x", "y").agg(F.min("id").alias("id")).where("x is not null and y is not null"))  # of targets at one place the lowest id
@@ -110,10 +111,11 @@ def nearest(points: DataFrame, targets: DataFrame, size: float | None = None, ma
     if not span.n:
         return out
     extent = max(span.b - span.a, span.d - span.c) or 1.0
-    radius = size or extent / max(1.0, span.n**0.5)
+    area = (span.b - span.a) * (span.d - span.c)
+    radius = size or (min(extent, (area / span.n) ** 0.5) if area else extent / span.n)
     for _ in range(20 if size is None else 0):  # clustered targets: begin with bins that hold few
         bins = targets.groupBy(F.floor(F.col("x") / (2 * radius)), F.floor(F.col("y") / (2 * radius))).count()
-        if bins.agg(F.max("count")).first()[0] <= CROWD:
+        if bins.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] <= CROWD:
             break
         radius /= 2
     inside_x, inside_y = F.greatest(F.lit(span.a), F.least("x", F.lit(span.b))), F.greatest(F.lit(span.c), F.least("y", F.lit(span.d)))
