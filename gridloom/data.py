@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators import connectivity, facets, geometry, graph, partition, periodic, select, topology, vector
+from gridloom.operators import connectivity, facets, geometry, graph, ordered, partition, periodic, select, topology, vector
 from gridloom.operators.crs import system, transform
 from gridloom.operators.mesh import Grid, Mesh, Network
 from gridloom.session import cut
@@ -508,6 +508,23 @@ class MeshArray:
         pairs = connectivity.connectivity_matrix(self.grid, self.facet, xy_weights)
         return self._with(graph.laplace_fill(pairs, self.df, tolerance, max_iterations))
 
+    def interp(self, dim: str, places: DataFrame, method: str = "linear") -> MeshArray:
+        """Values at other ``places``, a column ``dim``, along a dimension; ``nearest``, ``ffill`` and ``bfill`` as of a reindex."""
+        keys = [c for c in self.df.columns if c not in (dim, "value")]
+        wanted = self.df.select(*keys).distinct().join(F.broadcast(places.select(dim).distinct()) if places.limit(100_001).count() <= 100_000 else places.select(dim).distinct())  # the result itself has a row for each
+        return self._with(ordered.interpolated(self.df, wanted, keys, dim, method).select(*self.df.columns))
+
+    def interp_like(self, other: MeshArray, dim: str, method: str = "linear") -> MeshArray:
+        return self.interp(dim, other.df.select(dim).distinct(), method)
+
+    def rolling_exp(self, dim: str, window: float, window_type: str = "span") -> MeshArray:
+        """Exponentially weighted means along a dimension; the window is a span, com, halflife or alpha."""
+        kinds = {"span": lambda w: 2 / (w + 1), "com": lambda w: 1 / (w + 1), "halflife": lambda w: 1 - 0.5 ** (1 / w), "alpha": lambda w: w}
+        if window_type not in kinds:
+            raise ValueError(f"window_type must be one of {', '.join(kinds)}, not {window_type}")
+        keys = [c for c in self.df.columns if c not in (dim, "value")]
+        return self._with(ordered.exponential_mean(self.df, keys, [dim], "value", kinds[window_type](window)))
+
     def to_crs(self, crs: str | int | None = None, epsg: int | None = None) -> MeshArray:
         return replace(self, grid=to_crs(self.grid, crs, epsg))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.data import MeshArray
+from gridloom.operators import ordered
 from gridloom.plans import fixtures as X
 from gridloom.plans.registry import register
 from gridloom.sources.tables import read_table
@@ -117,3 +118,36 @@ def laplace_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     holes = d.select("id", F.when(~F.col("filled"), F.col("value")).alias("value"))
     got = MeshArray(X.order_mesh(spark, sf_dir), "face", holes).laplace_interpolate(tolerance=1e-9).df
     return got.join(d.select("id", "filled"), "id").select("id", F.round("value", 3).alias("value"), "filled")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp_ntz").alias("at"), "event_id", "value")
+
+
+@register(
+    "interp_events",
+    """with e as (select ts as moment, avg(value) as value from events where value is not null group by 1), lohi as (select min(moment) as lo, max(moment) as hi from e),
+    t as (select o_orderkey, lo + to_microseconds(cast(floor((epoch_us(hi) - epoch_us(lo)) * ((o_orderkey * 7919) % 10007) / 10007) as bigint)) as moment from orders, lohi),
+    a as (select t.*, e.moment as a, e.value as low from t asof left join e on t.moment >= e.moment), b as (select a.*, e.moment as b, e.value as high from a asof left join e on a.moment <= e.moment)
+    select moment, count(*) as n, round(any_value(case when a = moment then low when b = moment then high else low + (high - low) * (epoch_us(moment) - epoch_us(a)) / (epoch_us(b) - epoch_us(a)) end), 5) as value from b group by moment""",
+)
+def interp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series, interpolated at a time for each order."""
+    e = _events(spark, sf_dir)
+    ends = e.where("value is not null").agg(F.unix_micros(F.min("at").cast("timestamp")).alias("lo"), F.unix_micros(F.max("at").cast("timestamp")).alias("hi"))
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey").crossJoin(F.broadcast(ends))  # joined with one row
+    step = F.floor((F.col("hi") - F.col("lo")) * ((F.col("o_orderkey") * 7919) % 10007) / 10007)
+    at = F.timestamp_micros(F.col("lo") + step.cast("long")).cast("timestamp_ntz")
+    got = ordered.interpolated(e, o.select(at.alias("at")), [], "at")
+    return got.groupBy(F.col("at").alias("moment")).agg(F.count("*").alias("n"), F.round(F.first("value"), 5).alias("value"))
+
+
+@register(
+    "rolling_exp_events",
+    """with e as (select event_id, value, row_number() over (order by event_id) as i from events)
+    select p.event_id, round(sum(q.value * 0.5 ** (p.i - q.i)) / sum(case when q.value is not null then 0.5 ** (p.i - q.i) end), 5) as value from e p join e q on q.i between p.i - 60 and p.i group by 1""",
+)
+def rolling_exp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exponentially weighted mean over all events as one series; weights 60 rows back are below the rounding."""
+    e = _events(spark, sf_dir).select("event_id", "value")
+    return ordered.exponential_mean(e, [], ["event_id"], "value", 0.5).select("event_id", F.round("value", 5).alias("value"))
