@@ -165,14 +165,25 @@ def rasterized_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _faces(spark, sf_dir).rasterize_like(x, y).select("row", "col", "value")
 
 
-@register("network_points", X.sql(X.CUSTOMERS, select="select edge_id as point_id, edge_id from cedge"))
+#: An edge for each order inside of the order's own unit cell, at a slope of its own: no two meet.
+SLOPES = "sl as (select o_orderkey as edge_id, o_orderkey % 50 + 0.1e0 as x0, o_orderkey // 50 + 0.2e0 as y0, o_orderkey % 50 + 0.6e0 + (o_custkey % 30) / 100e0 as x1, o_orderkey // 50 + 0.75e0 as y1 from orders)"
+
+
+def slopes(spark: SparkSession, sf_dir: str) -> Network:
+    o = X.read_table(spark, sf_dir, "orders")
+    k, x, y = F.col("o_orderkey"), F.col("o_orderkey") % 50, F.floor(F.col("o_orderkey") / 50)
+    nodes = o.select(F.inline(F.array(F.struct((2 * k).alias("node_id"), (x + 0.1).alias("x"), (y + 0.2).alias("y")), F.struct((2 * k + 1).alias("node_id"), (x + 0.6 + (F.col("o_custkey") % 30) / 100).alias("x"), (y + 0.75).alias("y")))))
+    return Network(nodes, o.select(k.alias("edge_id"), (2 * k).alias("a"), (2 * k + 1).alias("b")))
+
+
+@register("network_points", f"with {SLOPES} select 2 * edge_id as point_id, edge_id from sl union all select 2 * edge_id + 1, null from sl")
 def network_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge that lies under the point near the start of each edge; of several the lowest, which is replaced by the own one."""
-    n = X.customer_network(spark, sf_dir)
+    """A point on each edge, and one beside it that no edge holds."""
+    n = slopes(spark, sf_dir)
     e = geometry.edge_geometry(n.edges, n.nodes)
-    points = e.select(F.col("edge_id").alias("point_id"), (F.col("ax") + (F.col("bx") - F.col("ax")) * 0.382).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * 0.382).alias("y"))
-    found = select.locate_points(n, points, 1e-9)
-    return found.select("point_id", F.when(F.col("edge_id") <= F.col("point_id"), F.col("point_id")).alias("edge_id"))
+    x, y = F.col("ax") + (F.col("bx") - F.col("ax")) * 0.382, F.col("ay") + (F.col("by") - F.col("ay")) * 0.382
+    points = e.select(F.inline(F.array(F.struct((2 * F.col("edge_id")).alias("point_id"), x.alias("x"), y.alias("y")), F.struct((2 * F.col("edge_id") + 1).alias("point_id"), (x + 0.01).alias("x"), y.alias("y")))))
+    return select.locate_points(n, points, 1e-9).select("point_id", "edge_id")
 
 
 @register("barycentric_weights", X.sql(X.MESH, X.POINTS, "mv as (select point_id, x + 0.0137e0 as x, y + 0.0071e0 as y from pt)", "spot as (select point_id, x - floor(x) as u, y - floor(y) as v, cast(floor(y) as bigint) * 50 + cast(floor(x) as bigint) as q from mv where x < 50 and y < (select max(y) from node))", select="""
@@ -263,16 +274,17 @@ def regrid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regridders.OverlapRegridder(*_sides(spark)).regrid(data, ("line",)).select("line", "target_id", *r6("value"))
 
 
-@register("network_gridder", X.sql(X.CUSTOMERS, "len as (select edge_id, sqrt((a % 51 - b % 51) ** 2 + (a // 51 - b // 51) ** 2) as d from cedge)", select="select edge_id as source_id, round(d, 4) as length from len where d > 0"))
+@register(
+    "network_gridder",
+    f"""with {SLOPES}, c as (select *, unnest(range(cast(floor(x0 / 7.25) as bigint), cast(floor(x1 / 7.25) as bigint) + 1)) as i from sl), d as (select *, unnest(range(cast(floor(y0 / 3.5) as bigint), cast(floor(y1 / 3.5) as bigint) + 1)) as j from c),
+    t as (select *, greatest(0, (i * 7.25 - x0) / (x1 - x0), (j * 3.5 - y0) / (y1 - y0)) as t0, least(1, ((i + 1) * 7.25 - x0) / (x1 - x0), ((j + 1) * 3.5 - y0) / (y1 - y0)) as t1 from d)
+    select j * 7 + i as target_id, edge_id as source_id, round((t1 - t0) * sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2), 6) as weight from t where t1 - t0 > 1e-9""",
+)
 def network_gridder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of each edge in the faces add up to its length, where it runs through the faces."""
-    o = X.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m")).first().m
-    target = from_breaks(spark, [7.25 * k for k in range(8)], [3.5 * k for k in range(int(o // 51 / 3.5) + 2)])
-    gridder = regridders.NetworkGridder(X.customer_network(spark, sf_dir), target, "sum")
-    whole = gridder.weights.join(geometry.edge_geometry(gridder.source.edges, gridder.source.nodes).select(F.col("edge_id").alias("source_id"), (F.col("length") > 0).alias("long"), "ax", "bx", "ay", "by"), "source_id").where("long")
-    # an edge along a side lies in the faces on both sides
-    along = ((F.col("ay") == F.col("by")) & (F.col("ay") % 3.5 == 0) & (F.col("ay") > 0)) | ((F.col("ax") == F.col("bx")) & (F.col("ax") % 7.25 == 0) & (F.col("ax") > 0))
-    return whole.groupBy("source_id").agg(F.round(F.sum(F.when(along, F.col("weight") / 2).otherwise(F.col("weight"))), 4).alias("length"))
+    """The length of each edge in each face of the target."""
+    top = X.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m")).first().m // 50 + 1
+    target = from_breaks(spark, [7.25 * k for k in range(8)], [3.5 * k for k in range(int(top / 3.5) + 2)])
+    return regridders.NetworkGridder(slopes(spark, sf_dir), target, "sum").weights.select("target_id", "source_id", *r6("weight"))
 
 
 @register("raster_area", "select iy * 3 + ix as id, (ix + 1) * (iy + 1) * 0.5e0 as area from range(3) a(ix), range(2) b(iy)")
@@ -505,18 +517,18 @@ on_mesh("exterior_dilation", "select face_id as id, face_id in (select f1 from e
 on_mesh("mesh_components", "select face_id as id, 0 as value from face")(lambda m: MeshArray(m, "face", m.faces.select(F.col("face_id").alias("id"), F.lit(0.0).alias("value"))).connected_components().df.select("id", F.col("value").cast("int").alias("value")))
 
 
-@register("rcm_order", "select o_orderkey as id, (select max(o_orderkey) from orders) - o_orderkey as rank from orders")
+@register(
+    "rcm_order",
+    """with o as (select o_orderkey as id, min(o_orderkey) over (partition by o_custkey) as label, count(*) over (partition by o_custkey) as n, row_number() over (partition by o_custkey order by o_orderkey) as k from orders),
+    p as (select id, label, case when n < 3 then k when k = 1 then 2 when k = 2 then 1 else k end as place from o)
+    select id, count(*) over () - row_number() over (order by label, place) as rank from p""",
+)
 def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of the orders is walked from its lowest end, and the order reversed."""
-    ids = spark.range(20).select("id")
-    chain = spark.range(19).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    both = chain.unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    order = graph.reverse_cuthill_mckee(ids, both)
-    # the rank of the chain's places, put on the orders
-    o = X.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    top = o.agg(F.max("id").alias("top"))
-    known = order.select(F.col("id"), (19 - F.col("rank")).alias("place"))
-    return o.join(known.select(F.col("id").alias("low"), "place"), F.col("id") % 20 == F.col("low")).crossJoin(F.broadcast(top)).select("id", (F.col("top") - F.floor(F.col("id") / 20) * 20 - F.col("place")).alias("rank"))  # joined with one row
+    """A star for each customer, the first order in its middle: walked from its lowest leaf."""
+    o = X.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    first = o.groupBy("o_custkey").agg(F.min("id").alias("first"))
+    rays = o.join(first, "o_custkey").where("id <> first").select(F.col("id").alias("src"), F.col("first").alias("dst"))
+    return graph.reverse_cuthill_mckee(o.select("id"), rays.unionByName(rays.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
 
 
 # partitions with data
