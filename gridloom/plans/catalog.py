@@ -10,6 +10,7 @@ from gridloom.operators import facets, geometry, graph, partition, reduce, regri
 from gridloom.data import MeshArray, MeshDataset
 from gridloom.data import merge_partitions as merge_sets
 from gridloom.operators.mesh import Mesh, edges, face_nodes, structured
+from gridloom.operators.regridders import OverlapRegridder, Raster
 from gridloom.plans import fixtures as X
 from gridloom.plans.registry import ORACLES, QUERIES, Query, on_mesh, r6, register
 
@@ -148,14 +149,25 @@ for _name, _expression in _SQL.items():
 register("regrid_mode", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, round(v, 4) as value from target left join (select target_id, arg_max(value, struct_pack(w := w, v := value)) as v from (select target_id, value, sum(weight) as w from w group by 1, 2) group by 1) using (target_id)"))(_regrid("mode"))
 
 
-@register("overlap_weights", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, source_id, round(weight, 6) as weight from (select target_id, ix + iy * 50 as source_id, (least(x1, ix + 1) - greatest(x0, ix)) * (least(y1, iy + 1) - greatest(y0, iy)) as weight from target, range(50) a(ix), range(11) b(iy) where ix < x1 and ix + 1 > x0 and iy < y1 and iy + 1 > y0)"))
+OVERLAPS = """with c as (select o_orderkey as source_id, o_orderkey % 50 as ix, o_orderkey // 50 as iy from orders),
+    d as (select *, unnest(range(cast(floor(ix / 7.25) as bigint), least(7, cast(ceil((ix + 1) / 7.25) as bigint)))) as i from c), e as (select *, unnest(range(cast(floor(iy / 2.5) as bigint), cast(ceil((iy + 1) / 2.5) as bigint))) as j from d)
+    select j * 7 + i as target_id, source_id, round((least(7.25 * (i + 1), ix + 1) - greatest(7.25 * i, ix)) * (least(2.5 * (j + 1), iy + 1) - greatest(2.5 * j, iy)), 6) as weight from e"""
+
+
+def _order_rasters(spark: SparkSession, sf_dir: str) -> tuple[Raster, Raster]:
+    """The orders' raster, row by row, and a coarser one over it."""
+    top = X.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m")).first().m // X.NX + 1
+    return Raster(spark, tuple(map(float, range(X.NX + 1))), tuple(map(float, range(top + 1)))), Raster(spark, tuple(7.25 * k for k in range(8)), tuple(2.5 * k for k in range(int(-(-top // 2.5)) + 1)))
+
+
+@register("overlap_weights", OVERLAPS)
 def overlap_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark).select("target_id", "source_id", *r6("weight"))
+    return OverlapRegridder(*_order_rasters(spark, sf_dir)).weights.select("target_id", "source_id", *r6("weight"))
 
 
-@register("overlap_general", X.sql(X.CELLS, X.WEIGHTS, select="select target_id, source_id, round(weight, 6) as weight from (select target_id, ix + iy * 50 as source_id, (least(x1, ix + 1) - greatest(x0, ix)) * (least(y1, iy + 1) - greatest(y0, iy)) as weight from target, range(50) a(ix), range(11) b(iy) where ix < x1 and ix + 1 > x0 and iy < y1 and iy + 1 > y0)"))
+@register("overlap_general", OVERLAPS)
 def overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = regrid.overlap_weights(structured(spark, X.NX, X.NY), structured(spark, X.TX, X.TY, X.TDX, X.TDY))
+    w = regrid.overlap_weights(X.order_mesh(spark, sf_dir), _order_rasters(spark, sf_dir)[1].to_mesh())
     return w.select("target_id", "source_id", *r6("weight"))
 
 

@@ -216,11 +216,10 @@ def _totals(m: Mesh) -> DataFrame:
     return geometry.with_geometry(m).agg(F.count("*").alias("n_cell"), F.round(F.sum("area"), 4).alias("area")).crossJoin(m.nodes.agg(F.count("*").alias("n_vertex"))).select("n_cell", "n_vertex", "area")  # one row each
 
 
-@register("circumcenter_voronoi", "select count(*) as n_cell, 4e0 as area from range(25) a(k)")
+@register("circumcenter_voronoi", "with n as (select distinct unnest([k, k + 1, k + 51, k + 52]) as node_id from (select o_orderkey // 50 * 51 + o_orderkey % 50 as k from orders)) select (select count(*) from n) as n_cell, cast(count(*) as double) as area from orders")
 def circumcenter_voronoi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells around the circumcenters of a mesh of triangles that covers a square of side 2, one for each of its 25 nodes."""
-    quads = structured(spark, 4, 4, 0.5, 0.5)
-    triangles, _ = geometry.triangulate(quads)
+    """Cells around the circumcenters of the orders' triangles, which cover the raster, one for each node."""
+    triangles, _ = geometry.triangulate(X.order_mesh(spark, sf_dir))
     return _totals(voronoi.tesselate_circumcenter_voronoi(triangles)).select("n_cell", F.round("area", 6).alias("area"))
 
 
@@ -287,9 +286,11 @@ def network_gridder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regridders.NetworkGridder(slopes(spark, sf_dir), target, "sum").weights.select("target_id", "source_id", *r6("weight"))
 
 
-@register("raster_area", "select iy * 3 + ix as id, (ix + 1) * (iy + 1) * 0.5e0 as area from range(3) a(ix), range(2) b(iy)")
+@register("raster_area", "with t as (select max(o_orderkey) // 50 + 1 as top from orders) select iy * 3 + ix as id, (ix + 1) * (iy + 1) * 0.5e0 as area from range(3) a(ix), (select unnest(range(top)) as iy from t)")
 def raster_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regridders.Raster(spark, (0.0, 1.0, 3.0, 6.0), (0.0, 0.5, 1.5)).area()
+    """Cells whose sides grow with the column and the row, over the rows of the orders."""
+    top = X.read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("m")).first().m // 50 + 1
+    return regridders.Raster(spark, (0.0, 1.0, 3.0, 6.0), tuple(k * (k + 1) / 4 for k in range(top + 1))).area()
 
 
 # periodic meshes
@@ -347,23 +348,30 @@ def opened_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.join(grid.faces.select(F.col("face_id").alias("id")), "id", "left_semi").select("part", "id", "value")
 
 
-@register("interval_breaks", "select k as idx, case when k = 0 then 1.5e0 when k = 10 then 91.5e0 else ((k - 1) * (k - 1) + k * k + 4) / 2e0 end as at from range(11) a(k)")
+def _axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("int").alias("idx"))
+
+
+COUNTED = "with n as (select count(*) as n from orders), k as (select n, cast(unnest(range(n + 1)) as int) as idx from n)"
+
+
+@register("interval_breaks", f"{COUNTED} select idx, case when idx = 0 then 1.5e0 when idx = n then (n - 1) * (n - 1) + 2 + (2 * n - 3) / 2e0 else (cast(idx - 1 as bigint) * (idx - 1) + cast(idx as bigint) * idx + 4) / 2e0 end as \"at\" from k")
 def interval_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks of cells around square numbers plus 2: halfway between them, and as far beyond the ends."""
-    axis = spark.range(10).select(F.col("id").alias("idx"), (F.col("id") * F.col("id") + 2.0).alias("mid"))
-    return breaks.infer_interval_breaks1d(axis).select("idx", "at")
+    """Breaks of cells around the squares of the orders' keys plus 2: halfway between them, and as far beyond the ends."""
+    k = F.col("idx").cast("double")
+    return breaks.infer_interval_breaks1d(_axis(spark, sf_dir).select("idx", (k * k + 2.0).alias("mid"))).select(F.col("idx").cast("int").alias("idx"), "at")
 
 
-@register("spacing_breaks", "select k as idx, 100e0 - 10 * k as at from range(6) a(k)")
+@register("spacing_breaks", f"{COUNTED} select idx, 100e0 - 10 * cast(idx as bigint) as \"at\" from k")
 def spacing_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = spark.range(5).select(F.col("id").alias("idx"), (95.0 - F.col("id") * 10).alias("mid"))
-    return breaks.infer_interval_breaks1d(axis, 10.0).select("idx", "at")
+    axis = _axis(spark, sf_dir).select("idx", (95.0 - F.col("idx") * 10).alias("mid"))
+    return breaks.infer_interval_breaks1d(axis, 10.0).select(F.col("idx").cast("int").alias("idx"), "at")
 
 
-@register("bounds_breaks", "select k as idx, k * 1.5e0 as at from range(8) a(k)")
+@register("bounds_breaks", f"{COUNTED} select idx, idx * 1.5e0 as \"at\" from k")
 def bounds_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.range(7).select(F.col("id").alias("idx"), (F.col("id") * 1.5).alias("lower"), ((F.col("id") + 1) * 1.5).alias("upper"))
-    return breaks.bounds1d_to_vertices(b).select("idx", "at")
+    b = _axis(spark, sf_dir).select("idx", (F.col("idx") * 1.5).alias("lower"), ((F.col("idx") + 1) * 1.5).alias("upper"))
+    return breaks.bounds1d_to_vertices(b).select(F.col("idx").cast("int").alias("idx"), "at")
 
 
 @register("structured_bounds", "select row_number() over (order by o_orderkey) - 1 as face_id, o_orderkey as of, cast(case when o_orderkey % 3 = 0 then 3 else 4 end as bigint) as n, case when o_orderkey % 3 = 0 then 0.5e0 else 1e0 end as area from orders where o_orderkey % 5 <> 0")
@@ -377,34 +385,40 @@ def structured_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.with_geometry(mesh).select("face_id", F.size("ring").cast("long").alias("n"), "area").join(of, "face_id")
 
 
-@register("rotated_raster", "select iy * 6 + ix as face_id, 2e0 as area, ix + iy + 1e0 as x, cast(iy - ix as double) as y from range(6) a(ix), range(4) b(iy)")
+@register("rotated_raster", "select (o_orderkey // 50) * 49 + o_orderkey % 50 as face_id, 2e0 as area, o_orderkey % 50 + o_orderkey // 50 + 1e0 as x, cast(o_orderkey // 50 - o_orderkey % 50 as double) as y from orders where o_orderkey % 50 < 49 and o_orderkey // 50 < (select max(o_orderkey) // 50 from orders)")
 def rotated_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raster turned by 45 degrees, from its corners."""
-    corners = spark.range(35).select(F.floor(F.col("id") / 7).alias("iy"), (F.col("id") % 7).alias("ix"))
+    """A raster turned by 45 degrees, from its corners, one for each order."""
+    corners = X.read_table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 50).alias("iy"), (F.col("o_orderkey") % 50).alias("ix"))
     mesh = breaks.from_intervals2d(corners.select("iy", "ix", (F.col("ix") + F.col("iy")).cast("double").alias("x"), (F.col("iy") - F.col("ix")).cast("double").alias("y")))
     return geometry.with_geometry(mesh).select("face_id", "area", F.round("cx", 6).alias("x"), F.round("cy", 6).alias("y"))
 
 
-@register("disk_sizes", "select cast(217 as double) as n_node, cast(384 as bigint) as n_face, round(25e0 * 24 * sin(2 * pi() / 48), 3) as area")
+@register("disk_sizes", "with d as (select cast(floor(sqrt(count(*)) / 10) as bigint) as d from orders) select cast(1 + 3 * d * (d + 1) as double) as n_node, 6 * d * d as n_face, round(25e0 * 3 * d * sin(2 * pi() / (6 * d)), 3) as area from d")
 def disk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh, hill = breaks.disk(spark)
+    """A disk of six sectors, as deep as a tenth of the root of the orders' number."""
+    depth = int(X.read_table(spark, sf_dir, "orders").count() ** 0.5 / 10)
+    mesh = breaks.generate_disk(spark, 6, depth)
+    mesh = Mesh(mesh.nodes.select("node_id", (F.col("x") * 5).alias("x"), (F.col("y") * 5).alias("y")), mesh.faces)
     total = geometry.with_geometry(mesh).agg(F.count("*").alias("n_face"), F.round(F.sum("area"), 3).alias("area"))
-    return total.crossJoin(hill.agg(F.count("*").cast("double").alias("n_node"))).select("n_node", "n_face", "area")  # one row each
+    return total.crossJoin(mesh.nodes.agg(F.count("*").cast("double").alias("n_node"))).select("n_node", "n_face", "area")  # one row each
 
 
-@register("default_roles", "select 'mesh2d' as topology, role, name from (values ('node_dimension', 'mesh2d_nNodes'), ('edge_dimension', 'mesh2d_nEdges'), ('face_dimension', 'mesh2d_nFaces'), ('face_node_connectivity', 'mesh2d_face_nodes'), ('edge_node_connectivity', 'mesh2d_edge_nodes')) t(role, name)")
+@register(
+    "default_roles",
+    """with s as (select 2 * count(*) as nodes, count(*) as edges from orders), role(role, name) as (values ('node_dimension', 'network1d_nNodes'), ('edge_dimension', 'network1d_nEdges'), ('edge_node_connectivity', 'network1d_edge_nodes'))
+    select 'network1d' as topology, role, name, case when role = 'node_dimension' then nodes else edges end as size from role, s""",
+)
 def default_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dimensions and connectivities that are found in a file with default names."""
-    V = roles.Variable
-    attrs = roles.default_attrs("mesh2d", 2)
-    xy = {f"mesh2d_node_{c}": V((attrs["node_dimension"],), (9,), {"standard_name": f"projection_{c}_coordinate"}) for c in "xy"}
-    links = {attrs["face_node_connectivity"]: V((attrs["face_dimension"], "mesh2d_nMax_face_nodes"), (4, 4)), attrs["edge_node_connectivity"]: V((attrs["edge_dimension"], "two"), (12, 2))}
-    keep = ("face_node_connectivity", "edge_node_connectivity")
-    attrs = {k: v for k, v in attrs.items() if not k.endswith("connectivity") or k in keep}
-    attrs = {k: v for k, v in attrs.items() if not k.endswith("coordinates") or k == "node_coordinates"}
-    variables = {"mesh2d": V((), (), attrs), **xy, **links}
-    found = roles.dimensions(variables)["mesh2d"] | roles.connectivity(variables)["mesh2d"]
-    return spark.createDataFrame([("mesh2d", r, n) for r, n in found.items()], "topology string, role string, name string")
+    """The dimensions and connectivities that are found in a file of the orders' network, and their sizes."""
+    from gridloom.sources import arrays, datasets
+
+    datasets.write_dataset(MeshDataset({}, (slopes(spark, sf_dir),)), path := folder(spark))
+    found, _ = arrays.open_arrays(path)
+    variables = {n: roles.Variable(v.dims, v.shape, v.attrs) for n, v in found.items()}
+    size = {d: n for v in found.values() for d, n in zip(v.dims, v.shape)}
+    rows = [(t, r, n, size[n]) for t, kinds in roles.dimensions(variables).items() for r, n in kinds.items()]
+    rows += [(t, r, n, found[n].shape[0]) for t, kinds in roles.connectivity(variables).items() for r, n in kinds.items()]
+    return spark.createDataFrame(rows, "topology string, role string, name string, size long")
 
 
 # vectors
@@ -511,10 +525,14 @@ def cyclic_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(graph.is_cyclic(n), graph.is_cyclic(ring))], "orders boolean, ring boolean")
 
 
+def _strips(m: Mesh) -> DataFrame:
+    return MeshArray(m, "face", m.faces.select(F.col("face_id").alias("id"), F.lit(0.0).alias("value"))).connected_components().df.select("id", F.col("value").cast("int").alias("value"))
+
+
 on_mesh("exterior_dilation", "select face_id as id, face_id in (select f1 from ef where f2 is null) and face_id % 10 <> 3 as value from face")(
     lambda m: MeshArray(m, "face", m.faces.select(F.col("face_id").alias("id"), F.lit(False).alias("value"))).binary_dilation(mask=m.faces.where("face_id % 10 = 3").select(F.col("face_id").alias("id")), border_value=True).df
 )
-on_mesh("mesh_components", "select face_id as id, 0 as value from face")(lambda m: MeshArray(m, "face", m.faces.select(F.col("face_id").alias("id"), F.lit(0.0).alias("value"))).connected_components().df.select("id", F.col("value").cast("int").alias("value")))
+on_mesh("mesh_components", "select face_id as id, cast(face_id // 2 % 50 // 5 as int) as value from face where face_id // 2 % 50 % 5 <> 4")(lambda m: _strips(Mesh(m.nodes, m.faces.where("cast(face_id / 2 as bigint) % 50 % 5 <> 4"))))  # ten strips of four columns
 
 
 @register(
