@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.data import MeshArray
-from gridloom.operators import ordered
+from gridloom.operators import fit, ordered
 from gridloom.plans import fixtures as X
 from gridloom.plans.registry import register
 from gridloom.sources.tables import read_table
@@ -151,3 +151,25 @@ def rolling_exp_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An exponentially weighted mean over all events as one series; weights 60 rows back are below the rounding."""
     e = _events(spark, sf_dir).select("event_id", "value")
     return ordered.exponential_mean(e, [], ["event_id"], "value", 0.5).select("event_id", F.round("value", 5).alias("value"))
+
+
+@register(
+    "polyfit_line",
+    "select o_custkey as k, count(*) as n, round(regr_intercept(o_totalprice, o_orderkey), 2) as constant, round(regr_slope(o_totalprice, o_orderkey), 5) as slope from orders group by 1 having count(distinct o_orderkey) > 1",
+)
+def polyfit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend of each customer's prices over their orders' keys."""
+    got = fit.polyfit(read_table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice", 1).where("coefficients is not null")
+    c = lambda k: F.get("coefficients", F.lit(k))
+    return got.select(F.col("o_custkey").alias("k"), "n", F.round(c(0), 2).alias("constant"), F.round(c(1), 5).alias("slope"))
+
+
+@register("polyfit_parabola", "select o_custkey as k, cast(o_custkey % 7 as double) as a, cast(o_custkey % 5 as double) as b, 0.5e0 as c from orders group by o_custkey having count(distinct o_orderkey) > 2")
+def polyfit_parabola(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parabolas over the orders' keys, one a customer, are found again."""
+    o = read_table(spark, sf_dir, "orders")
+    x = F.col("o_orderkey") / 1000
+    y = F.col("o_custkey") % 7 + (F.col("o_custkey") % 5) * x + 0.5 * x * x
+    got = fit.polyfit(o.select("o_custkey", x.alias("x"), y.alias("y")), ["o_custkey"], "x", "y", 2).where("coefficients is not null")
+    c = lambda k: F.round(F.get("coefficients", F.lit(k)), 4) + 0.0
+    return got.select(F.col("o_custkey").alias("k"), c(0).alias("a"), c(1).alias("b"), c(2).alias("c"))

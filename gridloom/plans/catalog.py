@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import connectivity as C
-from gridloom.operators import facets, geometry, graph, partition, reduce, regrid, select, vector
+from gridloom.operators import facets, geometry, graph, partition, reduce, regrid, select, vector, voxels
 from gridloom.data import MeshArray, MeshDataset
 from gridloom.data import merge_partitions as merge_sets
 from gridloom.operators.mesh import Mesh, edges, face_nodes, structured
@@ -171,6 +171,29 @@ def overlap_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("target_id", "source_id", *r6("weight"))
 
 
+@register(
+    "regrid_voxels",
+    OVERLAPS.replace("select j * 7 + i as target_id", ", w as (select j * 7 + i as target_id", 1).replace(", 6) as weight from e", ", 6) as weight from e)", 1)
+    + """, g as (select l_orderkey, l_linenumber, sum(l_quantity) as q, sum(round(l_extendedprice * 100)) / 100 as value from lineitem group by 1, 2),
+    l as (select l_orderkey as source_id, sum(q) over (partition by l_orderkey order by l_linenumber) - q as bottom, q as high, value from g),
+    x as (select *, unnest(range(cast(floor(bottom / 40) as bigint), least(25, cast(ceil((bottom + high) / 40) as bigint)))) as layer from l),
+    y as (select w.target_id, x.layer, weight * (least(bottom + high, 40 * (layer + 1)) - greatest(bottom, 40 * layer)) as weight, value from x join w using (source_id)),
+    m as (select target_id, layer, sum(weight * value) / sum(weight) as value from y group by all)
+    select target_id, layer, round(value + 0.00012345, 2) as value from (select distinct target_id from w) cross join range(25) k(layer) left join m using (target_id, layer)""",
+)
+def regrid_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as the layers of its column, as thick as their quantity, on layers of 40 over a coarser raster."""
+    source, target = _order_rasters(spark, sf_dir)
+    weights = OverlapRegridder(source, target).weights.withColumn("weight", F.round("weight", 6))
+    low = Window.partitionBy("l_orderkey").orderBy("l_linenumber")  # an order's lines
+    lines = X.read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("q"), (F.sum(F.round(F.col("l_extendedprice") * 100)) / 100).alias("value"))
+    lines = lines.withColumn("top", F.sum("q").over(low)).select(F.col("l_orderkey").alias("source_id"), F.col("l_linenumber").alias("layer"), (F.col("top") - F.col("q")).alias("bottom"), "top", "value")
+    layers, data = lines.drop("value"), lines.select("source_id", "layer", "value")
+    even = weights.select("target_id").distinct().withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(24))))
+    even = even.select("target_id", "layer", (F.col("layer") * 40.0).alias("bottom"), (F.col("layer") * 40.0 + 40).alias("top"))
+    return voxels.regrid_voxels(weights, layers, even, data).select("target_id", F.col("layer").cast("long").alias("layer"), F.round(F.col("value") + 0.00012345, 2).alias("value"))  # means that are halves of a cent are no ties then
+
+
 @register("overlap_triangles", X.sql(X.MESH, select="select face_id // 2 as target_id, sum(round(area, 6)) as area from geo group by 1"))
 def overlap_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = regrid.overlap_weights(X.mixed_mesh(spark, sf_dir), X.order_mesh(spark, sf_dir))
