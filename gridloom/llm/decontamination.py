@@ -12,7 +12,11 @@ their order, so that rarity saves work and drops nothing.
 The benchmark is handled in blocks of a bounded number of words, each shipped to
 the tasks; every block reads all documents twice and shuffles only seed counts.
 Items and documents that are null or without words match nothing; items shorter
-than a seed are a seed by themselves.  Repeated rows give repeated results.
+than a seed are a seed by themselves.  Repeated rows give repeated results; equal
+items are aligned once, and each of their ids has a row.  Very long texts are read
+whole.  Rows without an id are matched like others, and ``decontaminated`` keeps
+them.  Without documents or without a benchmark nothing is found.  Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -1,11 +1,15 @@
 """Sum-of-squares packing of token sequences.
 
 Documents become pieces of at most ``capacity`` tokens.  Pieces are dealt to
-shards by a hash, tens of thousands to a shard, and each shard is packed in a
+shards by a hash of their place in the written table, tens of thousands to a shard, and each shard is packed in a
 task of its own: pieces by falling length, each into the open bin whose choice
 makes the sum of the squared counts of open bins per residual gap smallest; a
 new bin is opened only if no open bin has room.  The state of a shard is its
 pieces' lengths and one count a gap.
+
+A null or empty text is its end token; very long texts are read whole and cut into
+pieces.  Rows with a null or repeated ``doc_id`` are documents like others; an empty
+table stays empty.  Other columns of ``docs``, whatever their names, are not read.
 """
 
 from __future__ import annotations
