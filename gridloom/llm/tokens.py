@@ -18,6 +18,7 @@ from gridloom.llm.textops import SPACE, mix, powers, slices, utf8
 
 CACHED_CHUNKS = 1_500_000
 CACHED_BYTES = 64
+SLICE_BYTES = 1 << 20
 _SOLID = ~SPACE
 _SOLID[0x1C:0x20] = False
 _LETTER = np.zeros(256, bool)
@@ -69,7 +70,7 @@ class ChunkTokenizer:
     def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row; nulls count as empty."""
         raw, offsets = utf8(column)
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, SLICE_BYTES):  # each slice copies the kept ids once
             part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             if part.tobytes().find(b"<|endoftext|>") >= 0:  # its string is one token wherever it stands
                 for a, b in zip(at[:-1], at[1:]):
