@@ -435,10 +435,17 @@ def test_warc_round_trip_and_determinism(spark):
 def test_url_rules(spark):
     urls = ["http://X.Example.com/en/71?q", "http://x.example.com/en/8", "https://net/de/1#t", "ftp://example.net/de/81", "http://notnet/de/1", "http://a.org", "no scheme", None, "http://com/fr/1"]
     got = [(r.host, r.path, r.rule, r.verdict) for r in urlfilter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1))).orderBy("page_id").collect()]
-    assert got[:6] == [("x.example.com", "/en/71", "example.com/en/7", "allow"), ("x.example.com", "/en/8", "com/en/", "block"), ("net", "/de/1", "net/de/", "block"), ("example.net", "/de/81", "example.net/de/8", "block"), ("notnet", "/de/1", None, "allow"), ("a.org", "", None, "allow")]
+    assert got[:6] == [("x.example.com", "/en/71", "example.com/en/7", "allow"), ("x.example.com", "/en/8", "com/en/", "block"), ("net", "/de/1", "net/de/", "allow"), ("example.net", "/de/81", "example.net/de/8", "block"), ("notnet", "/de/1", None, "allow"), ("a.org", "", None, "allow")]
     assert got[6:] == [("", "", None, "allow"), ("", "", None, "allow"), ("com", "/fr/1", None, "allow")]
 
 
+def test_each_rule_has_the_word_of_the_contract(spark):
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {h + p: v for v, h, p in urlfilter.RULES} == words
+    rows = [(k, f"http://sub.{rule}1") for k, rule in enumerate(words)]
+    assert {r.rule: r.verdict for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()} == words
+
+
 def test_templates_of_bad_branches_are_rejected(spark):
     rules = (("block", "h.org", "/bad/1"), ("allow", "h.org", "/good/"))
     rows = [(k, f"http://h.org/bad/{d}{k}x") for k in range(60) for d in (1, 2)] + [(k, f"http://h.org/good/{k}") for k in range(60)]
