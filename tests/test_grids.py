@@ -176,6 +176,8 @@ def test_arithmetic_and_windows(spark, house):
     both = concat([a.sel_dims(t=0), a.sel_dims(t=1)], "run", ["x", "y"])
     assert both.dims == ("run",) and both.df.count() == 8
     assert a.unstack("t", [0, 3]).columns == ["id", "0", "3"] and a.expand_dims(layer=1).dims == ("t", "layer")
+    listed = a.interp("t", [0.5, 2.0, 9.0]).df.where("id = 1").orderBy("t").collect()
+    assert [(r.t, r.value) for r in listed] == [(0.5, 10.5), (2.0, 12.0), (9.0, None)] and a.interp("t", 9.0).dims == ()
     with pytest.raises(ValueError):
         a.reduce("mean", ["nothing"])
     with pytest.raises(ValueError):
