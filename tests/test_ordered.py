@@ -75,3 +75,10 @@ def test_recurrence_of_changing_factors(spark):
         y, n = f * y + t, f * n + 1
         assert (r.y, r.n) == (pytest.approx(y), pytest.approx(n))
     assert ordered.recurrence(spark.createDataFrame([], "i int"), [], ["i"], F.lit(1.0), {"y": F.lit(1.0)}).count() == 0
+
+
+def test_interpolation_has_no_frame_that_begins_at_its_row(spark, events):
+    """Such a frame is added up anew for every row, so a range of n rows took n * n steps."""
+    _, data = events
+    plan = ordered.interpolated(data, data.select("k", "at"), ["k"], "at")._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding" in plan.lower() and "unboundedfollowing" not in plan.lower()
