@@ -26,6 +26,18 @@ def test_fits_equal_numpy(spark, degree):
     assert got["few"].coefficients == ([2.0] if degree == 0 else None)
 
 
+def test_whole_numbers_are_fitted_exactly(spark):
+    """Places beside each other and far from 0: sums in doubles lost the constant's digits, or took the places for one."""
+    a, b = 9_000_000, 8_000_000_000
+    rows = [(k, x, 7 * k - 3 * x + 5 * x * x) for k in range(9) for x in (a, a + 1, a + 2, a + 90_000)] + [(9, a, 1), (9, a, 3), (9, a + 1, 1)]
+    got = {r.k: r.coefficients for r in polyfit(spark.createDataFrame(rows, "k long, x long, y long"), ["k"], "x", "y", 2).collect()}
+    assert got == {k: [7.0 * k, -3.0, 5.0] for k in range(9)} | {9: None}
+    # sums of too many digits go the other way
+    wide = spark.createDataFrame([(b * k, 2 * b * k + 1) for k in range(-5, 6)], "x long, y long")
+    assert polyfit(wide, [], "x", "y", 2).first().coefficients == pytest.approx([1.0, 2.0, 0.0], abs=1e-6)
+    assert polyfit(wide, [], "x", "y", 0).first().coefficients == [1.0]
+
+
 def test_fit_without_keys_and_values(spark):
     df = spark.range(10).select(F.col("id").alias("x"), (3.0 - 2 * F.col("id") + F.col("id") * F.col("id") / 2).alias("y"))
     one = polyfit(df, [], "x", "y", 2)
