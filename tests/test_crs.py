@@ -61,3 +61,11 @@ def test_grids_change_systems(spark):
     assert (at.x, at.y) == pytest.approx((5.38720, 52.15517), abs=2e-5)  # the tower on WGS 84
     both = MeshDataset({"a": MeshArray(mesh, "face", array.df), "b": MeshArray(mesh, "node", array.df)}).to_crs(epsg=32631)
     assert both["a"].grid is both["b"].grid and both["a"].grid.crs == "EPSG:32631" and both["a"].grid.projected
+
+
+def test_beyond_a_pole_there_is_no_mercator(spark):
+    points = spark.createDataFrame([(3.0, 89.0), (3.0, 100.0), (4.0, 220.0)], "x double, y double")
+    got = crs.transform(points, "x", "y", 4326, 3857).orderBy("x", F.isnan("y")).collect()
+    assert [math.isnan(r.y) for r in got] == [False, True, True] and got[0].y == pytest.approx(6378137 * math.log(math.tan(math.radians(89.5))))
+    zone = [r.y for r in crs.transform(points.where("x = 3").union(points.where("y = 89").selectExpr("x", "80.0")), "x", "y", 4326, 32631).collect()]
+    assert zone[1] == pytest.approx(zone[2])
