@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.mesh import Mesh, dense_ids, from_breaks, structured
+from gridloom.operators.ordered import neighbours
 from gridloom.session import cut
 
 
 def is_increasing(axis: DataFrame) -> bool:
     """Whether ``axis(idx, mid)`` runs upwards; one that is not monotonic raises ``ValueError``."""
-    step = axis.select((F.lead("mid").over(Window.orderBy("idx")) - F.col("mid")).alias("d"))  # an axis, not data
+    return _rises(neighbours(axis, [], ["idx"], "mid"))
+
+
+def _rises(axis: DataFrame) -> bool:
+    """The same of an axis with the places ``after``."""
+    step = axis.select((F.col("after") - F.col("mid")).alias("d"))
     found = step.agg(F.min("d").alias("low"), F.max("d").alias("high")).first()
     if found.low is not None and found.low < 0 < found.high:
         raise ValueError("the input coordinate is not monotonic")
@@ -28,8 +34,11 @@ def infer_interval_breaks(axis: DataFrame, by: str | None = None, check_monotoni
     if check_monotonic:
         is_increasing(axis)
     keys = [by] if by else []
-    along = Window.partitionBy(*keys).orderBy("idx")
-    row = axis.select(*keys, "idx", "mid", F.lag("mid").over(along).alias("before"), F.lead("mid").over(along).alias("after"))
+    return _halfway(neighbours(axis.select(*keys, "idx", "mid"), keys, ["idx"], "mid"), keys)
+
+
+def _halfway(row: DataFrame, keys: list[str]) -> DataFrame:
+    """The breaks of cells with the places ``before`` and ``after``."""
     half = lambda a, b: (F.col(b) - F.col(a)) / 2
     low = F.when(F.col("before").isNotNull(), F.col("before") + half("before", "mid")).otherwise(F.col("mid") - F.coalesce(half("mid", "after"), F.lit(0.0)))
     first = row.select(*keys, "idx", low.alias("at"))
@@ -42,9 +51,10 @@ def infer_interval_breaks1d(axis: DataFrame, spacing: float | None = None) -> Da
 
     Centres that are not one spacing apart (to 1e-4 of it) raise, and a single cell without a spacing does.
     """
-    rising = is_increasing(axis)
+    axis = neighbours(axis, [], ["idx"], "mid")
+    rising = _rises(axis)
     if spacing is not None:
-        step = axis.select(F.abs(F.lead("mid").over(Window.orderBy("idx")) - F.col("mid")).alias("d"))  # an axis, not data
+        step = axis.select(F.abs(F.col("after") - F.col("mid")).alias("d"))
         if step.where(F.abs(F.col("d") - abs(spacing)) > 1e-4 * abs(spacing) + 1e-5 * abs(spacing)).limit(1).count():
             raise ValueError("the spacing does not match the coordinate")
         axis = axis.withColumn("spacing", F.lit(float(spacing)))
@@ -54,13 +64,13 @@ def infer_interval_breaks1d(axis: DataFrame, spacing: float | None = None) -> Da
         return first.unionByName(axis.select((F.col("idx") + 1).alias("idx"), (F.col("mid") + half).alias("at")))
     if axis.limit(2).count() < 2:
         raise ValueError("cannot derive the spacing of a coordinate of one cell; give it a spacing")
-    return infer_interval_breaks(axis)
+    return _halfway(axis, [])
 
 
 def bounds1d_to_vertices(bounds: DataFrame) -> DataFrame:
     """``(idx, at)`` breaks of ``bounds(idx, lower, upper)``, which must run one way."""
-    order = Window.orderBy("idx")  # an axis, not data
-    steps = bounds.select((F.lead("lower").over(order) - F.col("lower")).alias("a"), (F.lead("upper").over(order) - F.col("upper")).alias("b"))
+    bounds = neighbours(bounds.select("idx", "lower", "upper", F.struct("lower", "upper").alias("both")), [], ["idx"], "both")
+    steps = bounds.select((F.col("after.lower") - F.col("lower")).alias("a"), (F.col("after.upper") - F.col("upper")).alias("b"))
     d = steps.agg(F.min(F.least("a", "b")).alias("low"), F.max(F.greatest("a", "b")).alias("high")).first()
     if d.low is not None and d.low < 0 < d.high:
         raise ValueError("bounds are not monotonic ascending or monotonic descending")

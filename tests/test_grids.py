@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import warnings
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.data import MeshArray, MeshDataset, concat, merge, merge_partitions
-from gridloom.operators import barycentric, breaks, connectivity, facets, geometry, graph, partition, regrid, regridders, select, topology, vector, voronoi
+from gridloom.operators import barycentric, breaks, connectivity, facets, geometry, graph, ordered, partition, regrid, regridders, select, topology, vector, voronoi
 from gridloom.operators.bins import box_join
 from gridloom.operators.mesh import Mesh, Network, edges, structured
 from gridloom.operators.periodic import to_nonperiodic, to_periodic
@@ -161,6 +162,18 @@ def test_sel_and_alignment(spark, house):
     assert a.rename("other").names == ["other"] and a.total_bounds == (0.0, 0.0, 2.0, 2.0) and a.copy() == a
 
 
+def test_breaks_need_no_window_over_the_whole_axis(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE", 100)
+    cells = spark.range(1000).repartition(7).select(F.col("id").alias("idx"), (F.col("id") * F.col("id")).cast("double").alias("mid"))
+    got = breaks.infer_interval_breaks1d(cells)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"lead\(mid#.*?windowspecdefinition\((\w+)", plan)) == {"_part"}
+    want = [-0.5, *((k * k + (k + 1) ** 2) / 2 for k in range(999)), 999**2 + (999**2 - 998**2) / 2]
+    assert [r["at"] for r in got.orderBy("idx").collect()] == want
+    both = breaks.bounds1d_to_vertices(cells.select("idx", F.col("idx").alias("lower"), (F.col("idx") + 1).alias("upper")))
+    assert [r["at"] for r in both.orderBy("idx").collect()] == list(range(1001))
+
+
 def test_arithmetic_and_windows(spark, house):
     df = spark.createDataFrame([(i, t, float(i * 10 + t)) for i in range(4) for t in range(4)], "id long, t int, value double")
     a = MeshArray(house, "face", df)
