@@ -174,6 +174,14 @@ def test_breaks_need_no_window_over_the_whole_axis(spark, monkeypatch):
     assert [r["at"] for r in both.orderBy("idx").collect()] == list(range(1001))
 
 
+def test_unknowns_without_unknown_neighbours_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph.multigrid, "solve", lambda *a: pytest.fail("solved by rounds"))
+    way = spark.range(1000).select(F.inline(F.array(F.struct(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), F.struct((F.col("id") + 1).alias("src"), F.col("id").alias("dst")))))
+    data = spark.range(1003).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("value"))
+    got = {r.id: r.value for r in graph.laplace_fill(way, data).collect()}
+    assert got == {k: None if k == 1001 else float(k) for k in range(1003)}
+
+
 def test_arithmetic_and_windows(spark, house):
     df = spark.createDataFrame([(i, t, float(i * 10 + t)) for i in range(4) for t in range(4)], "id long, t int, value double")
     a = MeshArray(house, "face", df)
