@@ -182,6 +182,17 @@ def test_unknowns_without_unknown_neighbours_need_no_rounds(spark, monkeypatch):
     assert got == {k: None if k == 1001 else float(k) for k in range(1003)}
 
 
+def test_a_function_gets_many_whole_groups_in_one_call(spark, house):
+    df = spark.createDataFrame([(i, t, float(i * 10 + t)) for i in range(40) for t in range(4)], "id long, t int, value double")
+
+    def spread(rows):
+        v = rows.groupby("id")["value"]
+        return (v.max() - v.min()).rename("spread").reset_index().assign(groups=rows["id"].nunique())
+
+    got = MeshArray(house, "face", df).apply(spread, "id long, spread double, groups long", together=True).collect()
+    assert sorted((r.id, r.spread, r.groups) for r in got) == [(i, 3.0, 40) for i in range(40)]
+
+
 def test_arithmetic_and_windows(spark, house):
     df = spark.createDataFrame([(i, t, float(i * 10 + t)) for i in range(4) for t in range(4)], "id long, t int, value double")
     a = MeshArray(house, "face", df)
