@@ -162,6 +162,19 @@ def test_sel_and_alignment(spark, house):
     assert a.rename("other").names == ["other"] and a.total_bounds == (0.0, 0.0, 2.0, 2.0) and a.copy() == a
 
 
+def test_chosen_faces_are_found_once(spark, house):
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(face_id):
+        calls.add(1)
+        return face_id < 3
+
+    chosen = house.faces.where(F.udf(seen, "boolean")("face_id")).select("face_id")
+    new, index = topology.subset(house, chosen)
+    sizes = [new.nodes.count(), new.edges.count(), new.faces.count(), index["edge"].count()]
+    assert sizes[2] == 3 and sizes[1] == sizes[3] and calls.value <= 2 * house.faces.count()  # a checkpoint may take two
+
+
 def test_breaks_need_no_window_over_the_whole_axis(spark, monkeypatch):
     monkeypatch.setattr(ordered, "RANGE", 100)
     cells = spark.range(1000).repartition(7).select(F.col("id").alias("idx"), (F.col("id") * F.col("id")).cast("double").alias("mid"))
