@@ -42,3 +42,15 @@ def test_a_cluster_needs_a_named_folder():
     Session.conf, Context.master = {}, "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError):
         shared_dir(Session)
+
+
+def test_components_shrink_from_round_to_round(spark, monkeypatch):
+    from gridloom.operators import components
+
+    left, plain = [], components.compact
+    monkeypatch.setattr(components, "compact", lambda df: (left.append(plain(df)), left[-1])[1])
+    chain = spark.range(3000).selectExpr("id as src", "id + 1 as dst").where("src % 1000 <> 999")
+    got = {r.id: r.component for r in components.connected_components(chain, few=100).collect()}
+    assert got == {k: k // 1000 * 1000 for k in range(3000)}
+    sizes = [n for _, n in left]
+    assert sizes[-1] == 0 and sum(sizes) < 2 * sizes[0]
