@@ -39,3 +39,11 @@ def test_entry(spark):
 
 def test_registries_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["voronoi_cells", "circumcenters", "wkt_polygons"])
+def test_no_broadcast_by_guess(spark, name):
+    plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_part" not in line] == []  # counts by partition are broadcast
