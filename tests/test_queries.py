@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridloom.operators import topology
 from gridloom.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,3 +48,11 @@ def test_no_broadcast_by_guess(spark, name):
     plan = catalog.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_part" not in line] == []  # counts by partition are broadcast
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+def test_triangles_are_chosen_once(spark, monkeypatch):
+    calls, subset = [], topology.subset
+    monkeypatch.setattr(topology, "subset", lambda *a: calls.append(1) or subset(*a))
+    catalog.QUERIES["circumcenters"](spark, FOLDER)
+    assert len(calls) == 1
