@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridloom.data import MeshArray
 from gridloom.operators import condense
 from gridloom.operators.mesh import structured
+from gridloom.operators.voronoi import tessellation
 
 
 def test_fill_of_a_plane_needs_no_rounds(spark):
@@ -35,3 +36,8 @@ def test_blocks_and_components_without_values(spark):
         found = {r.i: r.v for r in found.collect()}
         assert good and sorted(found) == list(range(n * n))
         assert max(abs(found[k] - want[k]) for k in found) < 1e-9
+
+
+def test_cells_read_centroids_once(spark):
+    plan = tessellation(structured(spark, 3, 3), add_exterior=True).vertices._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # the rings of the faces are not made again
