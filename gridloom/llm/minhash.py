@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.textops import mix, shingle_sets, words
 from gridloom.operators.components import connected_components
-from gridloom.operators.joins import lookup
+from gridloom.operators.joins import lookup, perhaps
 from gridloom.session import compact, cut, remove, stored, without_ids
 
 ROWS = 5
@@ -155,13 +155,13 @@ def _prefix_pairs(rows: DataFrame, full: DataFrame, bands: DataFrame, percent: i
     shingles left.
     """
     ids = cut(rows.select("id", "component").distinct())
-    token = full.join(ids, "id").select("id", "component", F.xxhash64("sig").alias("text"), F.explode("shingles").alias("s"))
+    token = perhaps(full, ids, "id").select("id", F.xxhash64("sig").alias("text"), F.explode("shingles").alias("s"))  # other texts only add to counts
     counts = cut(token.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
-    ranked = lookup(token, counts, ["s"], size="c").groupBy("id", "component", "text")
+    ranked = lookup(token, counts, ["s"], size="c").groupBy("id", "text")
     ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("t"))  # a text's own shingles
     n = F.size("t")
-    ranked = ranked.select("id", "component", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.ceil(n * percent / 100).cast("int") + 1)).alias("pos", "x"))
-    ranked = cut(ranked.where("x.c > 1").select("id", "component", "n", "pos", "x.s"))
+    ranked = ranked.select("id", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.ceil(n * percent / 100).cast("int") + 1)).alias("pos", "x"))
+    ranked = cut(lookup(ranked.where("x.c > 1").select("id", "n", "pos", "x.s"), ids, ["id"], "inner"))
     size = ranked.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     ranked = lookup(ranked, cut(size), ["s"], "inner", size="m")
     # a shingle of m prefixes is dealt to cells (i, j) of blocks of about BLOCK rows, i <= j
@@ -172,7 +172,7 @@ def _prefix_pairs(rows: DataFrame, full: DataFrame, bands: DataFrame, percent: i
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
     pairs = pairs.where(room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
     pairs = pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-    known = bands.dropDuplicates(["id"])
+    known = perhaps(bands, ids, "id").dropDuplicates(["id"])
     pairs = pairs.join(known.select(F.col("id").alias("u"), F.col("bands").alias("x")), "u").join(known.select(F.col("id").alias("v"), F.col("bands").alias("y")), "v")
     return pairs.where(F.arrays_overlap("x", "y")).select("u", "v")
 
@@ -193,12 +193,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
     member = lookup(known, cut(classes.where("members > 1")), same, size="members").select("doc_id", "n_shingles", "bands", F.coalesce("class_id", "doc_id").alias("class_id"))
     member = cut(member)
     bands = member.where("doc_id = class_id and n_shingles > 0").select(F.col("doc_id").alias("id"), "n_shingles", "bands")
-    rows = bands.select("id", "n_shingles", F.explode("bands").alias("key")).distinct()
+    rows = bands.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = cut(lookup(rows, cut(shared), ["key"], "inner", size="size"))
+    bucket = cut(lookup(rows, cut(shared), ["key"], "inner", size="size").distinct())  # rows that repeat an id
 
-    inside = bucket.groupBy("id").agg(F.sum("size").alias("weight"))
-    full, path = stored(texts.join(inside, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(n), "id long, sig binary, shingles array<long>"))
+    inside = cut(bucket.groupBy("id").agg(F.sum("size").alias("weight")))
+    wanted = perhaps(texts.withColumnRenamed("doc_id", "id"), inside, "id")
+    full, path = stored(lookup(wanted, inside.select("id"), ["id"], "left_semi").mapInArrow(_sets(n), "id long, sig binary, shingles array<long>"))
     # shingles that no other candidate has can be in no intersection
     alone = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
     once = full.groupBy("id").agg(F.count("*").alias("texts")).where("texts = 1")  # of an id with several texts no shingle says which has it
@@ -221,9 +222,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, miss: float
             break
         rows = cut(lookup(rows, mixed, ["key"], "inner", size="size").drop("size"))
         pairs, _ = compact(_hub_pairs(rows, turn, percent) if turn < HUBS else _prefix_pairs(rows, full, bands.select("id", "bands"), percent))
-        likely = pairs.join(one.drop("a"), "u").join(two.drop("b"), "v").select("u", "v", "x", "y").mapInArrow(_survivors(least), "u long, v long")
-        new, n_new = compact(
-            likely.join(one.drop("x"), "u").join(two.drop("y"), "v")
+        likely = cut(pairs.join(one.drop("a"), "u").join(two.drop("b"), "v").select("u", "v", "x", "y").mapInArrow(_survivors(least), "u long, v long"))
+        new, n_new = compact(  # only the sets of likely pairs are shuffled
+            likely.join(perhaps(one.drop("x"), likely, "u"), "u").join(perhaps(two.drop("y"), likely, "v"), "v")
             .withColumn("both", F.size(F.array_intersect("a", "b")))
             .where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent)
             .select("u", "v")

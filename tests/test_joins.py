@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators.joins import lookup
+from gridloom.operators import joins
+from gridloom.operators.joins import lookup, perhaps
 from gridloom.session import remove, shared_dir, stored
 
 
@@ -18,6 +19,31 @@ def test_lookup_is_a_join_with_hot_keys_too(spark, how):
     assert sorted(map(tuple, lookup(rows, sized, ["k"], how, size="n", few=0).drop("n").collect()), key=repr) == want
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_rows_whose_key_may_be_wanted_without_a_shuffle(spark, few):
+    rows = spark.range(20_000).select((F.col("id") * 7 - 500).alias("k"), F.concat(F.lit("text "), "id").alias("t"))
+    ids = spark.range(300).select((F.col("id") * 21).alias("k"), F.lit(1).alias("more"))
+    found = perhaps(rows.unionAll(rows.limit(5)), ids, "k", few)
+    assert found.columns == rows.columns
+    want = rows.join(ids, "k", "left_semi")
+    assert not want.exceptAll(found).count() and found.count() < want.count() + 50
+    plan = perhaps(rows, ids, "k", few)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "hashpartitioning" not in plan
+
+
+def test_near_duplicates_of_many_ids(spark, monkeypatch):
+    """With no table small enough to be broadcast; ids that repeat, null ids and texts."""
+    from gridloom.llm.minhash import near_duplicates
+
+    text = lambda k, cut: " ".join(f"w{k}x{i}" for i in range(60) if i != cut)
+    data = [(k * 3 + j, text(k, None if j == 0 else 2 * j - 2)) for k in range(30) for j in range(3)] + [(4, text(29, None)), (500, None), (None, text(1, None)), (501, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(map(tuple, near_duplicates(docs, 85).collect()), key=repr)
+    monkeypatch.setattr(joins, "FEW", 0)
+    monkeypatch.setattr(joins.lookup, "__defaults__", (*joins.lookup.__defaults__[:-1], 0))
+    assert sorted(map(tuple, near_duplicates(docs, 85).collect()), key=repr) == want
+
+
 def test_shared_folder(spark):
     table, path = stored(spark.range(10))
     assert path.startswith(shared_dir(spark)) and table.count() == 10
