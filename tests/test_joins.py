@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import joins
 from gridloom.operators.joins import lookup, perhaps
-from gridloom.session import remove, shared_dir, stored
+from gridloom.session import remove, shared_dir, spread, stored
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -80,3 +80,13 @@ def test_components_shrink_from_round_to_round(spark, monkeypatch):
     assert got == {k: k // 1000 * 1000 for k in range(3000)}
     sizes = [n for _, n in left]
     assert sizes[-1] == 0 and sum(sizes) < 2 * sizes[0]
+
+
+def test_groups_over_as_many_tasks_as_rows_need(spark):
+    rows = spark.range(1000).select((F.col("id") % 100).alias("id"), (F.col("id") % 7).alias("line"), "id")
+    rows = rows.toDF("id", "line", "value")
+    wide = spread(rows, "id", rows_per_task=50)
+    assert wide.rdd.getNumPartitions() == 21 and spread(rows, "id") is rows
+    groups = wide.groupBy("id", "line").agg(F.sum("value").alias("value")).groupBy("id").agg(F.count("*").alias("n"))
+    assert groups._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    assert groups.count() == 100
