@@ -90,3 +90,13 @@ def test_groups_over_as_many_tasks_as_rows_need(spark):
     groups = wide.groupBy("id", "line").agg(F.sum("value").alias("value")).groupBy("id").agg(F.count("*").alias("n"))
     assert groups._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
     assert groups.count() == 100
+
+
+def test_rows_of_parts_are_made_once(spark):
+    from gridloom.operators.partition import _merged
+
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(k // 4, k % 4, float(k % 5)) for k in range(8)], 2).map(lambda r: (made.add(1), r)[1]), "part int, node_id long, x double")
+    found = {(r.part, r.node_id): (r.new, r.kept) for r in _merged(rows, ["x"], "node_id").collect()}
+    assert made.value == 8
+    assert found == {(k // 4, k % 4): (k % 5, k < 5) for k in range(8)}
