@@ -21,6 +21,32 @@ def counting(spark, df, column):
     return df.withColumn(column, F.udf(same, df.schema[column].dataType)(column)), made
 
 
+def test_holes_are_filled_in_one_search(spark, monkeypatch):
+    calls = []
+    nearest = select.nearest
+    monkeypatch.setattr(select, "nearest", lambda *a, **b: calls.append(1) or nearest(*a, **b))
+    places = spark.createDataFrame([(i, float(i), 0.1 * i) for i in range(9)], "id long, x double, y double")
+    places, made = counting(spark, places, "x")
+    data = spark.createDataFrame([(i, line, None if line == 1 and i % 4 == 1 else float(10 * line + i)) for i in range(9) for line in (1, 2)], "id long, line int, value double")
+    got = {(r.id, r.line): r.value for r in graph.fill_nearest(places, data, 1.5, ("line",)).collect()}
+    assert len(got) == 18 and got[1, 1] == 10.0 and got[5, 1] == 14.0 and got[1, 2] == 21.0
+    assert len(calls) == 1  # the second line has no holes
+    assert made.value == 9
+    far = {r.id: r.value for r in graph.fill_nearest(places, data.where("line = 1").drop("line"), 0.5).collect()}
+    assert far[1] is None and far[5] is None and far[2] == 12.0
+
+
+@pytest.mark.parametrize("limit", [None, 0.0, 1e-30, 0.3, 5.0])
+def test_nearest_within_any_distance(spark, limit):
+    targets = [(i, (i * 37 % 11) / 3.0, (i * 17 % 7) / 2.0) for i in range(20)]
+    points = [(k, k * 0.7 - 4.0, k * 0.31 - 1.0) for k in range(20)] + [(90, 12.0, 2.0), (91, targets[3][1], targets[3][2])]
+    got = select.nearest(spark.createDataFrame(points, "point_id long, x double, y double"), spark.createDataFrame(targets, "id long, x double, y double"), max_distance=limit)
+    got = {r.point_id: r.id for r in got.collect()}
+    for p, x, y in points:
+        d, i = min(((((x - a) ** 2 + (y - b) ** 2) ** 0.5), i) for i, a, b in targets)
+        assert got[p] == (i if limit is None or d < limit else None), (p, limit)
+
+
 def test_few_polygons_are_broadcast(spark):
     mesh = structured(spark, 6, 4)
     nodes, made = counting(spark, mesh.nodes, "x")
