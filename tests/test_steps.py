@@ -47,6 +47,16 @@ def test_nearest_within_any_distance(spark, limit):
         assert got[p] == (i if limit is None or d < limit else None), (p, limit)
 
 
+def test_faces_of_selected_points_are_made_once(spark):
+    mesh = structured(spark, 6, 4)
+    nodes, made = counting(spark, mesh.nodes, "x")
+    data = mesh.faces.select(F.col("face_id").alias("id"), F.col("face_id").cast("double").alias("value"))
+    points = spark.createDataFrame([(k, 0.37 * k, 0.21 * k) for k in range(20)], "point_id long, x double, y double")
+    got = {r.point_id: r.value for r in MeshArray(Mesh(nodes, mesh.faces), "face", data).sel_points(points, method="nearest", out_of_bounds="ignore", fill=-1.0).collect()}
+    assert got == {k: float(int(0.21 * k) * 6 + int(0.37 * k)) if 0.37 * k <= 6 and 0.21 * k <= 4 else -1.0 for k in range(20)}
+    assert made.value == 35
+
+
 def test_few_polygons_are_broadcast(spark):
     mesh = structured(spark, 6, 4)
     nodes, made = counting(spark, mesh.nodes, "x")
