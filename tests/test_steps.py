@@ -76,6 +76,17 @@ def test_few_polygons_are_broadcast(spark):
     assert made.value == 35
 
 
+def test_edges_of_periodic_meshes_wait(spark):
+    m = structured(spark, 4, 2)
+    ring, index = to_periodic(m)
+    back, other = to_nonperiodic(ring, 4.0)
+    assert back.faces.count() == 8 and back.nodes.count() == 15
+    assert not any("edges" in g.__dict__ for g in (m, ring, back))
+    assert index["edge"].count() == ring.edges.count() == 20 and other["edge"].count() == back.edges.count() == 22
+    with pytest.raises(KeyError):
+        index["volume"]
+
+
 def test_geometry_of_any_ring(spark):
     shapes = {0: [(0, 0), (2, 0), (1, 3)], 1: [(0, 0), (2, 0), (2, 1), (0, 1)], 2: [(0, 0), (2, 0), (3, 1), (2, 2), (0, 2)], 3: [(0, 0), (0, 1), (2, 1), (2, 0)], 4: [(1, 1), (2, 2), (3, 3)], 5: [(5, 5), (6, 6)]}
     nodes = [(10 * f + k, float(x), float(y)) for f, ring in shapes.items() for k, (x, y) in enumerate(ring)]
