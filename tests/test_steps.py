@@ -76,6 +76,16 @@ def test_few_polygons_are_broadcast(spark):
     assert made.value == 35
 
 
+def test_texts_are_read_once(spark):
+    texts = spark.createDataFrame([(i, f"POLYGON (({i} 0,  {i + 1} 0, {i + 1} 1.5, {i} 0))") for i in range(5)], "id long, wkt string")
+    texts, made = counting(spark, texts, "wkt")
+    got = geometry.with_geometry(wkt.grid_from_wkt(texts)).select("face_id", "area").collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0.75) for i in range(5)]
+    assert made.value == 5
+    with pytest.raises(ValueError, match="MULTIPOLYGON"):
+        wkt.grid_from_wkt(spark.createDataFrame([(0, "MULTIPOLYGON (((a b)))")], "id long, wkt string"))
+
+
 def test_edges_of_periodic_meshes_wait(spark):
     m = structured(spark, 4, 2)
     ring, index = to_periodic(m)
