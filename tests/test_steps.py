@@ -1,5 +1,6 @@
 """What a query makes is made once: tables are counted as they are read, and steps that nobody asks for are not run."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from gridloom.data import MeshArray
 from gridloom.operators import geometry, graph, select, vector
 from gridloom.operators.mesh import Mesh, structured
 from gridloom.operators.periodic import to_nonperiodic, to_periodic
+from gridloom.plans import catalog
 from gridloom.sources import wkt
 
 
@@ -107,3 +109,16 @@ def test_geometry_of_any_ring(spark):
     assert (got[0].cx, got[0].cy) == (1.0, 1.0) and (got[3].cx, got[3].cy) == (1.0, 0.5) and got[2].cx == pytest.approx(19 / 15) and got[5].cx is None
     assert [(got[f].xmin, got[f].ymin, got[f].xmax, got[f].ymax) for f in (0, 2, 5)] == [(0, 0, 2, 3), (0, 0, 3, 2), (5, 5, 6, 6)]
     assert got[1].perimeter == 6.0
+
+
+def test_all_holes_are_filled_however_far(spark, tmp_path):
+    keys = [*range(200), 2_005, *range(5_000, 5_050)]  # 2005 is a quad far from all others, and has no value
+    rows = spark.createDataFrame([(k, k, 100.0 + k) for k in keys], "o_orderkey long, o_custkey long, o_totalprice double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.id, r.line): r.value for r in catalog.QUERIES["interpolate_na"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = {(i, line): v for i, line, v in con.execute(catalog.ORACLES["interpolate_na"]).fetchall()}
+    assert None not in got.values() and got == want
+    near = con.execute(catalog.ORACLES["interpolate_na"].partition("select face_id as id")[0] + "select (select count(*) from near), (select count(*) from far)").fetchone()
+    assert near[1] == 1 and sum(near) == len([i for i, line in got if line == 1 and i % 5 == 0])
