@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.data import MeshArray
+from gridloom.data import MeshArray, MeshDataset, merge_partitions
 from gridloom.operators import geometry, graph, select, vector
 from gridloom.operators.mesh import Mesh, structured
 from gridloom.operators.periodic import to_nonperiodic, to_periodic
@@ -122,3 +122,26 @@ def test_all_holes_are_filled_however_far(spark, tmp_path):
     assert None not in got.values() and got == want
     near = con.execute(catalog.ORACLES["interpolate_na"].partition("select face_id as id")[0] + "select (select count(*) from near), (select count(*) from far)").fetchone()
     assert near[1] == 1 and sum(near) == len([i for i, line in got if line == 1 and i % 5 == 0])
+
+
+def test_parts_are_made_once_and_have_no_edges_until_asked(spark):
+    mesh = structured(spark, 6, 4)
+    nodes, made = counting(spark, mesh.nodes, "x")
+    mesh = Mesh(nodes, mesh.faces)
+    data = MeshArray(mesh, "face", mesh.faces.select(F.col("face_id").alias("id"), F.col("face_id").cast("double").alias("value")))
+    parts = MeshDataset({"v": data}).partition_by_label(mesh.faces.select("face_id", (F.col("face_id") % 3).alias("label")))
+    merged = merge_partitions([*parts, parts[1]])
+    assert merged.grid.faces.count() == 24 and merged.grid.nodes.count() == 35
+    assert sorted(r.value for r in merged["v"].df.collect()) == [float(k) for k in range(24)]
+    assert made.value == 35 and "edges" not in mesh.__dict__
+
+
+def test_shuffles_leave_no_files(spark, tmp_path):
+    spark.range(200).selectExpr("id as o_orderkey", "id as o_custkey", "100.0D + id as o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {b for b in (str(x) for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllBlocks())) if b.startswith("shuffle_")}
+    before = kept()
+    got = catalog.QUERIES["merge_partitions"](spark, str(tmp_path))
+    assert got.count() == 300 and len(got.collect()) == 300
+    assert not kept() - before
+    assert len(got.collect()) == 300  # a table that is run once more makes its shuffles again
