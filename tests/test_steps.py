@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.data import MeshArray, MeshDataset, merge_partitions
-from gridloom.operators import geometry, graph, select, vector
+from gridloom.operators import geometry, graph, mesh as meshes, select, vector, voronoi
 from gridloom.operators.mesh import Mesh, structured
 from gridloom.operators.periodic import to_nonperiodic, to_periodic
 from gridloom.plans import catalog
@@ -145,3 +145,15 @@ def test_shuffles_leave_no_files(spark, tmp_path):
     assert got.count() == 300 and len(got.collect()) == 300
     assert not kept() - before
     assert len(got.collect()) == 300  # a table that is run once more makes its shuffles again
+
+
+def test_cells_number_no_edges_but_those_of_the_border(spark, monkeypatch):
+    mesh, ranked = structured(spark, 6, 4), []
+    ranks = meshes.dense_ids
+    monkeypatch.setattr(voronoi, "dense_ids", lambda df, keys, *a, **b: ranked.append((keys, df.count())) or ranks(df, keys, *a, **b))
+    monkeypatch.setattr(meshes, "dense_ids", lambda df, keys, *a: ranked.append((keys, df.count())) or ranks(df, keys, *a))
+    v = voronoi.tessellation(mesh, add_exterior=True, add_vertices=True)
+    assert [n for keys, n in ranked if keys == ["a", "b"]] == [20]
+    got = geometry.with_geometry(voronoi.as_mesh(mesh, v))
+    assert got.count() == 35 and got.agg(F.sum("area")).first()[0] == pytest.approx(24.0)
+    assert v.vertices.count() == 24 + 20 + 20 and v.between.count() == 20
