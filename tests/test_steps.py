@@ -157,3 +157,24 @@ def test_cells_number_no_edges_but_those_of_the_border(spark, monkeypatch):
     got = geometry.with_geometry(voronoi.as_mesh(mesh, v))
     assert got.count() == 35 and got.agg(F.sum("area")).first()[0] == pytest.approx(24.0)
     assert v.vertices.count() == 24 + 20 + 20 and v.between.count() == 20
+
+
+def test_short_rings_need_no_rounds(spark, monkeypatch):
+    mesh, rounds = structured(spark, 9, 7), []
+    put = vector.Round.put
+    monkeypatch.setattr(vector.Round, "put", lambda *a: rounds.append(1) or put(*a))
+    data = mesh.faces.select("face_id", F.when(F.col("face_id") % 11 == 0, F.lit(None)).otherwise(F.col("face_id") * 7 % 5 % 2).cast("double").alias("value"))
+    short = sorted(tuple(r) for r in vector.outlines(mesh, data).collect())
+    assert not rounds and "edges" not in mesh.__dict__
+    mixed = sorted(tuple(r) for r in vector.outlines(mesh, data, few=8).collect())
+    assert rounds and mixed == short
+    ends = {}
+    for label, _, ring, pos, x, y, _ in short:
+        ends.setdefault((label, ring), []).append((pos, x, y))
+    area = 0.0
+    for ring in ends.values():
+        assert [p for p, _, _ in ring] == list(range(len(ring)))
+        steps = list(zip(ring, ring[1:] + ring[:1]))
+        assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in steps)
+        area += sum(a[1] * b[2] - b[1] * a[2] for a, b in steps) / 2
+    assert area == data.where("value is not null").count()
