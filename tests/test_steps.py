@@ -178,3 +178,16 @@ def test_short_rings_need_no_rounds(spark, monkeypatch):
         assert all(abs(a[1] - b[1]) + abs(a[2] - b[2]) == 1 for a, b in steps)
         area += sum(a[1] * b[2] - b[1] * a[2] for a, b in steps) / 2
     assert area == data.where("value is not null").count()
+
+
+def test_fill_numbers_no_edges_and_makes_places_once(spark):
+    mesh = structured(spark, 16, 20)
+    nodes, made = counting(spark, mesh.nodes, "x")
+    mesh = Mesh(nodes, mesh.faces)
+    x, y = F.col("face_id") % 16, F.floor(F.col("face_id") / 16)
+    plane = (3 * x + 2 * y).cast("double")
+    data = mesh.faces.select(F.col("face_id").alias("id"), F.when((x == 0) | (x == 15) | (y == 0) | (y == 19), plane).alias("value"))
+    got = MeshArray(mesh, "face", data).laplace_interpolate(tolerance=1e-12).df
+    want = mesh.faces.select(F.col("face_id").alias("id"), plane.alias("want"))
+    assert got.join(want, "id").where(F.abs(F.col("value") - F.col("want")) < 1e-9).count() == 320
+    assert "edges" not in mesh.__dict__ and made.value == 17 * 21
